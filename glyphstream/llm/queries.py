@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphstream.llm import bpe
+from glyphstream.llm import bpe, packing
 from glyphstream.runtime import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: The ranks of the vocabulary and merges of byte_bpe_50k.json; tests hold both libraries' ids equal.
+PACK_RANKS, PACK_CLOSING_ID, PACK_SIZE = public_tokenizers.path("byte_bpe_50k.tiktoken"), 2, 1024
 
 
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +28,14 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all ``documents`` into sequences of at most 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), PACK_RANKS, public_tokenizers.PATTERN, PACK_CLOSING_ID, PACK_SIZE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_codec": op4_bpe_codec,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
