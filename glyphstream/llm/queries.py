@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphstream.llm import bpe, packing
+from glyphstream.llm import bpe, packing, sharding
 from glyphstream.runtime import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -33,9 +33,16 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), PACK_RANKS, public_tokenizers.PATTERN, PACK_CLOSING_ID, PACK_SIZE)
 
 
+def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Put all ``documents`` into shards 0 to 23 of near equal bytes."""
+    placed = sharding.shard(table(spark, sf_dir, "documents"), 24)
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_codec": op4_bpe_codec,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op10_histogram_shards": op10_histogram_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {}
