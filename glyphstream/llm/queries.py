@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphstream.llm import bpe, packing, sharding
+from glyphstream.llm import bpe, packing, quality, sharding
 from glyphstream.runtime import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -33,6 +33,16 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), PACK_RANKS, public_tokenizers.PATTERN, PACK_CLOSING_ID, PACK_SIZE)
 
 
+def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule ledger of all ``documents`` and the verdict of policy v1."""
+    rows = quality.ledger(table(spark, sf_dir, "documents"))
+    failed = F.col("failures").bitwiseAND(F.lit(quality.POLICIES["base"])) != 0
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), quality.passes("v1").alias("kept"), "failures",
+    )
+
+
 def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Put all ``documents`` into shards 0 to 23 of near equal bytes."""
     placed = sharding.shard(table(spark, sf_dir, "documents"), 24)
@@ -42,7 +52,10 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_codec": op4_bpe_codec,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_quality_ledger": op8_quality_ledger,
     "op10_histogram_shards": op10_histogram_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_quality_ledger": quality.SQL,
+}
