@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphstream.llm import bpe, packing, quality, sharding
+from glyphstream.llm import bpe, packing, pii, quality, sharding
 from glyphstream.runtime import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -33,6 +33,18 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), PACK_RANKS, public_tokenizers.PATTERN, PACK_CLOSING_ID, PACK_SIZE)
 
 
+def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text of ``documents``."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *(count(k.name) for k in pii.BASE),
+        F.sha2(pii.listed(F.col("spans"), pii.BASE), 256).alias("base_sha256"),
+        pii.listed(F.col("spans"), pii.KINDS).alias("spans"),
+    )
+
+
 def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule ledger of all ``documents`` and the verdict of policy v1."""
     rows = quality.ledger(table(spark, sf_dir, "documents"))
@@ -52,6 +64,7 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_codec": op4_bpe_codec,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_pii_spans": op7_pii_spans,
     "op8_quality_ledger": op8_quality_ledger,
     "op10_histogram_shards": op10_histogram_shards,
 }
