@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphstream.llm import bpe, packing, pii, quality, sharding
+from glyphstream.llm import bpe, chat, packing, pii, quality, sharding
 from glyphstream.runtime import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -55,6 +55,23 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format all ``conversations`` and one with control strings; digests read back from the output."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = chat.read_back(chat.windows(rows))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Put all ``documents`` into shards 0 to 23 of near equal bytes."""
     placed = sharding.shard(table(spark, sf_dir, "documents"), 24)
@@ -66,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_pii_spans": op7_pii_spans,
     "op8_quality_ledger": op8_quality_ledger,
+    "op9_chat_windows": op9_chat_windows,
     "op10_histogram_shards": op10_histogram_shards,
 }
 
