@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphstream.llm import bpe, chat, packing, pii, quality, sharding
+from glyphstream.llm import bpe, chat, near_dup, packing, pii, quality, sharding
 from glyphstream.runtime import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -16,6 +16,15 @@ MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PACK_RANKS, PACK_CLOSING_ID, PACK_SIZE = public_tokenizers.path("byte_bpe_50k.tiktoken"), 2, 1024
 
 
+#: The contract's similarity: 3-word shingles, 85 hundredths.
+NEAR = near_dup.Settings(words=3, threshold=85, bands=25, rows=5)
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate ``documents``."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), NEAR)
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text of ``documents``; digests of ids and bytes."""
     ids = bpe.encode(table(spark, sf_dir, "documents"), MULTI_RANKS, public_tokenizers.PATTERN)
@@ -79,6 +88,7 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op4_bpe_codec": op4_bpe_codec,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_pii_spans": op7_pii_spans,
@@ -88,5 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_near_duplicates": near_dup.SQL,
     "op8_quality_ledger": quality.SQL,
 }
