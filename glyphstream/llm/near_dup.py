@@ -250,7 +250,7 @@ with recursive w as (
   from documents
 ), s as (
   select doc_id, unnest(list_distinct(case when len(words) >= 3
-    then list_transform(range(1, len(words) - 1), i -> array_to_string(words[i : i + 2], ' '))
+    then list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i : i + 2], ' '))
     when len(words) > 0 then [array_to_string(words, ' ')] else [] end)) as shingle
   from w
 ), n as (

@@ -135,7 +135,7 @@ with d as (
   select doc_id, coalesce(text, '') as text from documents
 ), w as (
   select *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as words,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines
   from d
 ), g as (
   select doc_id, unnest(range(1, len(words) - 6)) as p, words from w where len(words) >= 8
