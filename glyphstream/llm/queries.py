@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphstream.llm import bpe, chat, near_dup, packing, pii, quality, sharding
+from glyphstream.llm import bpe, chat, line_dedup, near_dup, packing, pii, quality, sharding
 from glyphstream.runtime import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -37,6 +37,11 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` without later repeated runs, and the runs removed."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_runs")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all ``documents`` into sequences of at most 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), PACK_RANKS, public_tokenizers.PATTERN, PACK_CLOSING_ID, PACK_SIZE)
@@ -90,6 +95,7 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_pii_spans": op7_pii_spans,
     "op8_quality_ledger": op8_quality_ledger,
