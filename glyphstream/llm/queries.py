@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphstream.llm import bpe, chat, line_dedup, near_dup, packing, pii, quality, sharding
+from glyphstream.llm import bpe, chat, line_dedup, near_dup, packing, pii, quality, sharding, topk
 from glyphstream.runtime import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -16,6 +16,12 @@ MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PACK_RANKS, PACK_CLOSING_ID, PACK_SIZE = public_tokenizers.path("byte_bpe_50k.tiktoken"), 2, 1024
 
 
+def op1_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's 5 highest inner products over ``embeddings``."""
+    found = topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 #: The contract's similarity: 3-word shingles, 85 hundredths.
 NEAR = near_dup.Settings(words=3, threshold=85, bands=25, rows=5)
 
@@ -93,6 +99,7 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_segment_topk": op1_segment_topk,
     "op2_near_duplicates": op2_near_duplicates,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_line_dedup": op5_line_dedup,
@@ -104,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_segment_topk": topk.SQL,
     "op2_near_duplicates": near_dup.SQL,
     "op8_quality_ledger": quality.SQL,
 }
