@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
 
@@ -51,3 +52,15 @@ def purge(spark: SparkSession) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     path = hadoop.Path(f"{shared_dir(spark)}/glyphstream/{spark.sparkContext.applicationId}")
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows that are broadcast at most where a count decides: narrow rows of ids and labels, some 32 MB hashed.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted small; else as it is, for a shuffled join.
+
+    For narrow tables only (ids, labels), whose rows have a known width.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
