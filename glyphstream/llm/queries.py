@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphstream.llm import bpe, chat, line_dedup, near_dup, packing, pii, quality, sharding, topk
+from glyphstream.llm import bpe, chat, line_dedup, near_dup, packing, pii, quality, sharding, topk, toxicity
 from glyphstream.runtime import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -22,6 +22,8 @@ def op1_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+#: Documents at this score or above are rejected.
+TOXIC = 0.7
 #: The contract's similarity: 3-word shingles, 85 hundredths.
 NEAR = near_dup.Settings(words=3, threshold=85, bands=25, rows=5)
 
@@ -31,6 +33,19 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), NEAR)
 
 
+def op3_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text of ``documents``, learnt from ``labels`` that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.learn_from(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+        F.array_join(F.transform("toxic_spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("spans"),
+    )
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text of ``documents``; digests of ids and bytes."""
     ids = bpe.encode(table(spark, sf_dir, "documents"), MULTI_RANKS, public_tokenizers.PATTERN)
@@ -101,6 +116,7 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_segment_topk": op1_segment_topk,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_toxicity_crf": op3_toxicity_crf,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
