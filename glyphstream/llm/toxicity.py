@@ -3,11 +3,11 @@
 Learning, from labelled documents only:
 
 1. Every labelled text is counted: in how many toxic and clean documents does
-   each word occur? Words with enough evidence are candidates; for those, a
+   each word, and each prefix of one, occur? Those with enough evidence are candidates; for those, a
    second pass counts in how many contexts (the word before their first place in
    a document) they occur on either side, so that words of one copied text don't
    pass for toxic ones.
-2. Words that toxic documents use in many contexts, and clean ones hardly, label
+2. Units that toxic documents use in many contexts, and clean ones hardly, label
    tokens: toxic in toxic documents, clean otherwise.
 3. On a bounded sample of sentences (``SENTENCES``) the chain is fitted by
    gradient ascent on the conditional likelihood; on a bounded sample of
@@ -46,6 +46,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 WORDS, DOCUMENTS, SENTENCES = 5000, 1500, 20_000
 #: Words of a training sentence, cells (tokens times documents) of a scoring batch, counters held by a task.
 SPAN, CELLS, HELD = 40, 400_000, 400_000
+#: Prefix lengths; buckets of log odds, the last for tokens without a known unit; words whose scores a task keeps.
+PREFIXES, BUCKETS, KNOWN = range(3, 8), 9, 300_000
 #: Evidence for a word to label tokens, at least: toxic documents, contexts, contexts for each toxic document, log odds.
 LEAST_DOCS, LEAST_CONTEXTS, SPREAD, LEAST_ODDS = 5, 5, 0.5, 2.5
 
@@ -60,21 +62,35 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(lowered(text or ""))
 
 
+def units_of(word: str) -> list[str]:
+    """The word and its prefixes of 3 to 7 letters: languages that compound repeat a stem, not a word."""
+    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
+
+
 @dataclass
 class Model:
-    """Features of a token: its word if known, and a bucket of the word's log odds. ``emit`` is the
-    score of toxic minus clean for each known word, ``other`` for unknown ones."""
+    """Features of a token: its word and prefixes, where known, and the bucket of the best log odds
+    among them. Weights are scores of toxic minus clean."""
 
-    emit: dict[str, float] = field(default_factory=dict)
-    other: float = -10.0
+    weights: dict[str, float] = field(default_factory=dict)
+    buckets: dict[str, int] = field(default_factory=dict)
+    by_bucket: list[float] = field(default_factory=lambda: [0.0] * BUCKETS)
     start: float = 0.0
     #: trans[a][b]: score of state a before state b.
     trans: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     curve: np.ndarray = field(default_factory=lambda: np.array([-3.0, 0.0, 0.0]))
 
+    def __post_init__(self):
+        self.known: dict[str, float] = {}
+
     def emissions(self, words: list[str]) -> np.ndarray:
-        get, other = self.emit.get, self.other
-        return np.fromiter((get(w, other) for w in words), np.float64, len(words))
+        if len(self.known) > KNOWN:
+            self.known = {}
+        known = self.known
+        for w in set(words).difference(known):
+            own = [u for u in units_of(w) if u in self.weights]
+            known[w] = sum(self.weights[u] for u in own) + self.by_bucket[max((self.buckets[u] for u in own), default=BUCKETS - 1)]
+        return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
 
     def score(self, marginals: np.ndarray) -> float:
         z = float(self.curve @ evidence(marginals))
@@ -177,7 +193,7 @@ def _counted(labelled: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held[toxic].update(set(words_of(text)))
+                held[toxic].update({u for w in set(words_of(text)) for u in units_of(w)})
                 if len(held[0]) + len(held[1]) > HELD:
                     yield out()
         yield out()
@@ -195,8 +211,8 @@ def _contexts(labelled: DataFrame, candidates: list[str]) -> DataFrame:
             found = set()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(text)
-                first = dict(zip(reversed(words), reversed(["", *words[:-1]])))
-                found.update((w, first[w], toxic) for w in known.intersection(first))
+                first = {u: b for b, w in zip(reversed(["", *words[:-1]]), reversed(words)) for u in units_of(w) if u in known}
+                found.update((u, b, toxic) for u, b in first.items())
             rows = list(zip(*found)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int32())], names=["word", "before", "toxic"])
 
@@ -217,62 +233,63 @@ def learn(labelled: DataFrame) -> Model:
     top = top.collect()
     odds_of, docs_of = {r.word: float(r.odds) for r in top}, {r.word: r.toxic for r in top}
     contexts = {r.word: (r.toxic, r.clean) for r in _contexts(labelled, list(odds_of)).collect()}
-    toxic_words = set()
-    for w in odds_of:
+    for w in odds_of:  # by contexts from here on
         t, c = contexts.get(w, (0, 0))
-        if t >= max(LEAST_CONTEXTS, SPREAD * docs_of[w]) and np.log(((t + 0.5) / n_toxic) / ((c + 0.5) / n_clean)) >= LEAST_ODDS:
-            toxic_words.add(w)
+        odds_of[w] = float(np.log(((t + 0.5) / n_toxic) / ((c + 0.5) / n_clean)))
+    spread = lambda w: contexts.get(w, (0, 0))[0] >= max(LEAST_CONTEXTS, SPREAD * docs_of[w])
+    toxic_units = {w for w, o in odds_of.items() if o >= LEAST_ODDS and spread(w)}
     sample = []
     for kind in (1, 0):
         rows = labelled.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(DOCUMENTS)
         sample += [(words_of(r.text), kind) for r in rows.select("text").collect()]
-    model = fit_chain(sample, toxic_words, odds_of)
+    model = fit_chain(sample, toxic_units, odds_of)
     fit_curve(model, sample, {1: n_toxic, 0: n_clean})
     return model
 
 
-def fit_chain(sample: list[tuple[list[str], int]], toxic_words: set[str], odds_of: dict[str, float], rounds: int = 80, rate: float = 0.3) -> Model:
+def fit_chain(sample: list[tuple[list[str], int]], toxic_units: set[str], odds_of: dict[str, float], rounds: int = 80, rate: float = 0.3) -> Model:
     """Conditional likelihood of the token labels, with a small quadratic penalty, by Adam."""
+    distinct = {w for words, _ in sample for w in words}
+    bad = {w for w in distinct if not toxic_units.isdisjoint(units_of(w))}
     hits, plain = [], []
     for words, kind in sample:
         for at in range(0, len(words), SPAN):
             span = words[at : at + SPAN]
-            (hits if kind and toxic_words & set(span) else plain).append((span, kind))
-    step = max(1, len(plain) // (SENTENCES // 2))
-    spans = hits[: SENTENCES // 2] + plain[::step][: SENTENCES // 2]
-    vocabulary = {w: i for i, w in enumerate(sorted(odds_of))}
-    n = len(vocabulary)
-    bucket = lambda w: n + int(min(max(odds_of[w], 0), 7)) if w in odds_of else n + 8
-    steps = max((len(s) for s, _ in spans), default=1)
-    word = np.full((steps, len(spans)), n + 9)
-    group = np.full((steps, len(spans)), n + 9)
-    label = np.zeros((steps, len(spans)))
+            (hits if kind and not bad.isdisjoint(span) else plain).append((span, kind))
+    spans = hits[: SENTENCES // 2] + plain[:: max(1, len(plain) // (SENTENCES // 2))][: SENTENCES // 2]
+    unit_at = {u: i for i, u in enumerate(sorted(odds_of))}
+    buckets = {u: int(min(max(o, 0), BUCKETS - 2)) for u, o in odds_of.items()}
+    n = len(unit_at)
+    words = sorted({w for span, _ in spans for w in span})
+    word_at = {w: i for i, w in enumerate(words)}
+    pairs_ = []  # (word, feature)
+    for i, w in enumerate(words):
+        own = [u for u in units_of(w) if u in unit_at]
+        pairs_ += [(i, unit_at[u]) for u in own] + [(i, n + max((buckets[u] for u in own), default=BUCKETS - 1))]
+    of_word, feature = np.array(pairs_, int).reshape(-1, 2).T
+    steps, none = max((len(s) for s, _ in spans), default=1), len(words)
+    grid, label = np.full((steps, len(spans)), none), np.zeros((steps, len(spans)))
     lengths = np.array([len(s) for s, _ in spans])
     for j, (span, kind) in enumerate(spans):
-        for i, w in enumerate(span):
-            word[i, j], group[i, j] = vocabulary.get(w, n + 9), bucket(w)
-            label[i, j] = kind and w in toxic_words
+        grid[: len(span), j] = [word_at[w] for w in span]
+        label[: len(span), j] = [kind and w in bad for w in span]
     inside = np.arange(steps)[:, None] < lengths
-    before, after = label[:-1] * inside[1:], label[1:] * inside[1:]
-    seen = np.array([[((1 - before) * (1 - after) * inside[1:]).sum(), ((1 - before) * after).sum()], [(before * (1 - after) * inside[1:]).sum(), (before * after).sum()]])
-    theta = np.zeros(n + 10 + 1 + 4)  # words, buckets, start, transitions
+    a, b, both = label[:-1], label[1:], inside[1:]
+    seen = np.array([[((1 - a) * (1 - b) * both).sum(), ((1 - a) * b * both).sum()], [(a * (1 - b) * both).sum(), (a * b * both).sum()]])
+    size = n + BUCKETS
+    theta = np.zeros(size + 5)  # units, buckets, start, transitions
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for r in range(1, rounds + 1):
-        emit = np.append(theta[: n + 9], 0.0)
-        x = np.where(inside, emit[word] + emit[group], 0.0)
-        trans = theta[n + 11 :].reshape(2, 2)
-        marginals, pairs = forward_backward(x, lengths, theta[n + 10], trans)
+        x = np.append(np.bincount(of_word, theta[feature], len(words)), 0.0)[grid]
+        marginals, pairs = forward_backward(x, lengths, theta[size], theta[size + 1 :].reshape(2, 2))
         error = np.where(inside, label - marginals, 0.0)
-        gradient = np.zeros_like(theta)
-        gradient[: n + 10] = np.bincount(word.ravel(), error.ravel(), n + 10) + np.bincount(group.ravel(), error.ravel(), n + 10)
-        gradient[n + 9] = 0
-        gradient[n + 10] = error[0].sum()
-        gradient[n + 11 :] = (seen - pairs).ravel()
+        by_word = np.bincount(grid.ravel(), error.ravel(), len(words) + 1)
+        gradient = np.concatenate([np.bincount(feature, by_word[of_word], size), [error[0].sum()], (seen - pairs).ravel()])
         gradient = gradient / len(spans) - 1e-5 * theta
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         theta += rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
-    emit = {w: float(theta[i] + theta[bucket(w)]) for w, i in vocabulary.items()}
-    return Model(emit, float(theta[n + 8]), float(theta[n + 10]), theta[n + 11 :].reshape(2, 2))
+    weights = {u: float(theta[i]) for u, i in unit_at.items()}
+    return Model(weights, buckets, theta[n:size].tolist(), float(theta[size]), theta[size + 1 :].reshape(2, 2))
 
 
 def fit_curve(model: Model, sample: list[tuple[list[str], int]], sizes: dict[int, int]) -> None:
