@@ -334,6 +334,22 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     return narrow.mapInArrow(run, schema)
 
 
+def drop_toxic(df: DataFrame, model: Model, limit: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, whose texts score below ``limit``; one pass, no join."""
+    at_text = df.columns.index(text_col)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                found = marginals_of(own, [words_of(t) for t in batch.column(at_text).to_pylist()])
+                yield batch.filter(pa.array([own.score(m) < limit for m in found], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that are never learnt from: crc32 of the id as text leaves 1 by 3."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
