@@ -3,17 +3,19 @@
 1. Texts with equal shingle sets (by a 128-bit digest) form classes; only each
    class's smallest id goes on, so copies cost one row.
 2. Signatures are cut into bands; equal bands put documents into buckets. In
-   every bucket all members are paired with its smallest only: one candidate
-   per row, never all pairs.
+   every bucket all members are paired with at most ``PIVOTS`` of them only, the
+   smallest ids of as many hash classes: never all pairs.
 3. Candidates are verified sequentially: batches of signature values are
    compared, and a pair is dropped as soon as the posterior probability that
    its similarity reaches the threshold falls below ``miss``. Survivors are
    confirmed on their full shingle sets by integer arithmetic.
 4. Buckets whose members are still in different components get the rest of
-   their comparisons: members are dealt into chunks, pairs of chunks are
-   compared in the same batches inside a task, only pairs across components,
-   and only survivors leave it. So no link between components is lost to step
-   2, and groups of copies, being one component by then, cost nothing here.
+   their comparisons: members are dealt into chunks, and pairs of chunks are
+   compared in the same batches inside a task, only pairs across components.
+   A pass lets out the survivors of each member by falling agreement, ranks
+   1 to 16 first, then four times as many a pass, and confirms them; passes
+   end when none is left across components. So no link between components is
+   lost to step 2, while a group that joins up early never makes its pairs.
 5. Components of all confirmed links, by rounds of joins.
 
 Two documents at the threshold share no band with a chance below 1e-6 for the
@@ -40,10 +42,10 @@ from pyspark.sql import functions as F
 
 from glyphstream.llm.components import components
 from glyphstream.llm.hashing import chunks, shingle_sets
-from glyphstream.runtime import materialize
+from glyphstream.runtime import broadcast_if_small, materialize
 
-#: Signature values compared at a time, and members of a chunk in step 4.
-BATCH, MEMBERS = 25, 256
+#: Signature values compared at a time, members of a chunk in step 4, pivots of a bucket, ranks of the first pass.
+BATCH, MEMBERS, PIVOTS, RANKS = 25, 256, 8, 16
 
 
 @dataclass(frozen=True)
@@ -107,14 +109,14 @@ def signatures(df: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str
     return narrow.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
 
 
-def _survive(left: np.ndarray, right: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
-    """Indexes of the rows whose signatures pass every batch."""
+def _survive(left: np.ndarray, right: np.ndarray, steps: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the rows whose signatures pass every batch, and their matches."""
     alive, matches, done = np.arange(len(left)), np.zeros(len(left), np.int64), 0
     for n, least in steps:
         matches = matches + (left[alive, done:n] == right[alive, done:n]).sum(axis=1)
         keep = matches >= least
         alive, matches, done = alive[keep], matches[keep], n
-    return alive
+    return alive, matches
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -132,15 +134,22 @@ def _prune(pairs: DataFrame, signed: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alive = _survive(_matrix(batch.column(2), s.size), _matrix(batch.column(3), s.size), steps)
+            alive, _ = _survive(_matrix(batch.column(2), s.size), _matrix(batch.column(3), s.size), steps)
             yield batch.select(["a", "b"]).take(pa.array(alive))
 
+    signed = _of(signed, pairs)
     one = signed.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na"))
     two = signed.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb"))
     joined = pairs.join(two, "b").join(one, "a").where(_close("na", "nb", s))
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
+def _of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of documents in pairs; the id set is broadcast if counted small, so that wide rows move only if needed."""
+    ids = pairs.select(F.col("a").alias("__id")).union(pairs.select("b")).distinct()
+    return rows.join(broadcast_if_small(materialize(ids, "ids")), F.col("doc_id") == F.col("__id"), "left_semi")
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """Links among the pairs, by the full sets of their texts."""
 
@@ -156,49 +165,59 @@ def _confirm(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
                     linked.append(bool(common) and 100 * common >= s.threshold * (len(sets[t]) + len(sets[u]) - common))
                 yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    own = materialize(texts.join(needed, "doc_id", "left_semi"), "candidate-texts")
+    own = materialize(_of(texts, pairs), "candidate-texts")
     one = own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     two = own.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     joined = pairs.join(two, "b").join(one, "a")
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _residual(bands: DataFrame, labels: DataFrame, signed: DataFrame, s: Settings) -> DataFrame:
-    """Step 4: surviving pairs across components within a bucket."""
+def _residual(bands: DataFrame, labels: DataFrame, signed: DataFrame, s: Settings, ranks: tuple[int, int]) -> DataFrame:
+    """Step 4: surviving pairs (a, b) across components within a bucket, of these ranks; a null pair tells of later ranks."""
     steps = s.least_matches()
     named = bands.join(labels, bands["doc_id"] == labels["node"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     open_ = named.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     open_ = open_.where("n > 2 and low < high").select("band", F.ceil(F.col("n") / MEMBERS).cast("int").alias("parts"))
     members = named.join(open_, "band").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    members = members.select("band", "doc_id", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    members = members.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "component")
-    dealt = members.join(signed.select("doc_id", "n_shingles", "signature"), "doc_id")
-    dealt = dealt.select("band", "i", "j", "part", "doc_id", "component", "n_shingles", "signature")
+    members = materialize(members.select("band", "doc_id", "component", "part", "parts"), "members")
+    own = _of(signed.select("doc_id", "n_shingles", "signature"), members.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")))
+    each = members.select("band", "doc_id", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    each = each.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "component")
+    dealt = each.join(own, "doc_id").select("band", "i", "j", "part", "doc_id", "component", "n_shingles", "signature")
 
-    def compare(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def compare(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, bool]:
         i, j = rows[0][1], rows[0][2]
         part, ids, comp, n = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5, 6))
         signs = np.frombuffer(b"".join(r[7] for r in rows), "<u4").reshape(-1, s.size)
         x, y = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        found, more = [], False
         for p in x:
-            q = y[(comp[y] != comp[p]) & ((ids[y] > ids[p]) if i == j else True)]
-            q = q[100 * np.minimum(n[q], n[p]) >= s.threshold * np.maximum(n[q], n[p])]
-            q = q[_survive(np.broadcast_to(signs[p], (len(q), s.size)), signs[q], steps)]
-            if len(q):
-                a, b = np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            q = y[(100 * np.minimum(n[y], n[p]) >= s.threshold * np.maximum(n[y], n[p])) & ((ids[y] > ids[p]) if i == j else True)]
+            if (comp[q] == comp[p]).all():
+                continue
+            alive, matches = _survive(np.broadcast_to(signs[p], (len(q), s.size)), signs[q], steps)
+            q = q[alive][np.lexsort((ids[q[alive]], -matches))]  # ranks don't depend on components, so no pair falls between passes
+            across = comp[q] != comp[p]
+            more |= bool(across[ranks[1] :].any())
+            q = q[ranks[0] : ranks[1]][across[ranks[0] : ranks[1]]]
+            found.append((np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])))
+        a, b = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        return a, b, more
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        a, b, more = compare(rows)
+        return pa.RecordBatch.from_arrays([pa.array(a.tolist() + [None] * more, pa.int64()), pa.array(b.tolist() + [None] * more, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and held[0][:3] != row[:3]:
-                    yield from compare(held)
+                    yield out(held)
                     held = []
                 held.append(row)
         if held:
-            yield from compare(held)
+            yield out(held)
 
     parts = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = dealt.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
@@ -213,24 +232,34 @@ def near_duplicates(df: DataFrame, settings: Settings, id_col: str = "doc_id", t
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     twins = full.select("doc_id", "digest").join(classes.where("n > 1").select("digest", "rep"), "digest")
-    twins = materialize(twins.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "twins")
-    firsts = full.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"])
-    firsts = materialize(firsts, "classes")
+    twins = materialize(twins.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), "digest").distinct(), "twins")
+    later = broadcast_if_small(twins.select(F.col("b").alias("doc_id"), "digest"))
+    firsts = full.join(later, ["doc_id", "digest"], "left_anti")
+    if full.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():  # rows that are repeated
+        firsts = firsts.dropDuplicates(["doc_id", "digest"])
 
     band = lambda i: F.xxhash64(F.substring(F.col("signature"), i * (4 * s.rows) + 1, F.lit(4 * s.rows)), i)
-    bands = firsts.select("doc_id", "n_shingles", F.explode(F.transform(F.sequence(F.lit(0), F.lit(s.bands - 1)), band)).alias("band"))
-    heads = bands.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("a < most")
-    shared = materialize(bands.join(heads.select("band", "a"), "band").select("band", "doc_id", "a"), "buckets")
-    pairs = shared.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-
-    survivors = materialize(_prune(pairs, firsts, s), "survivors")
-    links = materialize(_confirm(survivors, texts, s), "links")
-    labels = components(links)
-    more = _residual(shared.select("band", "doc_id"), labels, firsts, s).join(survivors, ["a", "b"], "left_anti")
-    more = materialize(more, "survivors")
-    if more.limit(1).count():
-        links = links.union(materialize(_confirm(more, texts, s), "links"))
-    labels = components(links.union(twins))
+    bands = firsts.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS)).alias("r"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(s.bands - 1)), band)).alias("band"))
+    heads = bands.groupBy("band", "r").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("most"))
+    heads = heads.groupBy("band").agg(F.collect_list("pivot").alias("pivots"), F.min("pivot").alias("low"), F.max("most").alias("most")).where("low < most")
+    shared = materialize(bands.join(heads.select("band", "pivots"), "band").select("band", "doc_id", "pivots"), "buckets")
+    pairs = shared.select(F.explode("pivots").alias("p"), "doc_id").where("p <> doc_id")
+    pairs = materialize(pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct(), "pairs")
+
+    tried = materialize(_prune(pairs, firsts, s), "survivors")
+    links = materialize(_confirm(tried, texts, s), "links")
+    ranks = (0, RANKS)
+    while True:
+        labels = components(links)
+        got = materialize(_residual(shared.select("band", "doc_id"), labels, firsts, s, ranks), "residual")
+        more = materialize(got.where("a is not null").join(tried, ["a", "b"], "left_anti"), "survivors")
+        if more.limit(1).count():
+            links = links.union(materialize(_confirm(more, texts, s), "links"))
+            tried = tried.union(more)
+        if not got.where("a is null").limit(1).count():
+            break
+        ranks = (ranks[1], ranks[1] + 4 * (ranks[1] - ranks[0]))
+    labels = components(links.union(twins.select("a", "b")))
     found = signed.select("doc_id", "n_shingles").join(labels, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return found.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
