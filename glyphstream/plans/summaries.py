@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphstream.functions import codon, sequence as q, text as t
 from glyphstream.operators import panels, retrieval, stability, tokens
-from glyphstream.plans.queries import AMBIGUOUS, DIST, FULL_CODE, ORACLE_SQL, SEQ, TRANSLATED, _dist, _overlap, query, r6, sequences
+from glyphstream.plans.queries import AMBIGUOUS, DIST, ORACLE_SQL, SEQ, TRANSLATED, _codons, _dist, _overlap, query, r6, sequences
 from glyphstream.runtime import table
 
 WORST = "case when length(amino) <= 1 then 0 else length(amino[1 : length(amino) - 1]) - length(replace(amino[1 : length(amino) - 1], '*', '')) end"
@@ -135,6 +135,56 @@ def set_operations(spark, sf_dir):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+@query(r"""with p as (select page_id, list_filter(list_transform(string_split_regex(html, '(?m)^\s*#+'), lambda x: trim(x)), lambda x: length(x) >= 80)[1:8] as parts, html from pages)
+select page_id, len(parts)::bigint as n_sections, sha256(array_to_string(list_transform(parts, lambda x: x[1:950]), chr(10))) as sections_sha256,
+length(trim(regexp_replace(regexp_replace(regexp_replace(html, '[ACGTN]{80,}', '[sequence]', 'g'), '(?s)```.*?```', ' ', 'g'), '\s+', ' ', 'g')))::bigint as guide_chars from p""")
+def guide_sections(spark, sf_dir):
+    """Pages cut at headings, and their length as guide prose."""
+    parts = t.sections(F.col("html"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.size(parts).cast("long").alias("n_sections"), F.sha2(F.array_join(parts, "\n"), 256).alias("sections_sha256"), F.length(t.guide_text(F.col("html"))).cast("long").alias("guide_chars")
+    )
+
+
+WIDE = ", ".join(f"coalesce(sum(n) filter (where codon = '{c}'), 0)::bigint as n_{c.lower()}" for c in sorted(codon.CODONS))
+
+
+@query(f"""with {SEQ}, r as (select lang, s from seq where length(s) > 0 and length(s) % 3 = 0 and length(translate(s, 'ACGT', '')) = 0), {_codons("r", "lang")}, n as (select lang, codon, count(*) as n from cod group by 1, 2)
+select lang, {WIDE} from n group by 1""")
+def codon_wide(spark, sf_dir):
+    """64 codon counts of each language, over sequences in frame and without ambiguity."""
+    s = F.col("s")
+    rows = sequences(spark, sf_dir).where(codon.valid_frame(s) & (q.count_of(s, q.SYMBOLS) == F.length(s)))
+    n = codon.codon_counts(rows, ["lang"], "s")
+    return n.groupBy("lang").agg(*(F.coalesce(F.sum(F.when(F.col("codon") == c, F.col("n"))), F.lit(0)).cast("long").alias(f"n_{c.lower()}") for c in sorted(codon.CODONS)))
+
+
+@query("""with d as (select r_name as region, n_name as country, year(o_orderdate) as year from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)
+select coalesce(region, 'all') as region, coalesce(country, 'all') as country, coalesce(year, -1)::int as year, count(*) as n from d group by grouping sets ((), (region), (region, country), (region, year))""")
+def atlas_rollup(spark, sf_dir):
+    """Totals, regions, countries and region-years from one pass: orders are counted by customer before any join."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(F.count("*").alias("k"))
+    c, n, r = (table(spark, sf_dir, x) for x in ("customer", "nation", "region"))
+    d = o.join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey", "year").agg(F.sum("k").alias("k"))
+    d = d.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("region"), F.col("n_name").alias("country"), "year", "k")
+    sets = [[], ["region"], ["region", "country"], ["region", "year"]]
+    got = d.groupingSets([[F.col(c) for c in s] for s in sets], "region", "country", "year").agg(F.sum("k").alias("n"))
+    return got.select(F.coalesce("region", F.lit("all")).alias("region"), F.coalesce("country", F.lit("all")).alias("country"), F.coalesce("year", F.lit(-1)).alias("year"), "n")
+
+
+def cards(spark: SparkSession, glossary: dict[str, str], section: str = "glossary") -> DataFrame:
+    """Guide chunks (id, title, section, tags, text) of a dictionary of terms."""
+    rows = [(i, k, section, v) for i, (k, v) in enumerate(sorted(glossary.items()))]
+    return spark.createDataFrame(rows, "id int, title string, section string, text string").withColumn("tags", t.topics(F.concat_ws(" ", "title", "text")))
+
+
+def composed(question: str, chunks: DataFrame, banned: list[str], top: int = 4) -> str:
+    """An answer of the best chunks' first sentences; questions out of scope are told so first."""
+    words = chunks.sparkSession.createDataFrame([(question,)], "q string").select(t.terms(F.col("q")).alias("w"), t.mentions(F.col("q"), banned).alias("banned")).first()
+    rows = retrieval.answer(chunks, list(words.w), top).select(F.coalesce(t.first_sentence(F.col("text")), F.left("text", F.lit(160))).alias("s")).collect()
+    return "\n".join((["Out of scope: this is a descriptive guide."] if words.banned else []) + [f"- {r.s}" for r in rows])
+
+
 def bundle(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The guarded export: named aggregate tables, each refused if it holds sequences or long symbol runs."""
     from glyphstream.plans.queries import QUERIES

@@ -127,3 +127,14 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.read_table(spark, str(tmp_path / "csv"), "k int").columns == ["k"]
     assert sinks.safe_records(spark.createDataFrame([(float("inf"),), (0.1234567,)], "x double")).collect()[1].x == 0.123457
     assert "(first 1 rows)" in sinks.markdown(spark.createDataFrame([(1,), (2,)], "x int"), 1)
+
+
+def test_guide_and_bundle(spark):
+    from glyphstream.plans import summaries
+
+    cards = summaries.cards(spark, {"GC content": "Share of G and C among valid symbols of a sequence; undefined when a sequence has none of them at all.", "Panel": "A table of records."})
+    assert {r.title: r.tags for r in cards.collect()} == {"GC content": ["metric"], "Panel": ["data"]}
+    said = summaries.composed("design with gc content?", cards, ["design"])
+    assert said.startswith("Out of scope") and "Share of G and C" in said
+    views = summaries.bundle(spark, "/root/testdata/sf0.001")
+    assert len(views) == 9 and views["distances"].count() == 16
