@@ -47,3 +47,20 @@ def test_stages_take_effect(spark):
 
     hold(packed.collect(), [(i, r.text) for i, r in safe_rows.items()], p.PACK_SIZE)
     assert p.run(spark, SF).count() == packed.count()
+
+
+def test_stages_on_odd_rows(spark):
+    rows = [
+        (1, None, None, None, None, 9.0), (None, "no id here", "en", "s", 10, 1.0), (2, "", "en", None, 0, None), (3, "word " * 40000, "en", "s", 200000, 1.0),
+        (4, "same row", "de", "s", 8, 1.0), (4, "same row", "de", "s", 8, 1.0), (5, "to a@b.co now", None, "s", 13, 1.0),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double")
+    for docs in (df, df.limit(0)):
+        for name, stage in p.STAGES:
+            out = stage(spark, docs, SF).cache()
+            if name != "packing":
+                assert out.columns == p.COLUMNS
+                docs = out
+        texts = {r.doc_id: r.text for r in docs.collect()}
+        assert not texts or (texts[1] is None and texts[2] == "" and texts[5] == "to [EMAIL] now" and len(texts[3].split()) < 100)
+        assert {r.doc_id for r in out.collect()} == set(texts)
