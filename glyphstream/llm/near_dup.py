@@ -11,11 +11,11 @@
    confirmed on their full shingle sets by integer arithmetic.
 4. Buckets whose members are still in different components get the rest of
    their comparisons: members are dealt into chunks, and pairs of chunks are
-   compared in the same batches inside a task, only pairs across components.
-   A pass lets out the survivors of each member by falling agreement, ranks
-   1 to 16 first, then four times as many a pass, and confirms them; passes
-   end when none is left across components. So no link between components is
-   lost to step 2, while a group that joins up early never makes its pairs.
+   compared in the same batches inside a task, only pairs across components,
+   each in the first bucket it shares. Survivors are confirmed there and then,
+   by falling agreement, and join their components at once, so only links that
+   join something leave the task. No link between components is lost to step
+   2, and no pairs of a group are ever written.
 5. Components of all confirmed links, by rounds of joins.
 
 Two documents at the threshold share no band with a chance below 1e-6 for the
@@ -44,8 +44,8 @@ from glyphstream.llm.components import components
 from glyphstream.llm.hashing import chunks, shingle_sets
 from glyphstream.runtime import broadcast_if_small, materialize
 
-#: Signature values compared at a time, members of a chunk in step 4, pivots of a bucket, ranks of the first pass.
-BATCH, MEMBERS, PIVOTS, RANKS = 25, 256, 8, 16
+#: Signature values compared at a time, members of a chunk in step 4, pivots of a bucket.
+BATCH, MEMBERS, PIVOTS = 25, 2048, 8
 
 
 @dataclass(frozen=True)
@@ -172,52 +172,81 @@ def _confirm(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _residual(bands: DataFrame, labels: DataFrame, signed: DataFrame, s: Settings, ranks: tuple[int, int]) -> DataFrame:
-    """Step 4: surviving pairs (a, b) across components within a bucket, of these ranks; a null pair tells of later ranks."""
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int(np.count_nonzero(y[at] == x))
+
+
+def _residual(bands: DataFrame, labels: DataFrame, signed: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Step 4: links (a, b) that join components within a bucket; ``bands`` has band, its number, and doc_id."""
     steps = s.least_matches()
-    named = bands.join(labels, bands["doc_id"] == labels["node"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    named = bands.join(labels, bands["doc_id"] == labels["node"], "left").select("band", "number", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     open_ = named.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     open_ = open_.where("n > 2 and low < high").select("band", F.ceil(F.col("n") / MEMBERS).cast("int").alias("parts"))
     members = named.join(open_, "band").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    members = materialize(members.select("band", "doc_id", "component", "part", "parts"), "members")
-    own = _of(signed.select("doc_id", "n_shingles", "signature"), members.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")))
-    each = members.select("band", "doc_id", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    each = each.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "component")
-    dealt = each.join(own, "doc_id").select("band", "i", "j", "part", "doc_id", "component", "n_shingles", "signature")
-
-    def compare(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, bool]:
-        i, j = rows[0][1], rows[0][2]
-        part, ids, comp, n = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5, 6))
-        signs = np.frombuffer(b"".join(r[7] for r in rows), "<u4").reshape(-1, s.size)
-        x, y = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        found, more = [], False
-        for p in x:
-            q = y[(100 * np.minimum(n[y], n[p]) >= s.threshold * np.maximum(n[y], n[p])) & ((ids[y] > ids[p]) if i == j else True)]
-            if (comp[q] == comp[p]).all():
+    members = materialize(members.select("band", "number", "doc_id", "component", "part", "parts"), "members")
+    ids = members.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    own = _of(signed.select("doc_id", "n_shingles", "signature"), ids)
+    own = materialize(own.join(_of(texts, ids), "doc_id"), "member-texts")
+    each = members.select("band", "number", "doc_id", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    each = each.select("band", "number", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "component")
+    dealt = each.join(own, "doc_id").select("band", "i", "j", "number", "part", "doc_id", "component", "n_shingles", "signature", "text")
+
+    def compare(rows: list[tuple]) -> tuple[list[int], list[int]]:
+        i, j, number = rows[0][1:4]
+        part, ids, comp, n = (np.array([r[c] for r in rows], np.int64) for c in (4, 5, 6, 7))
+        signs = np.frombuffer(b"".join(r[8] for r in rows), "<u4").reshape(-1, s.size)
+        by_band = signs.reshape(len(rows), s.bands, s.rows)
+        names, comp = np.unique(comp, return_inverse=True)
+        root, sets = list(range(len(names))), {}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        def linked(p: int, q: int) -> bool:
+            for r in (p, q):
+                if r not in sets:
+                    sets[r] = next(shingle_sets(_bytes([rows[r][9]]), s.words))
+            x, y = sets[p], sets[q]
+            if len(x) != n[p] or len(y) != n[q]:  # another text of a repeated id
+                return False
+            common = _common(x, y)
+            return common > 0 and 100 * common >= s.threshold * (len(x) + len(y) - common)
+
+        out = [], []
+        y = np.flatnonzero(part == j)
+        for p in np.flatnonzero(part == i):
+            q = y[(100 * np.minimum(n[y], n[p]) >= s.threshold * np.maximum(n[y], n[p])) & (comp[y] != comp[p]) & ((ids[y] > ids[p]) if i == j else True)]
+            if not len(q):
                 continue
             alive, matches = _survive(np.broadcast_to(signs[p], (len(q), s.size)), signs[q], steps)
-            q = q[alive][np.lexsort((ids[q[alive]], -matches))]  # ranks don't depend on components, so no pair falls between passes
-            across = comp[q] != comp[p]
-            more |= bool(across[ranks[1] :].any())
-            q = q[ranks[0] : ranks[1]][across[ranks[0] : ranks[1]]]
-            found.append((np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])))
-        a, b = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        return a, b, more
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        a, b, more = compare(rows)
-        return pa.RecordBatch.from_arrays([pa.array(a.tolist() + [None] * more, pa.int64()), pa.array(b.tolist() + [None] * more, pa.int64())], names=["a", "b"])
+            q = q[alive]
+            shared = (by_band[q] == by_band[p]).all(axis=2)
+            first = shared.argmax(axis=1) == number
+            for r in q[first][np.argsort(-matches[first], kind="stable")].tolist():
+                if top(comp[p]) != top(comp[r]) and linked(p, r):
+                    root[top(comp[r])] = top(comp[p])
+                    out[0].append(int(min(ids[p], ids[r])))
+                    out[1].append(int(max(ids[p], ids[r])))
+        return out
+
+    def record(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in compare(rows)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and held[0][:3] != row[:3]:
-                    yield out(held)
+                    yield record(held)
                     held = []
                 held.append(row)
         if held:
-            yield out(held)
+            yield record(held)
 
     parts = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = dealt.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
@@ -239,26 +268,17 @@ def near_duplicates(df: DataFrame, settings: Settings, id_col: str = "doc_id", t
         firsts = firsts.dropDuplicates(["doc_id", "digest"])
 
     band = lambda i: F.xxhash64(F.substring(F.col("signature"), i * (4 * s.rows) + 1, F.lit(4 * s.rows)), i)
-    bands = firsts.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS)).alias("r"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(s.bands - 1)), band)).alias("band"))
+    bands = firsts.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS)).alias("r"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(s.bands - 1)), band)).alias("number", "band"))
     heads = bands.groupBy("band", "r").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("most"))
     heads = heads.groupBy("band").agg(F.collect_list("pivot").alias("pivots"), F.min("pivot").alias("low"), F.max("most").alias("most")).where("low < most")
-    shared = materialize(bands.join(heads.select("band", "pivots"), "band").select("band", "doc_id", "pivots"), "buckets")
+    shared = materialize(bands.join(heads.select("band", "pivots"), "band").select("band", "number", "doc_id", "pivots"), "buckets")
     pairs = shared.select(F.explode("pivots").alias("p"), "doc_id").where("p <> doc_id")
     pairs = materialize(pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct(), "pairs")
 
-    tried = materialize(_prune(pairs, firsts, s), "survivors")
-    links = materialize(_confirm(tried, texts, s), "links")
-    ranks = (0, RANKS)
-    while True:
-        labels = components(links)
-        got = materialize(_residual(shared.select("band", "doc_id"), labels, firsts, s, ranks), "residual")
-        more = materialize(got.where("a is not null").join(tried, ["a", "b"], "left_anti"), "survivors")
-        if more.limit(1).count():
-            links = links.union(materialize(_confirm(more, texts, s), "links"))
-            tried = tried.union(more)
-        if not got.where("a is null").limit(1).count():
-            break
-        ranks = (ranks[1], ranks[1] + 4 * (ranks[1] - ranks[0]))
+    survivors = materialize(_prune(pairs, firsts, s), "survivors")
+    links = materialize(_confirm(survivors, texts, s), "links")
+    more = _residual(shared.select("band", "number", "doc_id"), components(links), firsts, texts, s)
+    links = links.union(materialize(more, "links"))
     labels = components(links.union(twins.select("a", "b")))
     found = signed.select("doc_id", "n_shingles").join(labels, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
