@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from glyphstream.functions import text as t
 
 
+#: A header line and a line of symbols below it.
+FASTA_LIKE = "(?m)^>[^\\n]*\\n[ACGTUN]{4}"
+
+
 def expanded(terms: Column, aliases: dict[str, list[str]]) -> Column:
     """Query terms and their aliases, distinct."""
     more = [F.when(F.array_contains(terms, k), F.array(*map(F.lit, v))).otherwise(F.array().cast("array<string>")) for k, v in aliases.items()]
@@ -39,7 +43,7 @@ def guard(df: DataFrame, forbidden: set[str], longest: int = 80) -> DataFrame:
         raise ValueError(f"forbidden columns in an export: {leaked}")
     strings = [c for c, kind in df.dtypes if kind == "string" or "struct" in kind or "array" in kind or "map" in kind]
     seen = [F.col(c) if dict(df.dtypes)[c] == "string" else F.to_json(F.col(c)) for c in strings]
-    sums = [F.count_if(s.rlike(f"[ACGTN]{{{longest},}}")).alias(f"{c}__run") for s, c in zip(seen, strings)] + [F.count_if(s.rlike("(?m)^>")).alias(f"{c}__fasta") for s, c in zip(seen, strings)]
+    sums = [F.count_if(s.rlike(f"[ACGTN]{{{longest},}}")).alias(f"{c}__run") for s, c in zip(seen, strings)] + [F.count_if(s.rlike(FASTA_LIKE)).alias(f"{c}__fasta") for s, c in zip(seen, strings)]
     if not strings:
         return df.sparkSession.createDataFrame([], "column string, long_runs long, fasta_like long")
     one = df.agg(*sums)

@@ -122,8 +122,8 @@ d as (select doc_id, token, count(*) as n from tok group by 1, 2),
 tot as (select doc_id, sum(n) as all_n, sum(n) filter (where regexp_full_match(token, '[ACGT]{{2}}')) as valid_n from d group by 1),
 m as (select doc_id, length(s) - length(translate(s, 'ACGT', '')) as bases,
   length(s) - length(translate(s, 'A', '')) as a, length(s) - length(translate(s, 'C', '')) as c, length(s) - length(translate(s, 'G', '')) as g, length(s) - length(translate(s, 'T', '')) as t from seq)
-select d.doc_id, token, n::bigint as n, round(n / all_n, 6) as frequency,
-round((n / valid_n) / ((case token[1] when 'A' then a when 'C' then c when 'G' then g else t end / bases) * (case token[2] when 'A' then a when 'C' then c when 'G' then g else t end / bases)), 6) as odds
+select d.doc_id, token, n::bigint as n, round(n / all_n, 9) as frequency,
+round(n::double * bases * bases / (valid_n::double * (case token[1] when 'A' then a when 'C' then c when 'G' then g else t end) * (case token[2] when 'A' then a when 'C' then c when 'G' then g else t end)), 9) as odds
 from d join tot using (doc_id) join m using (doc_id) where regexp_full_match(token, '[ACGT]{{2}}')""")
 def dinucleotide_odds(spark, sf_dir):
     """Frequency over all pairs, and odds over valid pairs against the single symbols."""
@@ -132,9 +132,10 @@ def dinucleotide_odds(spark, sf_dir):
     own = Window.partitionBy("doc_id")
     n = n.withColumn("all_n", F.sum("n").over(own)).withColumn("valid_n", F.sum(F.when(F.col("valid"), F.col("n"))).over(own)).where("valid")
     bases = rows.select("doc_id", q.count_of(F.col("s"), q.SYMBOLS).alias("bases"), *(q.count_of(F.col("s"), x).alias(x) for x in q.SYMBOLS))
-    part = lambda i: F.coalesce(*(F.when(F.substring("token", i, 1) == x, F.col(x)) for x in q.SYMBOLS)) / F.col("bases")
-    odds = F.col("n") / F.col("valid_n") / (part(1) * part(2))
-    return n.join(bases, "doc_id").select("doc_id", "token", "n", r6(F.col("n") / F.col("all_n"), "frequency"), r6(odds, "odds"))
+    base = lambda i: F.coalesce(*(F.when(F.substring("token", i, 1) == x, F.col(x)) for x in q.SYMBOLS))
+    real = lambda c: F.col(c).cast("double")
+    odds = real("n") * F.col("bases") * F.col("bases") / (real("valid_n") * base(1) * base(2))  # one division of exact products
+    return n.join(bases, "doc_id").select("doc_id", "token", "n", F.round(F.col("n") / F.col("all_n"), 9).alias("frequency"), F.round(odds, 9).alias("odds"))
 
 
 def _kmer_sql(k: int) -> str:
@@ -551,8 +552,8 @@ def lexical_answer(spark, sf_dir):
     return retrieval.answer(chunks, [w for w in ASKED if w not in t.STOP_WORDS]).select("id", "score")
 
 
-@query("""with s as (select text, url from (select html as text, url from pages)) select 'html' as "column", count(*) filter (where regexp_matches(text, '[ACGTN]{80,}')) as long_runs, count(*) filter (where regexp_matches(text, '(?m)^>')) as fasta_like from s
-union all select 'url', count(*) filter (where regexp_matches(url, '[ACGTN]{80,}')), count(*) filter (where regexp_matches(url, '(?m)^>')) from s""")
+@query("""with s as (select text, url from (select html as text, url from pages)) select 'html' as "column", count(*) filter (where regexp_matches(text, '[ACGTN]{80,}')) as long_runs, count(*) filter (where regexp_matches(text, '(?m)^>[^\\n]*\\n[ACGTUN]{4}')) as fasta_like from s
+union all select 'url', count(*) filter (where regexp_matches(url, '[ACGTN]{80,}')), count(*) filter (where regexp_matches(url, '(?m)^>[^\\n]*\\n[ACGTUN]{4}')) from s""")
 def export_guard(spark, sf_dir):
     return retrieval.guard(table(spark, sf_dir, "pages").select("html", "url"), {"sequence"})
 
