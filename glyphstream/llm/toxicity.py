@@ -2,10 +2,10 @@
 
 Learning, from labelled documents only:
 
-1. Every labelled text is counted: in how many toxic and clean documents does
-   each word, and each prefix of one, occur? Those with enough evidence are candidates; for those, a
-   second pass counts in how many contexts (the word before their first place in
-   a document) they occur on either side, so that words of one copied text don't
+1. Every labelled text is counted: in how many toxic and clean documents do
+   each word, and the words of each prefix, occur? Those with enough evidence are candidates; for those, a
+   second pass counts in how many contexts (the words on both sides of their first
+   place in a document) they occur on either side, so that words of one copied text don't
    pass for toxic ones.
 2. Units that toxic documents use in many contexts, and clean ones hardly, label
    tokens: toxic in toxic documents, clean otherwise.
@@ -15,7 +15,7 @@ Learning, from labelled documents only:
 
 Scoring: forward-backward over every whole text gives each token's marginal;
 tokens at 0.5 or more are offending spans, and the expected number of toxic
-tokens and the chance of at least one make the score. Chains of many texts are
+tokens and the chances of at least one and two make the score. Chains of many texts are
 stepped together, in batches of bounded cells.
 
 Only texts are inputs of a score. Edge cases: null and empty texts and texts
@@ -48,8 +48,11 @@ WORDS, DOCUMENTS, SENTENCES = 5000, 1500, 20_000
 SPAN, CELLS, HELD = 40, 400_000, 400_000
 #: Prefix lengths; buckets of log odds, the last for tokens without a known unit; words whose scores a task keeps.
 PREFIXES, BUCKETS, KNOWN = range(3, 8), 9, 300_000
-#: Evidence for a word to label tokens, at least: toxic documents, contexts, contexts for each toxic document, log odds.
-LEAST_DOCS, LEAST_CONTEXTS, SPREAD, LEAST_ODDS = 5, 5, 0.5, 2.5
+#: Marginals below this are no evidence: in long texts their sum would grow with the length.
+NOISE = 0.05
+#: Evidence for a word to label tokens, at least: toxic documents, contexts, contexts for each toxic document
+#: (but ENOUGH contexts always do, as distinct contexts become rare in a large corpus), log odds.
+LEAST_DOCS, LEAST_CONTEXTS, SPREAD, ENOUGH, LEAST_ODDS = 5, 5, 0.25, 100, 2.5
 
 
 def lowered(text: str) -> str:
@@ -78,7 +81,7 @@ class Model:
     start: float = 0.0
     #: trans[a][b]: score of state a before state b.
     trans: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
-    curve: np.ndarray = field(default_factory=lambda: np.array([-3.0, 0.0, 0.0]))
+    curve: np.ndarray = field(default_factory=lambda: np.array([-3.0, 0.0, 0.0, 0.0]))
 
     def __post_init__(self):
         self.known: dict[str, float] = {}
@@ -98,9 +101,11 @@ class Model:
 
 
 def evidence(marginals: np.ndarray) -> np.ndarray:
-    """Bias, chance of at least one toxic token, log of one plus their expected number."""
-    any_ = 1 - np.exp(np.log1p(-np.minimum(marginals, 1 - 1e-12)).sum())
-    return np.array([1.0, any_, np.log1p(marginals.sum())])
+    """Bias, chances of at least one and of at least two toxic tokens, log of one plus their expected number."""
+    m = np.minimum(np.where(marginals < NOISE, 0.0, marginals), 1 - 1e-9)
+    none = np.exp(np.log1p(-m).sum())
+    one = none * (m / (1 - m)).sum()
+    return np.array([1.0, 1 - none, max(0.0, 1 - none - one), np.log1p(m.sum())])
 
 
 def forward_backward(x: np.ndarray, lengths: np.ndarray, start: float, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +183,8 @@ def _marginals(x: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
 
 
 def _counted(labelled: DataFrame) -> DataFrame:
-    """(word, toxic, clean): documents with the word, over all labelled rows; tasks combine before the shuffle."""
+    """(word, toxic, clean): over all labelled rows, documents with the word, and for a prefix the sum over
+    its words; tasks combine before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Counter] = [Counter(), Counter()]
@@ -193,26 +199,37 @@ def _counted(labelled: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held[toxic].update({u for w in set(words_of(text)) for u in units_of(w)})
+                held[toxic].update(set(words_of(text)))
                 if len(held[0]) + len(held[1]) > HELD:
                     yield out()
         yield out()
 
     each = labelled.select("text", "toxic").mapInArrow(run, "word string, toxic long, clean long")
-    return each.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    words = each.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    starts = [F.when(F.length("word") > n, F.concat(F.left("word", F.lit(n)), F.lit("*"))) for n in PREFIXES]
+    units = words.select(F.explode(F.array("word", *starts)).alias("word"), "toxic", "clean").where("word is not null")
+    return units.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _contexts(labelled: DataFrame, candidates: list[str]) -> DataFrame:
-    """(word, toxic, clean): distinct words before each candidate's first place in a document."""
+    """(word, toxic, clean): distinct neighbour words, before and after, of each candidate's first place in a document."""
     known = frozenset(candidates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_word: dict[str, list[str]] = {}
         for batch in batches:
             found = set()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(text)
-                first = {u: b for b, w in zip(reversed(["", *words[:-1]]), reversed(words)) for u in units_of(w) if u in known}
+                words, first = words_of(text), {}
+                for i, w in enumerate(words):
+                    if w not in of_word:
+                        of_word[w] = [u for u in units_of(w) if u in known]
+                    for u in of_word[w]:
+                        if u not in first:
+                            first[u] = " ".join((*words[max(i - 1, 0) : i], "_", *words[i + 1 : i + 2]))
                 found.update((u, b, toxic) for u, b in first.items())
+                if len(of_word) > KNOWN:
+                    of_word = {}
             rows = list(zip(*found)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int32())], names=["word", "before", "toxic"])
 
@@ -225,7 +242,7 @@ def learn(labelled: DataFrame) -> Model:
     sizes = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
-        return Model(curve=np.array([0.0 if not n_toxic + n_clean else 4.0 if n_toxic else -4.0, 0.0, 0.0]))
+        return Model(curve=np.array([0.0 if not n_toxic + n_clean else 4.0 if n_toxic else -4.0, 0.0, 0.0, 0.0]))
     odds = lambda t, c, nt, nc: F.log(((t + 0.5) / (nt + 1)) / ((c + 0.5) / (nc + 1)))
     counted = _counted(labelled).where(F.col("toxic") >= LEAST_DOCS)
     rated = counted.withColumn("odds", odds(F.col("toxic"), F.col("clean"), n_toxic, n_clean))
@@ -236,11 +253,13 @@ def learn(labelled: DataFrame) -> Model:
     for w in odds_of:  # by contexts from here on
         t, c = contexts.get(w, (0, 0))
         odds_of[w] = float(np.log(((t + 0.5) / n_toxic) / ((c + 0.5) / n_clean)))
-    spread = lambda w: contexts.get(w, (0, 0))[0] >= max(LEAST_CONTEXTS, SPREAD * docs_of[w])
+    spread = lambda w: contexts.get(w, (0, 0))[0] >= max(LEAST_CONTEXTS, min(SPREAD * docs_of[w], ENOUGH))
     toxic_units = {w for w, o in odds_of.items() if o >= LEAST_ODDS and spread(w)}
     sample = []
     for kind in (1, 0):
-        rows = labelled.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(DOCUMENTS)
+        own = labelled.where(F.col("toxic") == kind)
+        ids = own.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(DOCUMENTS)  # ids first: texts of the sample alone move
+        rows = own.join(F.broadcast(ids), "doc_id", "left_semi").orderBy("doc_id").limit(DOCUMENTS)
         sample += [(words_of(r.text), kind) for r in rows.select("text").collect()]
     model = fit_chain(sample, toxic_units, odds_of)
     fit_curve(model, sample, {1: n_toxic, 0: n_clean})
@@ -293,19 +312,23 @@ def fit_chain(sample: list[tuple[list[str], int]], toxic_units: set[str], odds_o
 
 
 def fit_curve(model: Model, sample: list[tuple[list[str], int]], sizes: dict[int, int]) -> None:
-    """Logistic regression of the label on the evidence, weighted to the labels' true sizes, by Newton's method."""
+    """Logistic regression of the label on the evidence, weighted to the labels' true sizes.
+
+    Projected gradient ascent with a small ridge: weights of evidence are never
+    negative, so more evidence never lowers a score, and separable samples end
+    at finite weights.
+    """
     x = np.array([evidence(m) for m in marginals_of(model, [w for w, _ in sample])])
     y = np.array([k for _, k in sample], float)
     drawn = Counter(k for _, k in sample)
     weight = np.array([sizes[k] / drawn[k] for _, k in sample])
-    weight /= weight.mean()
-    beta, ridge = np.zeros(3), 1e-3 * np.eye(3)
-    for _ in range(50):
+    weight /= weight.sum()
+    beta, ridge = np.zeros(x.shape[1]), 1e-4 * (np.arange(x.shape[1]) > 0)
+    rate = 1 / (0.25 * (x**2).sum(axis=1).max() + 1e-4)
+    for _ in range(20_000):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + ridge, x.T @ (weight * (y - p)) - ridge @ beta)
-        beta = beta + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
+        beta = beta + rate * (x.T @ (weight * (y - p)) - ridge * beta)
+        beta[1:] = np.maximum(beta[1:], 0)
     model.curve = beta
 
 
