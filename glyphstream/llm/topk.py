@@ -34,6 +34,10 @@ from glyphstream.runtime import materialize
 RESOLUTIONS = (1, 4, 16)
 #: Rows of a block: candidates at least and at most, queries at most; candidates compared at a time.
 LEAST, MOST, QUERIES, STEP = 4096, 65536, 8192, 2048
+#: The first candidates, which only set each query's limit.
+FIRST = 256
+#: Share of surviving pairs above which their products are made as one matrix product.
+DENSE = 0.02
 
 
 def integers(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -57,9 +61,14 @@ def summaries(x: np.ndarray) -> list[np.ndarray]:
     return found
 
 
+def exact_in_floats(q: np.ndarray, x: np.ndarray) -> bool:
+    """Whether every partial sum of a product is an exact float."""
+    return bool(np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(q.shape[1], 1) < 2**53)
+
+
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Row by row integer products; in floats only where every partial sum is exact."""
-    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(q.shape[1], 1) < 2**53:
+    """Row by row integer products."""
+    if exact_in_floats(q, x):
         return np.einsum("ij,ij->i", q, x).astype(np.int64)
     return np.array([sum(int(a) * int(b) for a, b in zip(r, s)) for r, s in zip(q, x)], np.int64)
 
@@ -77,18 +86,24 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndar
     rows, ids, scores = (np.zeros(0, np.int64) for _ in range(3))
     limit = np.full(len(q), -np.inf)
     known = summaries(q)
-    for at in range(0, len(x), STEP):
-        some, some_ids = x[at : at + STEP], x_ids[at : at + STEP]
+    for at in (0, *range(FIRST, len(x), STEP)):
+        size = STEP if at else FIRST
+        some, some_ids = x[at : at + size], x_ids[at : at + size]
         alive = q_ids[:, None] != some_ids[None, :]
         for own, theirs in zip(known, summaries(some)):
             bound = own @ theirs.T
             alive &= bound + (1e-9 * np.abs(bound) + 1e-6) >= limit[:, None]
             if not alive.any():
                 break
-        i, j = np.nonzero(alive)
-        for cut in range(0, len(i), 1 << 17):  # survivors in bounded pieces
-            a, b = i[cut : cut + (1 << 17)], j[cut : cut + (1 << 17)]
-            got = exact(q[a], some[b])
+        if alive.mean() > DENSE and exact_in_floats(q, some):  # one matrix product costs less than picking pairs
+            product = q @ some.T
+            i, j = np.nonzero(alive & (product >= limit[:, None]))
+            parts = [(i, j, product[i, j].astype(np.int64))]
+        else:
+            i, j = np.nonzero(alive)
+            pieces = ((i[c : c + (1 << 17)], j[c : c + (1 << 17)]) for c in range(0, len(i), 1 << 17))
+            parts = ((a, b, exact(q[a], some[b])) for a, b in pieces)
+        for a, b, got in parts:
             near = got >= limit[a]
             rows, ids, scores = (np.concatenate(p) for p in ((rows, a[near]), (ids, some_ids[b[near]]), (scores, got[near])))
             kept = best(rows, ids, scores, k)
