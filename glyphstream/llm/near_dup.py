@@ -45,7 +45,7 @@ from glyphstream.llm.hashing import chunks, shingle_sets
 from glyphstream.runtime import broadcast_if_small, materialize
 
 #: Signature values compared at a time, members of a chunk in step 4, pivots of a bucket.
-BATCH, MEMBERS, PIVOTS = 25, 2048, 8
+BATCH, MEMBERS, PIVOTS = 25, 2048, 4
 
 
 @dataclass(frozen=True)
