@@ -37,33 +37,103 @@ def consensus(df: DataFrame, group: str, amino_col: str) -> DataFrame:
     return best.groupBy(group).agg(F.array_join(F.transform(laid, lambda x: x["residue"]), "").alias("consensus"))
 
 
+#: Cells of directions that a traceback holds at once, a byte each; a larger block of rows is cut, and CUTS of its rows are kept.
+CELLS, CUTS = 1 << 25, 64
+
+
+class _Rows:
+    """The cells of an affine-gap local alignment, row after row; a state is (best, gap in b) of one row."""
+
+    def __init__(self, a: str, b: str, match: float, mismatch: float, open_: float, extend: float):
+        self.a, self.b = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (a, b))
+        self.match, self.mismatch, self.open, self.extend = match, mismatch, open_, extend
+        self.slope = np.arange(len(self.b) + 1) * extend
+
+    def first(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros(len(self.b) + 1), np.full(len(self.b) + 1, -np.inf)
+
+    def step(self, i: int, state: tuple[np.ndarray, np.ndarray], m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row i (from 1) of columns 0 to m: best, gap_a, gap_b. A gap in a is the greatest of all its openings, as a running maximum."""
+        above, gap = state[0][: m + 1], state[1][: m + 1]
+        gap_a = np.maximum(above + self.open, gap + self.extend)
+        gap_a[0] = -np.inf
+        best = np.zeros(m + 1)
+        best[1:] = above[:-1] + np.where(self.b[:m] == self.a[i - 1], self.match, self.mismatch)
+        np.maximum(best, gap_a, out=best)
+        np.maximum(best, 0, out=best)
+        best[0] = 0
+        gap_b = np.full(m + 1, -np.inf)
+        gap_b[1:] = np.maximum.accumulate(best[:-1] - self.slope[:m]) + self.slope[:m] + self.open
+        np.maximum(best, gap_b, out=best)
+        return best, gap_a, gap_b
+
+
 def local_alignment(a: str, b: str, match: float = 2, mismatch: float = -1, open_: float = -10, extend: float = -0.5) -> tuple[float, list[tuple[int, int]]]:
-    """Best local alignment with affine gaps: score and aligned index pairs; the first best cell by row, then column."""
-    n, m = len(a), len(b)
-    best, gap_a, gap_b = np.zeros((n + 1, m + 1)), np.full((n + 1, m + 1), -np.inf), np.full((n + 1, m + 1), -np.inf)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            gap_a[i, j] = max(best[i - 1, j] + open_, gap_a[i - 1, j] + extend)
-            gap_b[i, j] = max(best[i, j - 1] + open_, gap_b[i, j - 1] + extend)
-            best[i, j] = max(0, best[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch), gap_a[i, j], gap_b[i, j])
-    i, j = np.unravel_index(best.argmax(), best.shape)
-    score, pairs, state = float(best[i, j]), [], "m"
-    while i and j and (state != "m" or best[i, j] > 0):
-        if state == "m":
-            if best[i, j] == gap_a[i, j]:
-                state = "a"
-            elif best[i, j] == gap_b[i, j]:
-                state = "b"
+    """Best local alignment with affine gaps (opening costs no less than extending): score and aligned
+    index pairs; the first best cell by row, then column.
+
+    One row at a time is held; the traceback makes the rows again in blocks of at most ``CELLS`` cells.
+    """
+    rows = _Rows(a, b, match, mismatch, open_, extend)
+    score, end, state = 0.0, (0, 0), rows.first()
+    kept, every = [state], max(1, -(-len(a) // CUTS))
+    for i in range(1, len(a) + 1):
+        best, gap_a, _ = rows.step(i, state, len(b))
+        state = best, gap_a
+        j = int(best.argmax())
+        if best[j] > score:
+            score, end = float(best[j]), (i, j)
+        if i % every == 0:
+            kept.append(state)
+    pairs: list[tuple[int, int]] = []
+    at = (*end, "m")  # row, column, state; the row is 0 where the alignment has begun
+    del kept[-(-end[0] // every) :]
+    while kept and at[0]:
+        state = kept.pop()
+        at = _back(rows, len(kept) * every, state, at, pairs)
+    return score, pairs[::-1]
+
+
+def _back(rows: _Rows, low: int, state: tuple[np.ndarray, np.ndarray], at: tuple[int, int, str], pairs: list[tuple[int, int]]) -> tuple[int, int, str]:
+    """Follow the alignment from cell ``at`` up to row ``low``, whose state is given."""
+    i, j, kind = at
+    if i - low > 1 and (i - low) * (j + 1) > CELLS:
+        kept, every = [state], -(-(i - low) // CUTS)
+        for r in range(low + 1, i):
+            state = rows.step(r, state, j)[:2]
+            if (r - low) % every == 0:
+                kept.append(state)
+        while kept and at[0]:
+            state = kept.pop()
+            at = _back(rows, low + len(kept) * every, state, at, pairs)
+        return at
+    ways = np.zeros((i - low, j + 1), np.uint8)  # bits: ends in a gap of b, of a; those gaps open here; nothing before
+    for r in range(low + 1, i + 1):
+        above = state[0][: j + 1]
+        best, gap_a, gap_b = rows.step(r, state, j)
+        way = (best == gap_a) | (best == gap_b) * np.uint8(2) | (gap_a == above + rows.open) * np.uint8(4) | (best <= 0) * np.uint8(16)
+        way[1:] |= (gap_b[1:] <= best[:-1] + rows.open) * np.uint8(8)
+        ways[r - low - 1] = way
+        state = best, gap_a
+    while i > low and j:
+        way = ways[i - low - 1, j]
+        if kind == "m":
+            if way & 16:
+                return 0, 0, "m"
+            if way & 1:
+                kind = "a"
+            elif way & 2:
+                kind = "b"
             else:
                 i, j = i - 1, j - 1
-                pairs.append((int(i), int(j)))
-        elif state == "a":
-            state = "m" if gap_a[i, j] == best[i - 1, j] + open_ else "a"
+                pairs.append((i, j))
+        elif kind == "a":
+            kind = "m" if way & 4 else "a"
             i -= 1
         else:
-            state = "m" if gap_b[i, j] == best[i, j - 1] + open_ else "b"
+            kind = "m" if way & 8 else "b"
             j -= 1
-    return score, pairs[::-1]
+    return (i, j, kind) if i and j else (0, 0, "m")
 
 
 def aligned(pairs: DataFrame, key: str, a_col: str, b_col: str) -> DataFrame:

@@ -229,7 +229,7 @@ n as (select lang, i, amino, count(*) as n, sum((3 - length(translate(codon, 'GC
 p as (select *, n / sum(n) over (partition by lang, i) as p from n)
 select lang, i::int as at, sum(n)::bigint as n, round(sum(gc) / sum(n), 6) as gc, round(sum(cg) / sum(n), 6) as cg, round(sum(ta) / sum(n), 6) as ta, round(sum(unclear) / sum(n), 6) as unclear, round(sum(-p * log2(p)), 6) as entropy, round(max(p), 6) as dominant from p group by 1, 2""")
 def residue_signals(spark, sf_dir):
-    rows = sequences(spark, sf_dir).select("lang", F.left("s", F.lit(300)).alias("s"))
+    rows = sequences(spark, sf_dir).select("lang", "s")
     got = align.residue_signals(rows, ["lang"], "s")
     return got.select("lang", "at", "n", *(r6(c, c) for c in ("gc", "cg", "ta", "unclear", "entropy", "dominant")))
 
@@ -239,14 +239,14 @@ n as (select lang, i, coalesce(amino, 'X') as amino, count(*) as n from c left j
 k as (select lang, i, coalesce(arg_max(amino, (n, -ascii(amino))) filter (where amino not in ('*', 'X')), 'X') as amino from n group by 1, 2)
 select lang, string_agg(amino, '' order by i) as consensus from k group by 1""")
 def consensus(spark, sf_dir):
-    rows = sequences(spark, sf_dir).select("lang", codon.translated(F.left("s", F.lit(300))).alias("amino"))
+    rows = sequences(spark, sf_dir).select("lang", codon.translated(F.col("s")).alias("amino"))
     return align.consensus(rows, "lang", "amino")
 
 
 @query()
 def alignment_map(spark, sf_dir):
     """The languages' consensus strings aligned with English's, mapped to the signals at each position."""
-    rows = sequences(spark, sf_dir).select("lang", F.left("s", F.lit(300)).alias("s"))
+    rows = sequences(spark, sf_dir).select("lang", "s")
     cons = align.consensus(rows.select("lang", codon.translated(F.col("s")).alias("amino")), "lang", "amino")
     base = cons.where("lang = 'en'").select(F.col("consensus").alias("base"))
     maps = align.aligned(cons.join(F.broadcast(base)), "lang", "base", "consensus")  # one row
