@@ -464,6 +464,9 @@ def embedding_centroids(spark, sf_dir):
 
 # Bootstraps, time, ranking
 
+#: The reference's bootstraps: replicates, rows of a group and tokens of a group drawn at most.
+REPLICATES, DRAWN_ROWS, DRAWN_TOKENS = 100, 1_000, 200_000
+
 @query(f"""with d as (select doc_id, lang, length(text)::double as v from documents), ranked as (select *, row_number() over (partition by lang order by doc_id) as pos from d),
 z as (select lang, count(*) as size from d group by 1),
 draws as (select lang, size, replicate, unnest(range(1, least(size, 50) + 1)) as draw from (select lang, size, unnest(range(1, 11)) as replicate from z)),
@@ -473,20 +476,20 @@ select lang, count(*) as n, round(avg(v), 6) as mean, round(stddev_samp(v), 6) a
 def bootstrap_interval(spark, sf_dir):
     """Interval of bootstrap means of text length by language."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").cast("double").alias("v"))
-    drawn = stability.bootstrap_rows(rows, "lang", "doc_id", 10, 50, 7)
+    drawn = stability.bootstrap_rows(rows, "lang", "doc_id", REPLICATES, DRAWN_ROWS, 7)
     got = stability.interval(drawn.groupBy("lang", "replicate").agg(F.avg("v").alias("v")), ["lang"], "v")
     return got.select("lang", "n", *(r6(c, c) for c in ("mean", "std", "low", "high", "width")))
 
 
 @query()
 def bootstrap_js(spark, sf_dir):
-    got = stability.bootstrap_divergence(_dist(spark, sf_dir, 4), "lang", 10, 20_000, 7)
+    got = stability.bootstrap_divergence(_dist(spark, sf_dir, 4), "lang", REPLICATES, DRAWN_TOKENS, 7)
     return stability.interval(got, ["a", "b"], "distance")
 
 
 @query()
 def bootstrap_top_tokens(spark, sf_dir):
-    got = stability.top_stability(_dist(spark, sf_dir, 4), "lang", 10, 20_000, 20, 7)
+    got = stability.top_stability(_dist(spark, sf_dir, 4), "lang", REPLICATES, DRAWN_TOKENS, 20, 7)
     return stability.interval(got, ["lang"], "jaccard")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphstream.functions import codon, sequence as q, text as t
 from glyphstream.operators import panels, retrieval, stability, tokens
-from glyphstream.plans.queries import AMBIGUOUS, DIST, ORACLE_SQL, SEQ, TRANSLATED, _codons, _dist, _overlap, query, r6, sequences
+from glyphstream.plans.queries import AMBIGUOUS, DIST, DRAWN_TOKENS, ORACLE_SQL, REPLICATES, SEQ, TRANSLATED, _codons, _dist, _overlap, query, r6, sequences
 from glyphstream.runtime import table
 
 WORST = "case when length(amino) <= 1 then 0 else length(amino[1 : length(amino) - 1]) - length(replace(amino[1 : length(amino) - 1], '*', '')) end"
@@ -61,8 +61,8 @@ def token_pivot(spark, sf_dir):
 
 @query()
 def bootstrap_enrichment(spark, sf_dir):
-    """Top enriched tokens of each language in five redraws of the counts."""
-    redrawn = stability.resampled_counts(_dist(spark, sf_dir, 4), "lang", 5, 20_000, 7)
+    """Top enriched tokens of each language in each redraw of the counts."""
+    redrawn = stability.resampled_counts(_dist(spark, sf_dir, 4), "lang", REPLICATES, DRAWN_TOKENS, 7)
     shares = redrawn.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("replicate", "lang")))
     total = F.sum("n").over(Window.partitionBy("replicate"))
     own = F.sum("n").over(Window.partitionBy("replicate", "lang"))
