@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphstream.llm import line_dedup, near_dup, packing, pii, toxicity
-from glyphstream.llm.queries import PACK_CLOSING_ID, PACK_RANKS, PACK_SIZE, TOXIC
+from glyphstream.llm.queries import PACK_ADDED, PACK_CLOSING_ID, PACK_RANKS, PACK_SIZE, TOXIC
 from glyphstream.runtime import materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -47,7 +47,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens with their sequence and offset."""
-    return packing.pack(docs, PACK_RANKS, public_tokenizers.PATTERN, PACK_CLOSING_ID, PACK_SIZE)
+    return packing.pack(docs, PACK_RANKS, public_tokenizers.PATTERN, PACK_CLOSING_ID, PACK_SIZE, added=PACK_ADDED)
 
 
 STAGES = [

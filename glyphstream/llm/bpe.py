@@ -19,6 +19,7 @@ gives an empty table.
 from __future__ import annotations
 
 import base64
+import json
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -40,20 +41,35 @@ PIECE = 1 << 16
 
 
 class Codec:
-    """A tiktoken encoding of a local rank file, cut at safe boundaries."""
+    """A tiktoken encoding of a local rank file, cut at safe boundaries.
 
-    def __init__(self, ranks_path: str, pattern: str):
+    ``added`` names a file of the ``tokenizers`` library: texts are then split at its added
+    tokens, each of which is its own id, as that library does.
+    """
+
+    def __init__(self, ranks_path: str, pattern: str, added: str | None = None):
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.cuts_runs = _LOOKAHEAD in pattern
         self.encoding = tiktoken.Encoding(
             "local", pat_str=pattern.replace(_LOOKAHEAD, ""), mergeable_ranks=ranks, special_tokens={}
         )
-        self.words: list[bytes] = [b""] * (max(ranks.values()) + 1)
-        for word, i in ranks.items():
-            self.words[i] = word
+        self.added = added_tokens(added) if added else {}
+        self.split = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        words = {i: word for word, i in ranks.items()} | {i: word.encode() for word, i in self.added.items()}
+        self.words: list[bytes] = [words.get(i, b"") for i in range(max(words) + 1)]
 
     def encode(self, text: str) -> list[int]:
+        if self.split is None or (first := self.split.search(text)) is None:
+            return self._encode_plain(text)
+        ids, at = [], 0
+        for m in self.split.finditer(text, first.start()):
+            ids += self._encode_plain(text[at : m.start()])
+            ids.append(self.added[m.group()])
+            at = m.end()
+        return ids + self._encode_plain(text[at:])
+
+    def _encode_plain(self, text: str) -> list[int]:
         if len(text) <= PIECE:
             return self._encode_piece(text)
         ids: list[int] = []
@@ -76,6 +92,16 @@ class Codec:
         return b"".join(map(self.words.__getitem__, ids))
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a ``tokenizers`` file and their ids; only tokens that match as they stand."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    for t in held["added_tokens"]:
+        if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] and held["normalizer"]:
+            raise ValueError(f"added token {t['content']!r} doesn't match as it stands")
+    return {t["content"]: t["id"] for t in held["added_tokens"]}
+
+
 def safe_pieces(text: str, size: int = PIECE) -> Iterator[str]:
     """Cut at the first visible-to-white boundary after every ``size`` code points.
 
@@ -91,8 +117,8 @@ def safe_pieces(text: str, size: int = PIECE) -> Iterator[str]:
 
 
 @lru_cache(maxsize=4)
-def codec(ranks_path: str, pattern: str) -> Codec:
-    return Codec(ranks_path, pattern)
+def codec(ranks_path: str, pattern: str, added: str | None = None) -> Codec:
+    return Codec(ranks_path, pattern, added)
 
 
 def packed(ids: list[int]) -> bytes:

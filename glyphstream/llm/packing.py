@@ -101,9 +101,12 @@ def pack(
     text_col: str = "text",
     keep_ids: bool = False,
     group: int = GROUP,
+    added: str | None = None,
 ) -> DataFrame:
     """One row per piece with its place: ``sequence_id`` and ``offset``.
 
+    ``added`` names the ``tokenizers`` file whose added tokens are ids of their own in the texts.
+
     ``keep_ids`` adds the piece's ids as little-endian unsigned 32-bit integers
     (``token_ids``); ``sequences`` joins them to whole sequences.
     """
@@ -127,7 +130,7 @@ def pack(
             yield pa.RecordBatch.from_arrays([pa.array(c, k or key) for c, k in zip(columns, kinds)], names=names)
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, new_id, key, rows = codec(ranks_path, pattern), _ids(0), pa.int64(), []
+        own, new_id, key, rows = codec(ranks_path, pattern, added), _ids(0), pa.int64(), []
         for whole in batches:
             key = whole.schema.types[0]
             for at in range(0, whole.num_rows, 256):

@@ -14,6 +14,8 @@ from glyphstream.runtime import table
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The ranks of the vocabulary and merges of byte_bpe_50k.json; tests hold both libraries' ids equal.
 PACK_RANKS, PACK_CLOSING_ID, PACK_SIZE = public_tokenizers.path("byte_bpe_50k.tiktoken"), 2, 1024
+#: Its added tokens are ids of their own.
+PACK_ADDED = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +67,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all ``documents`` into sequences of at most 1024 tokens."""
-    return packing.pack(table(spark, sf_dir, "documents"), PACK_RANKS, public_tokenizers.PATTERN, PACK_CLOSING_ID, PACK_SIZE)
+    return packing.pack(table(spark, sf_dir, "documents"), PACK_RANKS, public_tokenizers.PATTERN, PACK_CLOSING_ID, PACK_SIZE, added=PACK_ADDED)
 
 
 def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
