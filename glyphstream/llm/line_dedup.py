@@ -7,12 +7,18 @@ own, so a line here is ``line`` words in a row, beginning at any word. Of every
 Fingerprints are joined with their first occurrence in the corpus (or the
 previous one in the same document), matches on one diagonal of two documents
 are extended both ways word by word, and every repeated run of at least
-``least`` words is deleted from the later place. The first place keeps it. Where
-a run goes on only in some document between, fewer than ``line + window - 1``
-words of that rest can stay, as they may hold no fingerprint of their own.
-
-What moves: fingerprints (about 6 % of the words), and the texts of documents
-with matches only. A fingerprint is paired with its first occurrence alone, so
+``least`` words is deleted from the later place. The first place keeps it.
+
+A fingerprint at three places or more has earlier places that this doesn't try.
+There, all runs of ``least`` words that hold it and don't lie in a run already
+found are hashed and joined with their own first occurrence: equal runs are
+long enough as they are, so one partner decides, and the result is that of a
+comparison with every earlier place. (The first occurrence of a run never lies
+in a found run, as that would be an earlier one.)
+
+What moves: fingerprints (about 6 % of the words), the texts of documents
+with matches only, and at most ``least - line + 1`` runs around a fingerprint at
+three places or more. Each is paired with its first occurrence alone, so
 a passage that a third of all documents share makes one row each. Id sets
 are broadcast only below ``BROADCAST_IDS`` counted rows, else joined by shuffle.
 
@@ -54,8 +60,8 @@ class Settings:
 
     @property
     def margin(self) -> int:
-        """Words beyond a match that can hold no further fingerprint of the same run."""
-        return self.line + self.window
+        """Words beyond a match that can hold no further fingerprint of the same run, or that a run of ``least`` words can reach."""
+        return max(self.line + self.window, self.least - self.line)
 
 
 def _least_of_windows(x: np.ndarray, w: int) -> np.ndarray:
@@ -124,27 +130,89 @@ def _with_ids(df: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame
     return df.join(F.broadcast(ids) if small else ids, F.col(id_col) == F.col("__id"), how)
 
 
-def matches(df: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """(doc, found): per document with matches, its diagonals and the source's words around them."""
-    prints = materialize(fingerprints(df, s, id_col, text_col), "fingerprints")
-    origins = prints.where("prev is null").groupBy("fp").agg(F.min("doc").alias("source"), F.min_by("pos", "doc").alias("at"), F.max("doc").alias("last"))
-    origins = origins.where("source < last").drop("last")
-    later = prints.where("prev is null").join(origins, "fp").where("source < doc").select("doc", "pos", "source", "at")
-    within = prints.where("prev is not null").select("doc", "pos", F.col("doc").alias("source"), F.col("prev").alias("at"))
-    runs = later.union(within).groupBy("doc", "source", (F.col("pos") - F.col("at")).alias("shift")).agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
-    runs = materialize(runs, "diagonals")
-
+def _cut(df: DataFrame, runs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """(doc, found) of diagonals (doc, source, shift, low, end): the source's words around each."""
     sources = materialize(runs.select("source").distinct(), "sources")
     texts = _with_ids(df.select(F.col(id_col).cast("long").alias("source_id"), text_col), sources, "source_id", "left_semi")
     texts = texts.select("source_id", words_of(F.col(text_col)).alias("source_words"))  # split once, not at every match
     first = F.greatest(F.col("low") - F.col("shift") - s.margin, F.lit(0))
-    size = F.col("high") - F.col("shift") + s.line + s.margin - first
+    size = F.col("end") - F.col("shift") + s.margin - first
     cut = runs.join(texts, F.col("source") == F.col("source_id")).select(
         "doc", "source", (first + F.col("shift")).alias("at"), F.array_join(F.slice("source_words", first + 1, size), " ").alias("words")
     )
     return cut.groupBy("doc").agg(F.collect_list(F.struct("source", "at", "words")).alias("found"))
 
 
+def _diagonals(rows: DataFrame, words: int) -> DataFrame:
+    """(doc, source, shift, low, end) of pairs (doc, pos, source, at) of runs of so many words."""
+    each = rows.groupBy("doc", "source", (F.col("pos") - F.col("at")).alias("shift"))
+    return each.agg(F.min("pos").alias("low"), (F.max("pos") + words).alias("end"))
+
+
+def grams(rows: DataFrame, s: Settings) -> DataFrame:
+    """(gram, doc, pos, prev) of rows (doc, text, spots, found): every run of ``least`` words that holds the line
+    at one of the spots and doesn't lie in a run that is found; prev is its previous place in the same text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                docs, texts, spots, found = (c.to_pylist() for c in whole.slice(at, 256).columns)
+                raw = [t.encode("utf-8") for t in texts]
+                for first, last in chunks(raw):
+                    words, counts = word_hashes(raw[first:last])
+                    hashes, begin, out = run_hashes(words, s.least), 0, []
+                    for i, n in zip(range(first, last), counts.tolist()):
+                        wanted = np.zeros(max(n - s.least + 1, 0) + 1, np.int32)
+                        spot = np.array(spots[i])
+                        spot = spot[spot < n]
+                        low, high = np.maximum(spot - (s.least - s.line), 0), np.minimum(spot, len(wanted) - 2) + 1
+                        some = low < high
+                        np.add.at(wanted, low[some], 1)
+                        np.add.at(wanted, high[some], -1)
+                        wanted = np.cumsum(wanted[:-1]) > 0
+                        for a, b, _ in repeated_runs(_WORD.findall(texts[i]), found[i], s.least) if found[i] and wanted.any() else ():
+                            wanted[a : b - s.least + 1] = False
+                        pos = np.flatnonzero(wanted)
+                        gram = hashes[begin + pos]
+                        order = np.argsort(gram, kind="stable")
+                        gram, pos = gram[order], pos[order]
+                        prev = np.full(len(pos), -1, np.int64)
+                        again = np.flatnonzero(gram[1:] == gram[:-1]) + 1
+                        prev[again] = pos[again - 1]
+                        out.append((gram.view(np.int64), np.full(len(pos), docs[i], np.int64), pos, prev))
+                        begin += n
+                    gram, doc, pos, prev = map(np.concatenate, zip(*out))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(gram), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(prev.astype(np.int32), mask=prev < 0)],
+                        names=["gram", "doc", "pos", "prev"],
+                    )
+
+    return rows.mapInArrow(run, "gram long, doc long, pos int, prev int")
+
+
+def matches(df: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """(doc, found): per document with matches, its diagonals and the source's words around them."""
+    prints = materialize(fingerprints(df, s, id_col, text_col), "fingerprints")
+    first = F.min(F.struct("doc", "pos"))
+    origins = prints.groupBy("fp").agg(first.alias("first"), F.count("*").alias("places")).where("places > 1")
+    origins = origins.select("fp", F.col("first.doc").alias("source"), F.col("first.pos").alias("at"), (F.col("places") > 2).alias("untried"))
+    placed = materialize(prints.join(origins, "fp").drop("fp"), "placed")
+    later = placed.where("prev is null and source < doc").select("doc", "pos", "source", "at")
+    within = placed.where("prev is not null").select("doc", "pos", F.col("doc").alias("source"), F.col("prev").alias("at"))
+    found = materialize(_cut(df, materialize(_diagonals(later.union(within), s.line), "diagonals"), s, id_col, text_col), "matches")
+
+    # Lines at three places or more: one earlier place is tried, so what lies outside its runs is looked up whole.
+    spots = materialize(placed.where("untried").groupBy("doc").agg(F.collect_set("pos").alias("spots")), "spots")
+    texts = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = _with_ids(texts, spots.select("doc"), "id", "left_semi").join(spots, F.col("id") == F.col("doc")).drop("id")
+    whole = materialize(grams(texts.join(found, "doc", "left").select("doc", "text", "spots", "found"), s), "grams")
+    origins = whole.where("prev is null").groupBy("gram").agg(F.min("doc").alias("source"), F.min_by("pos", "doc").alias("at"), F.max("doc").alias("last"))
+    later = whole.where("prev is null").join(origins.where("source < last"), "gram").where("source < doc").select("doc", "pos", "source", "at")
+    within = whole.where("prev is not null").select("doc", "pos", F.col("doc").alias("source"), F.col("prev").alias("at"))
+    more = materialize(_diagonals(later.union(within), s.least), "diagonals")
+    return found.union(_cut(df, more, s, id_col, text_col)).groupBy("doc").agg(F.flatten(F.collect_list("found")).alias("found"))
+
+
 def repeated_runs(words: list[str], found: list[dict], least: int) -> list[tuple[int, int, int]]:
     """Maximal runs (first, last, source) of at least ``least`` words equal to a source's, by position."""
     own, hits = np.array(words, object), []
