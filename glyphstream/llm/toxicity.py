@@ -42,8 +42,8 @@ from pyspark.sql import types as T
 from glyphstream.runtime import broadcast_if_small, materialize
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Bounds of what is learnt on the driver: candidate words, sample documents of each label, sentences.
-WORDS, DOCUMENTS, SENTENCES = 5000, 1500, 20_000
+#: Bounds of what is learnt on the driver: sample documents of each label, sentences.
+DOCUMENTS, SENTENCES = 1500, 20_000
 #: Words of a training sentence, cells (tokens times documents) of a scoring batch, counters held by a task.
 SPAN, CELLS, HELD = 40, 400_000, 400_000
 #: Prefix lengths; buckets of log odds, the last for tokens without a known unit; words whose scores a task keeps.
@@ -246,8 +246,7 @@ def learn(labelled: DataFrame) -> Model:
     odds = lambda t, c, nt, nc: F.log(((t + 0.5) / (nt + 1)) / ((c + 0.5) / (nc + 1)))
     counted = _counted(labelled).where(F.col("toxic") >= LEAST_DOCS)
     rated = counted.withColumn("odds", odds(F.col("toxic"), F.col("clean"), n_toxic, n_clean))
-    top = rated.where(F.col("odds") > 1).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "word").limit(WORDS)
-    top = top.collect()
+    top = rated.where(F.col("odds") > 1).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "word").collect()  # every unit with evidence
     odds_of, docs_of = {r.word: float(r.odds) for r in top}, {r.word: r.toxic for r in top}
     contexts = {r.word: (r.toxic, r.clean) for r in _contexts(labelled, list(odds_of)).collect()}
     for w in odds_of:  # by contexts from here on
@@ -266,6 +265,11 @@ def learn(labelled: DataFrame) -> Model:
     return model
 
 
+def evenly(rows: list, most: int) -> list:
+    """At most so many of the rows, from all of their length."""
+    return rows if len(rows) <= most else [rows[i * len(rows) // most] for i in range(most)]
+
+
 def fit_chain(sample: list[tuple[list[str], int]], toxic_units: set[str], odds_of: dict[str, float], rounds: int = 80, rate: float = 0.3) -> Model:
     """Conditional likelihood of the token labels, with a small quadratic penalty, by Adam."""
     distinct = {w for words, _ in sample for w in words}
@@ -275,7 +279,7 @@ def fit_chain(sample: list[tuple[list[str], int]], toxic_units: set[str], odds_o
         for at in range(0, len(words), SPAN):
             span = words[at : at + SPAN]
             (hits if kind and not bad.isdisjoint(span) else plain).append((span, kind))
-    spans = hits[: SENTENCES // 2] + plain[:: max(1, len(plain) // (SENTENCES // 2))][: SENTENCES // 2]
+    spans = evenly(hits, SENTENCES // 2) + evenly(plain, SENTENCES // 2)
     unit_at = {u: i for i, u in enumerate(sorted(odds_of))}
     buckets = {u: int(min(max(o, 0), BUCKETS - 2)) for u, o in odds_of.items()}
     n = len(unit_at)
