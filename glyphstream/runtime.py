@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
@@ -64,3 +64,47 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     For narrow tables only (ids, labels), whose rows have a known width.
     """
     return F.broadcast(df) if df.count() <= rows else df
+
+
+#: Keys that are joined by broadcast at most where they are frequent.
+HOT_KEYS = 10_000
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: list[str], least: int = 10_000) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has each key once, by the columns ``key``.
+
+    Keys with more than a ten-thousandth of ``left``'s rows (and more than ``least``) are joined by
+    broadcast where their rows are, so no key fills a task. There are at most ``HOT_KEYS`` such keys,
+    whatever the size of the tables; null keys never match. Both sides should be cheap to read twice.
+    """
+    sizes = left.groupBy(*key).agg(F.count("*").alias("__n"))
+    sizes = materialize(sizes.where(F.col("__n") > least), "sizes")  # keys that could be frequent
+    if not sizes.limit(1).count():
+        return left.join(right, key)
+    limit = max(least, left.count() // HOT_KEYS)
+    hot = F.broadcast(sizes.where(F.col("__n") > limit).select(*key))
+    return left.join(F.broadcast(right.join(hot, key, "left_semi")), key).unionByName(left.join(hot, key, "left_anti").join(right.join(hot, key, "left_anti"), key))
+
+
+def ranked(df: DataFrame, order: list[str], group: list[str] | None = None, name: str = "rank") -> DataFrame:
+    """``df`` with the exact rank from 0 of each row by ``order`` (within ``group``), without one task for all rows.
+
+    Rows are exchanged by range and sorted; a rank is a row's place in its partition and the counts of
+    the partitions before, of which there is one row for each partition (and group). Nulls come first;
+    rows that are equal in ``order`` get ranks of their own, in any order.
+    """
+    group = group or []
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*group, *order]
+    laid = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    laid = materialize(laid.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at")), "ranked")
+    runs = laid.groupBy(*group, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*(group or [F.lit(1)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(group)), F.col("__part").alias("__p"), "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
+    same = F.col("__part") == F.col("__p")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    place: Column = F.col("__base") + F.col("__at") - F.col("__first")
+    if not group:
+        runs = F.broadcast(runs)  # one row a partition
+    return laid.join(runs, same).select(*df.columns, place.cast("long").alias(name))
