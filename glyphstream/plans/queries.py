@@ -223,7 +223,7 @@ def coding_rescue(spark, sf_dir):
     return rows.select("doc_id", "x.status", "x.method", *(F.coalesce(f"x.{c}", F.lit(-1)).alias(c) for c in ("trim_left", "trim_right", "refined_length")))
 
 
-@query(f"""with {SEQ}, c as (select lang, i, s[3 * i + 1 : 3 * i + 3] as codon from (select lang, s, unnest(range(0, least(length(s) // 3, 100))) as i from seq)), {FULL_CODE},
+@query(f"""with {SEQ}, c as (select lang, i, s[3 * i + 1 : 3 * i + 3] as codon from (select lang, s, unnest(range(0, length(s) // 3)) as i from seq)), {FULL_CODE},
 r as (select lang, i, c.codon, coalesce(amino, 'X') as amino from c left join full_code f on f.codon = c.codon),
 n as (select lang, i, amino, count(*) as n, sum((3 - length(translate(codon, 'GC', ''))) / 3.0) as gc, sum(contains(codon, 'CG')::int) as cg, sum(contains(codon, 'TA')::int) as ta, sum((length(translate(codon, 'ACGT', '')) > 0)::int) as unclear from r group by 1, 2, 3),
 p as (select *, n / sum(n) over (partition by lang, i) as p from n)
@@ -234,7 +234,7 @@ def residue_signals(spark, sf_dir):
     return got.select("lang", "at", "n", *(r6(c, c) for c in ("gc", "cg", "ta", "unclear", "entropy", "dominant")))
 
 
-@query(f"""with {SEQ}, c as (select lang, i, s[3 * i + 1 : 3 * i + 3] as codon from (select lang, s, unnest(range(0, least(length(s) // 3, 100))) as i from seq)), {FULL_CODE},
+@query(f"""with {SEQ}, c as (select lang, i, s[3 * i + 1 : 3 * i + 3] as codon from (select lang, s, unnest(range(0, length(s) // 3)) as i from seq)), {FULL_CODE},
 n as (select lang, i, coalesce(amino, 'X') as amino, count(*) as n from c left join full_code f on f.codon = c.codon group by 1, 2, 3),
 k as (select lang, i, coalesce(arg_max(amino, (n, -ascii(amino))) filter (where amino not in ('*', 'X')), 'X') as amino from n group by 1, 2)
 select lang, string_agg(amino, '' order by i) as consensus from k group by 1""")
@@ -469,7 +469,7 @@ REPLICATES, DRAWN_ROWS, DRAWN_TOKENS = 100, 1_000, 200_000
 
 @query(f"""with d as (select doc_id, lang, length(text)::double as v from documents), ranked as (select *, row_number() over (partition by lang order by doc_id) as pos from d),
 z as (select lang, count(*) as size from d group by 1),
-draws as (select lang, size, replicate, unnest(range(1, least(size, 50) + 1)) as draw from (select lang, size, unnest(range(1, 11)) as replicate from z)),
+draws as (select lang, size, replicate, unnest(range(1, least(size, 1000) + 1)) as draw from (select lang, size, unnest(range(1, 101)) as replicate from z)),
 picked as (select *, ('0x' || sha256('7|' || lang || '|' || replicate || '|' || draw)[1:12])::bigint % size + 1 as pos from draws),
 m as (select p.lang, replicate, avg(v) as v from picked p join ranked r on r.lang = p.lang and r.pos = p.pos group by 1, 2)
 select lang, count(*) as n, round(avg(v), 6) as mean, round(stddev_samp(v), 6) as std, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high, round(quantile_cont(v, 0.975) - quantile_cont(v, 0.025), 6) as width from m group by 1""")
