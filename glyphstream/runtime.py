@@ -70,14 +70,16 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 HOT_KEYS = 10_000
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: list[str], least: int = 10_000) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: list[str], size: str | None = None, least: int = 10_000) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has each key once, by the columns ``key``.
 
+    ``size`` names the column of ``right`` that counts the key's rows in ``left``, if there is one.
+
     Keys with more than a ten-thousandth of ``left``'s rows (and more than ``least``) are joined by
     broadcast where their rows are, so no key fills a task. There are at most ``HOT_KEYS`` such keys,
     whatever the size of the tables; null keys never match. Both sides should be cheap to read twice.
     """
-    sizes = left.groupBy(*key).agg(F.count("*").alias("__n"))
+    sizes = left.groupBy(*key).agg(F.count("*").alias("__n")) if size is None else right.select(*key, F.col(size).alias("__n"))
     sizes = materialize(sizes.where(F.col("__n") > least), "sizes")  # keys that could be frequent
     if not sizes.limit(1).count():
         return left.join(right, key)
