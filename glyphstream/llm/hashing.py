@@ -50,8 +50,9 @@ def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word, and the number of words of each text."""
+def word_hashes(texts: list[bytes], lines: bool = False) -> tuple[np.ndarray, ...]:
+    """The hash of every word, and the number of words of each text; with ``lines`` also the words' places
+    in the batch and the places of its line breaks and of the ends of its texts."""
     buf = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
     power, inverse = _up_to(len(buf))
     blank = _SPACE[buf]
@@ -61,7 +62,16 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
     words = mix((sums[ends] - sums[starts]) * inverse[starts])
     limits = np.cumsum([len(t) + 1 for t in texts]) + 1
-    return words, np.diff(np.searchsorted(starts, limits), prepend=0)
+    counts = np.diff(np.searchsorted(starts, limits), prepend=0)
+    return (words, counts, starts, np.concatenate([np.flatnonzero(buf == 10), limits])) if lines else (words, counts)
+
+
+def sums_of(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A polynomial of the words of each run [first, last)."""
+    power, inverse = _up_to(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * power[: len(words)], out=sums[1:])
+    return (sums[last] - sums[first]) * inverse[first]
 
 
 def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
