@@ -38,7 +38,6 @@ table. The order of a text's words and the line breaks between what stays are ke
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -53,7 +52,6 @@ from glyphstream.llm.hashing import chunks, mix, run_hashes, sums_of, word_hashe
 from glyphstream.llm.quality import words_of
 from glyphstream.runtime import materialize, skew_join
 
-_WORD = re.compile("[^\x20\x09-\x0d]+")
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Ids that are broadcast at most: 8 bytes each, about 32 MB as a hash relation.
 BROADCAST_IDS = 250_000
@@ -181,10 +179,10 @@ def _with_ids(df: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame
 
 
 def _first_places(rows: DataFrame, key: list[str]) -> DataFrame:
-    """``rows`` whose key stands at two places or more, with its first place (source, at) and the number of places."""
-    origins = rows.groupBy(*key).agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("places")).where("places > 1")
-    origins = materialize(origins.select(*key, F.col("first.doc").alias("source"), F.col("first.pos").alias("at"), "places"), "origins")
-    return skew_join(rows, origins, key, "places")
+    """``rows``, without the key, whose key stands at two places or more, with its first place (source, at) and the number of places."""
+    first = F.min_by("pos", F.when(F.col("prev").isNull(), F.col("doc")))  # plain columns, so that no sort is needed to aggregate
+    origins = rows.groupBy(*key).agg(F.min("doc").alias("source"), first.alias("at"), F.count("*").alias("places")).where("places > 1")
+    return skew_join(rows, materialize(origins, "origins"), key, "places").drop(*key)
 
 
 def matches(df: DataFrame, placed: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
@@ -330,19 +328,28 @@ def merged(runs: list[dict], n: int) -> list[tuple[int, int, int]]:
     return sorted(map(tuple, out))
 
 
-def without(text: str, spans: list[tuple[int, int]], runs: list[tuple[int, int, int]]) -> str:
+def spans_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each word, in code points."""
+    points = np.frombuffer(f" {text} ".encode("utf-32-le"), np.uint32)
+    blank = (points == 32) | ((points >= 9) & (points <= 13))
+    turn = np.flatnonzero(blank[1:] != blank[:-1])
+    return turn[::2], turn[1::2]
+
+
+def without(text: str, starts: np.ndarray, ends: np.ndarray, runs: list[tuple[int, int, int]]) -> str:
     """The text without the runs' words; a gap keeps its line break."""
-    gone = np.zeros(len(spans), bool)
+    n = len(starts)
+    gone = np.zeros(n, np.int8)
     for a, b, _ in runs:
-        gone[a:b] = True
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+        gone[a:b] = 1
+    edge = np.flatnonzero(np.diff(gone, prepend=0, append=0))
     out, at = [], 0
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        before = text[at : spans[a - 1][1]] if a else ""
-        gap = text[spans[a - 1][1] if a else 0 : spans[a][0]] + text[spans[b - 1][1] : spans[b][0] if b < len(spans) else len(text)]
-        inner = a > 0 and b < len(spans)
-        out += [before, ("\n" if "\n" in gap else " ") if inner else ""]
-        at = spans[b][0] if b < len(spans) else len(text)
+        before = int(ends[a - 1]) if a else 0
+        after = int(starts[b]) if b < n else len(text)
+        gap = text[before : starts[a]] + text[ends[b - 1] : after]
+        out += [text[at:before] if a else "", ("\n" if "\n" in gap else " ") if a and b < n else ""]
+        at = after
     return "".join(out) + text[at:]
 
 
@@ -363,10 +370,10 @@ def dedup_lines(df: DataFrame, settings: Settings = Settings(), id_col: str = "d
                 batch = whole.slice(at, 256)
                 texts, removed = [], []
                 for text, own in zip(batch.column(at_text).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                    spans = [m.span() for m in _WORD.finditer(text or "")]
-                    runs = merged(own or [], len(spans))
-                    texts.append(without(text, spans, runs) if runs else text)
-                    removed.append([{"start": spans[a][0], "end": spans[b - 1][1], "source": d} for a, b, d in runs])
+                    starts, ends = spans_of(text or "")
+                    runs = merged(own or [], len(starts))
+                    texts.append(without(text, starts, ends, runs) if runs else text)
+                    removed.append([{"start": int(starts[a]), "end": int(ends[b - 1]), "source": d} for a, b, d in runs])
                 columns = list(batch.columns[:-1])
                 columns[at_text] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, runs_type)], names=schema.names)

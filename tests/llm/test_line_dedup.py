@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -32,7 +33,7 @@ def plain(docs, least, short=1):
 
 
 def removed_words(text, runs):
-    spans = [m.span() for m in line_dedup._WORD.finditer(text or "")]
+    spans = [m.span() for m in re.finditer("[^\x20\x09-\x0d]+", text or "")]
     return {i for i, (a, b) in enumerate(spans) for r in runs if r.start <= a and b <= r.end}
 
 
