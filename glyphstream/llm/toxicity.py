@@ -6,12 +6,16 @@ Learning, from labelled documents only:
    each word, and the words of each prefix, occur? Those with enough evidence are candidates; for those, a
    second pass counts in how many contexts (the words on both sides of their first
    place in a document) they occur on either side, so that words of one copied text don't
-   pass for toxic ones.
+   pass for toxic ones. All of them are kept, however many there are.
 2. Units that toxic documents use in many contexts, and clean ones hardly, label
-   tokens: toxic in toxic documents, clean otherwise.
-3. On a bounded sample of sentences (``SENTENCES``) the chain is fitted by
-   gradient ascent on the conditional likelihood; on a bounded sample of
-   documents (``DOCUMENTS``) a logistic curve maps marginals to document scores.
+   tokens at first: toxic in toxic documents, clean otherwise. (The labels given are of documents.)
+3. On a bounded sample of sentences (``SENTENCES``, cut inside the tasks) the chain is fitted by
+   gradient ascent on the conditional likelihood. Its features are a word's units, the best evidence
+   among them, and that of the words before and after it. Then its own marginals label the
+   tokens of the toxic documents' sentences again, so that words the units don't know become toxic by their
+   company and known ones clean by theirs, and it is fitted again. On a bounded sample of
+   documents (``DOCUMENTS``) a logistic curve maps marginals to document scores; only its four numbers a
+   document leave the tasks.
 
 Scoring: forward-backward over every whole text gives each token's marginal;
 tokens at 0.5 or more are offending spans, and the expected number of toxic
@@ -44,6 +48,8 @@ from glyphstream.runtime import broadcast_if_small, materialize
 _WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of what is learnt on the driver: sample documents of each label, sentences.
 DOCUMENTS, SENTENCES = 1500, 20_000
+#: Letters of a training sentence's word at most: what is beyond can't be known by a prefix.
+LETTERS = 64
 #: Words of a training sentence, cells (tokens times documents) of a scoring batch, counters held by a task.
 SPAN, CELLS, HELD = 40, 400_000, 400_000
 #: Prefix lengths; buckets of log odds, the last for tokens without a known unit; words whose scores a task keeps.
@@ -72,19 +78,21 @@ def units_of(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """Features of a token: its word and prefixes, where known, and the bucket of the best log odds
-    among them. Weights are scores of toxic minus clean."""
+    """Features of a token: its word and prefixes, where known, the bucket of the best log odds
+    among them, and the buckets of the words before and after. Weights are scores of toxic minus clean."""
 
     weights: dict[str, float] = field(default_factory=dict)
     buckets: dict[str, int] = field(default_factory=dict)
     by_bucket: list[float] = field(default_factory=lambda: [0.0] * BUCKETS)
+    before: list[float] = field(default_factory=lambda: [0.0] * BUCKETS)
+    after: list[float] = field(default_factory=lambda: [0.0] * BUCKETS)
     start: float = 0.0
     #: trans[a][b]: score of state a before state b.
     trans: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     curve: np.ndarray = field(default_factory=lambda: np.array([-3.0, 0.0, 0.0, 0.0]))
 
     def __post_init__(self):
-        self.known: dict[str, float] = {}
+        self.known: dict[str, complex] = {}
 
     def emissions(self, words: list[str]) -> np.ndarray:
         if len(self.known) > KNOWN:
@@ -92,8 +100,13 @@ class Model:
         known = self.known
         for w in set(words).difference(known):
             own = [u for u in units_of(w) if u in self.weights]
-            known[w] = sum(self.weights[u] for u in own) + self.by_bucket[max((self.buckets[u] for u in own), default=BUCKETS - 1)]
-        return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+            bucket = max((self.buckets[u] for u in own), default=BUCKETS - 1) if own else BUCKETS - 1
+            known[w] = complex(sum(self.weights[u] for u in own) + self.by_bucket[bucket], bucket)
+        both = np.fromiter(map(known.__getitem__, words), np.complex128, len(words))
+        x, bucket = both.real.copy(), both.imag.astype(np.int8)
+        x[1:] += np.array(self.before)[bucket[:-1]]
+        x[:-1] += np.array(self.after)[bucket[1:]]
+        return x
 
     def score(self, marginals: np.ndarray) -> float:
         z = float(self.curve @ evidence(marginals))
@@ -111,33 +124,33 @@ def evidence(marginals: np.ndarray) -> np.ndarray:
 def forward_backward(x: np.ndarray, lengths: np.ndarray, start: float, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of the toxic state, (steps, chains), and expected transitions (2, 2).
 
-    x: emission scores (steps, chains). Both passes work on log odds of the two
+    x: emission scores (steps, chains). Both passes work on odds of the two
     states, the backward one on each chain's own length.
     """
-    steps, chains = x.shape
-    t = trans
-    ahead = np.zeros((steps, chains))  # log odds of toxic given all up to here
-    lift = lambda o: np.logaddexp(t[0, 1], o + t[1, 1]) - np.logaddexp(t[0, 0], o + t[1, 0])
-    drop = lambda o: np.logaddexp(t[1, 0], o + t[1, 1]) - np.logaddexp(t[0, 0], o + t[0, 1])
-    ahead[0] = start + x[0]
-    for i in range(1, steps):
-        ahead[i] = lift(ahead[i - 1]) + x[i]
-    behind = np.zeros((steps, chains))  # log odds of what follows
-    for i in range(steps - 2, -1, -1):
-        behind[i] = np.where(i + 1 < lengths, drop(behind[i + 1] + x[i + 1]), 0.0)
-    marginals = 1 / (1 + np.exp(-np.clip(ahead + behind, -700, 700)))
+    e = np.exp(trans)
+    odds = np.exp(np.clip(x, -60, 60))
+    ahead, behind = _passes(odds, lengths, start, e)
+    both = ahead * behind
     pairs = np.zeros((2, 2))
-    if steps > 1:
-        mask = np.arange(1, steps)[:, None] < lengths
-        joint = np.zeros((2, 2, *mask.shape))
-        for a in (0, 1):
-            for b in (0, 1):
-                joint[a, b] = a * ahead[:-1] + t[a, b] + b * (x[1:] + behind[1:])
-        joint -= joint.max(axis=(0, 1))
-        joint = np.exp(joint)
-        joint /= joint.sum(axis=(0, 1))
-        pairs = (joint * mask).sum(axis=(2, 3))
-    return marginals, pairs
+    if len(x) > 1:
+        mask = np.arange(1, len(x))[:, None] < lengths
+        a, b = ahead[:-1], odds[1:] * behind[1:]
+        weight = np.stack([np.broadcast_to(e[0, 0], a.shape), e[0, 1] * b, e[1, 0] * a, e[1, 1] * a * b])
+        pairs = (weight / weight.sum(axis=0) * mask).sum(axis=(1, 2)).reshape(2, 2)
+    return both / (1 + both), pairs
+
+
+def _passes(odds: np.ndarray, lengths: np.ndarray, start: float, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Odds of toxic given all up to each place, and those of what follows it."""
+    ahead, behind = np.empty_like(odds), np.ones_like(odds)
+    ahead[0] = np.exp(start) * odds[0]
+    for i in range(1, len(odds)):
+        o = ahead[i - 1]
+        ahead[i] = (e[0, 1] + o * e[1, 1]) / (e[0, 0] + o * e[1, 0]) * odds[i]
+    for i in range(len(odds) - 2, -1, -1):
+        o = behind[i + 1] * odds[i + 1]
+        behind[i] = np.where(i + 1 < lengths, (e[1, 0] + o * e[1, 1]) / (e[0, 0] + o * e[0, 1]), 1.0)
+    return ahead, behind
 
 
 def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -167,17 +180,8 @@ def marginals_of(model: Model, texts: list[list[str]]) -> list[np.ndarray]:
 
 
 def _marginals(x: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
-    """As forward_backward, without the transitions, on odds instead of log odds."""
-    e = np.exp(model.trans)
-    odds = np.exp(np.clip(x, -60, 60))
-    ahead, behind = np.empty_like(x), np.ones_like(x)
-    ahead[0] = np.exp(model.start) * odds[0]
-    for i in range(1, len(x)):
-        o = ahead[i - 1]
-        ahead[i] = (e[0, 1] + o * e[1, 1]) / (e[0, 0] + o * e[1, 0]) * odds[i]
-    for i in range(len(x) - 2, -1, -1):
-        o = behind[i + 1] * odds[i + 1]
-        behind[i] = np.where(i + 1 < lengths, (e[1, 0] + o * e[1, 1]) / (e[0, 0] + o * e[0, 1]), 1.0)
+    """As forward_backward, without the transitions."""
+    ahead, behind = _passes(np.exp(np.clip(x, -60, 60)), lengths, model.start, np.exp(model.trans))
     both = ahead * behind
     return both / (1 + both)
 
@@ -213,9 +217,10 @@ def _counted(labelled: DataFrame) -> DataFrame:
 
 def _contexts(labelled: DataFrame, candidates: list[str]) -> DataFrame:
     """(word, toxic, clean): distinct neighbour words, before and after, of each candidate's first place in a document."""
-    known = frozenset(candidates)
+    shared = labelled.sparkSession.sparkContext.broadcast(frozenset(candidates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         of_word: dict[str, list[str]] = {}
         for batch in batches:
             found = set()
@@ -243,35 +248,70 @@ def learn(labelled: DataFrame) -> Model:
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return Model(curve=np.array([0.0 if not n_toxic + n_clean else 4.0 if n_toxic else -4.0, 0.0, 0.0, 0.0]))
-    odds = lambda t, c, nt, nc: F.log(((t + 0.5) / (nt + 1)) / ((c + 0.5) / (nc + 1)))
+    odds = lambda t, c, nt, nc: F.log(((t + 0.5) / nt) / ((c + 0.5) / nc))
     counted = _counted(labelled).where(F.col("toxic") >= LEAST_DOCS)
-    rated = counted.withColumn("odds", odds(F.col("toxic"), F.col("clean"), n_toxic, n_clean))
-    top = rated.where(F.col("odds") > 1).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "word").collect()  # every unit with evidence
-    odds_of, docs_of = {r.word: float(r.odds) for r in top}, {r.word: r.toxic for r in top}
-    contexts = {r.word: (r.toxic, r.clean) for r in _contexts(labelled, list(odds_of)).collect()}
-    for w in odds_of:  # by contexts from here on
-        t, c = contexts.get(w, (0, 0))
-        odds_of[w] = float(np.log(((t + 0.5) / n_toxic) / ((c + 0.5) / n_clean)))
-    spread = lambda w: contexts.get(w, (0, 0))[0] >= max(LEAST_CONTEXTS, min(SPREAD * docs_of[w], ENOUGH))
-    toxic_units = {w for w, o in odds_of.items() if o >= LEAST_ODDS and spread(w)}
-    sample = []
+    rated = materialize(counted.where(odds(F.col("toxic"), F.col("clean"), n_toxic + 1, n_clean + 1) > 1).select("word", F.col("toxic").alias("docs")), "candidates")
+    contexts = _contexts(labelled, [r.word for r in rated.select("word").collect()])
+    by_context = odds(F.coalesce("toxic", F.lit(0)), F.coalesce("clean", F.lit(0)), n_toxic, n_clean)
+    found = rated.join(contexts, "word", "left").select("word", "docs", F.coalesce("toxic", F.lit(0)).alias("contexts"), by_context.alias("odds")).collect()  # every unit with evidence
+    odds_of = {r.word: float(r.odds) for r in found}
+    toxic_units = frozenset(r.word for r in found if r.odds >= LEAST_ODDS and r.contexts >= max(LEAST_CONTEXTS, min(SPREAD * r.docs, ENOUGH)))
+    kinds = []
     for kind in (1, 0):
         own = labelled.where(F.col("toxic") == kind)
         ids = own.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(DOCUMENTS)  # ids first: texts of the sample alone move
-        rows = own.join(F.broadcast(ids), "doc_id", "left_semi").orderBy("doc_id").limit(DOCUMENTS)
-        sample += [(words_of(r.text), kind) for r in rows.select("text").collect()]
-    model = fit_chain(sample, toxic_units, odds_of)
-    fit_curve(model, sample, {1: n_toxic, 0: n_clean})
+        kinds.append(own.join(F.broadcast(ids), "doc_id", "left_semi"))
+    sample = materialize(kinds[0].union(kinds[1]), "sample")
+    model = fit_chain(_sentences(sample, toxic_units), toxic_units, odds_of)
+    fit_curve(model, _evidence(sample, model), {1: n_toxic, 0: n_clean})
     return model
 
 
+def _sentences(sample: DataFrame, toxic_units: frozenset[str]) -> list[tuple[list[str], int]]:
+    """(words, toxic) of at most ``SENTENCES`` sentences of the sample, in the order of a hash: half of them of
+    toxic documents with a word of the units. Cut inside the tasks, words to ``LETTERS``."""
+    shared = sample.sparkSession.sparkContext.broadcast(toxic_units)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = shared.value
+        for batch in batches:
+            rows = []
+            for doc, text, kind in zip(*(c.to_pylist() for c in batch.columns)):
+                words = [w[:LETTERS] for w in words_of(text)]
+                for at in range(0, len(words), SPAN):
+                    span = words[at : at + SPAN]
+                    rows.append((doc, at, kind, bool(kind) and any(not units.isdisjoint(units_of(w)) for w in span), span))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)], names=["doc", "at", "kind", "hit", "words"])
+
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string())]
+    spans = materialize(sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc long, at int, kind int, hit boolean, words array<string>"), "sentences")
+    some = lambda rows: rows.orderBy(F.xxhash64("doc", "at"), "doc", "at").limit(SENTENCES // 2).select("words", "kind").collect()
+    return [(list(r.words), r.kind) for hit in (True, False) for r in some(spans.where(F.col("hit") == hit))]
+
+
+def _evidence(sample: DataFrame, model: Model) -> list[tuple[np.ndarray, int]]:
+    """(evidence, toxic) of each sampled document, scored in the tasks."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                rows = np.array([evidence(m) for m in marginals_of(shared.value, [words_of(t) for t in batch.column(0).to_pylist()])])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in rows.T), batch.column(1)], names=["a", "b", "c", "d", "toxic"])
+
+    rows = sample.select("text", "toxic").mapInArrow(run, "a double, b double, c double, d double, toxic int")
+    return [(np.array(r[:4], float), r[4]) for r in rows.orderBy("toxic", "a", "b", "c", "d").collect()]
+
+
 def evenly(rows: list, most: int) -> list:
     """At most so many of the rows, from all of their length."""
     return rows if len(rows) <= most else [rows[i * len(rows) // most] for i in range(most)]
 
 
-def fit_chain(sample: list[tuple[list[str], int]], toxic_units: set[str], odds_of: dict[str, float], rounds: int = 80, rate: float = 0.3) -> Model:
-    """Conditional likelihood of the token labels, with a small quadratic penalty, by Adam."""
+def fit_chain(sample: list[tuple[list[str], int]], toxic_units: frozenset[str], odds_of: dict[str, float], rounds: int = 60, again: int = 25, rate: float = 0.3) -> Model:
+    """Conditional likelihood of the token labels, with a small quadratic penalty, by Adam: first with the units'
+    labels, then with those of the chain itself in toxic documents' sentences (a sentence that would lose all keeps its own)."""
     distinct = {w for words, _ in sample for w in words}
     bad = {w for w in distinct if not toxic_units.isdisjoint(units_of(w))}
     hits, plain = [], []
@@ -285,54 +325,88 @@ def fit_chain(sample: list[tuple[list[str], int]], toxic_units: set[str], odds_o
     n = len(unit_at)
     words = sorted({w for span, _ in spans for w in span})
     word_at = {w: i for i, w in enumerate(words)}
-    pairs_ = []  # (word, feature)
+    pairs_, bucket_of = [], np.full(len(words) + 1, BUCKETS)  # (word, feature); the last is no word
     for i, w in enumerate(words):
         own = [u for u in units_of(w) if u in unit_at]
-        pairs_ += [(i, unit_at[u]) for u in own] + [(i, n + max((buckets[u] for u in own), default=BUCKETS - 1))]
+        bucket_of[i] = max((buckets[u] for u in own), default=BUCKETS - 1)
+        pairs_ += [(i, unit_at[u]) for u in own] + [(i, n + bucket_of[i])]
     of_word, feature = np.array(pairs_, int).reshape(-1, 2).T
     steps, none = max((len(s) for s, _ in spans), default=1), len(words)
     grid, label = np.full((steps, len(spans)), none), np.zeros((steps, len(spans)))
-    lengths = np.array([len(s) for s, _ in spans])
+    lengths, kinds = np.array([len(s) for s, _ in spans]), np.array([k for _, k in spans])
     for j, (span, kind) in enumerate(spans):
         grid[: len(span), j] = [word_at[w] for w in span]
         label[: len(span), j] = [kind and w in bad for w in span]
     inside = np.arange(steps)[:, None] < lengths
-    a, b, both = label[:-1], label[1:], inside[1:]
-    seen = np.array([[((1 - a) * (1 - b) * both).sum(), ((1 - a) * b * both).sum()], [(a * (1 - b) * both).sum(), (a * b * both).sum()]])
+    near = np.full((2, *grid.shape), BUCKETS)  # buckets of the words before and after
+    near[0, 1:], near[1, :-1] = bucket_of[grid[:-1]], bucket_of[grid[1:]]
     size = n + BUCKETS
-    theta = np.zeros(size + 5)  # units, buckets, start, transitions
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for r in range(1, rounds + 1):
+    ends = size + 2 * (BUCKETS + 1)  # units, own buckets, buckets before and after (and none), start, transitions
+    theta = np.zeros(ends + 5)
+
+    def scores() -> tuple[np.ndarray, np.ndarray]:
         x = np.append(np.bincount(of_word, theta[feature], len(words)), 0.0)[grid]
-        marginals, pairs = forward_backward(x, lengths, theta[size], theta[size + 1 :].reshape(2, 2))
-        error = np.where(inside, label - marginals, 0.0)
-        by_word = np.bincount(grid.ravel(), error.ravel(), len(words) + 1)
-        gradient = np.concatenate([np.bincount(feature, by_word[of_word], size), [error[0].sum()], (seen - pairs).ravel()])
-        gradient = gradient / len(spans) - 1e-5 * theta
-        m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
-        theta += rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
+        for side in (0, 1):
+            weights = theta[size + side * (BUCKETS + 1) :][: BUCKETS + 1].copy()
+            weights[-1] = 0
+            x += weights[near[side]]
+        return forward_backward(x, lengths, theta[ends], theta[ends + 1 :].reshape(2, 2))
+
+    def fit(label: np.ndarray, rounds: int) -> None:
+        a, b, both = label[:-1], label[1:], inside[1:]
+        seen = np.array([[((1 - a) * (1 - b) * both).sum(), ((1 - a) * b * both).sum()], [(a * (1 - b) * both).sum(), (a * b * both).sum()]])
+        m, v = np.zeros_like(theta), np.zeros_like(theta)
+        for r in range(1, rounds + 1):
+            marginals, pairs = scores()
+            error = np.where(inside, label - marginals, 0.0)
+            by_word = np.bincount(grid.ravel(), error.ravel(), len(words) + 1)
+            sides = [np.bincount(near[side].ravel(), error.ravel(), BUCKETS + 1) for side in (0, 1)]
+            gradient = np.concatenate([np.bincount(feature, by_word[of_word], size), *sides, [error[0].sum()], (seen - pairs).ravel()])
+            gradient = gradient / len(spans) - 1e-5 * theta
+            m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
+            theta[:] += rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
+
+    fit(label, rounds)
+    own = np.where(inside & (kinds == 1), scores()[0] >= 0.5, False).astype(float)
+    fit(np.where(own.any(axis=0), own, label), again)
     weights = {u: float(theta[i]) for u, i in unit_at.items()}
-    return Model(weights, buckets, theta[n:size].tolist(), float(theta[size]), theta[size + 1 :].reshape(2, 2))
+    sides = [theta[size + side * (BUCKETS + 1) :][:BUCKETS].tolist() for side in (0, 1)]
+    return Model(weights, buckets, theta[n:size].tolist(), *sides, float(theta[ends]), theta[ends + 1 :].reshape(2, 2).copy())
 
 
-def fit_curve(model: Model, sample: list[tuple[list[str], int]], sizes: dict[int, int]) -> None:
+def fit_curve(model: Model, sample: list[tuple[np.ndarray, int]], sizes: dict[int, int]) -> None:
     """Logistic regression of the label on the evidence, weighted to the labels' true sizes.
 
-    Projected gradient ascent with a small ridge: weights of evidence are never
+    Projected Newton steps with a small ridge: weights of evidence are never
     negative, so more evidence never lowers a score, and separable samples end
     at finite weights.
     """
-    x = np.array([evidence(m) for m in marginals_of(model, [w for w, _ in sample])])
+    x = np.array([e for e, _ in sample])
     y = np.array([k for _, k in sample], float)
     drawn = Counter(k for _, k in sample)
     weight = np.array([sizes[k] / drawn[k] for _, k in sample])
     weight /= weight.sum()
     beta, ridge = np.zeros(x.shape[1]), 1e-4 * (np.arange(x.shape[1]) > 0)
-    rate = 1 / (0.25 * (x**2).sum(axis=1).max() + 1e-4)
-    for _ in range(20_000):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        beta = beta + rate * (x.T @ (weight * (y - p)) - ridge * beta)
-        beta[1:] = np.maximum(beta[1:], 0)
+
+    def loss(beta: np.ndarray) -> float:
+        z = x @ beta
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (ridge * beta**2).sum())
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
+        slope = x.T @ (weight * (p - y)) + ridge * beta
+        free = np.flatnonzero((np.arange(len(beta)) == 0) | (beta > 0) | (slope < 0))
+        curvature = (x[:, free].T * (weight * p * (1 - p))) @ x[:, free] + np.diag(ridge[free] + 1e-9)
+        step, size = np.zeros_like(beta), 1.0
+        step[free] = np.linalg.solve(curvature, slope[free])
+        bounded = lambda b: np.concatenate([b[:1], np.maximum(b[1:], 0)])
+        while size > 1e-8 and loss(bounded(beta - size * step)) > loss(beta):
+            size /= 2
+        new = bounded(beta - size * step)
+        done = np.abs(new - beta).max() < 1e-9
+        beta = new
+        if done:
+            break
     model.curve = beta
 
 
