@@ -4,25 +4,28 @@ Turns are packed into windows of at most ``budget`` tokens, always whole turns:
 a window starts with the conversation's system turn, repeats a limited history
 of the turns before it, and then holds new turns. Each assistant turn is a
 target in exactly one window; where it is repeated as history it is masked.
+What is repeated gives way to what is new: history as it exceeds the room that
+the new turns leave, then the system turn. Only a turn that is longer than the
+budget by itself makes a window longer than it, and has that window to itself.
 Tokens are counted as words plus the template's own marks; another count can be
-given as an expression.
+given as an expression, or as a column of counts made before (by ``bpe.encode``, say).
 
 Template: ``[turn ROLE]TEXT[/turn]``. In roles and texts a backslash is written
-``\\b`` and an opening bracket ``\\o``, so no text can hold a mark, and reading
-back is exact.
+``\\b``, an opening bracket ``\\o`` and a closing one ``\\c``, so none can hold a mark or
+end one, and reading back is exact.
 
-A conversation is cut into blocks of ``block`` turn numbers, and windows don't
-cross blocks, so no row holds more than a block and a conversation with a third
-of all rows spreads over many tasks. Only the system turn and the last turns of
+A conversation is cut into blocks of ``block`` rows by the exact rank of its rows, and windows don't
+cross blocks, so no row of the result holds more than a block and a conversation with a third
+of all rows, whatever its turn numbers, spreads over many tasks. Only the system turn and the last turns of
 the block before are joined to a block. Within a block, windows are chosen from
 prefix sums of the turns' tokens.
 
 Edge cases: null text and null role are empty; rows without conv_id form one
 conversation; rows without turn come first; ties in turn are ordered by role,
-then text, and repeated rows all stay; a turn longer than the budget has a
-window to itself, whole; extra columns are ignored; an empty table gives an
+then text, and repeated rows all stay; very long texts stay whole; extra columns are ignored; an empty table gives an
 empty table. The system turn is the conversation's first row, if its role is
-``system``.
+``system``. ``read_back`` brings each conversation together in one row, as what it returns asks:
+a conversation is at most what one row can hold.
 """
 
 from __future__ import annotations
@@ -31,19 +34,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphstream.llm.quality import let, words_of
+from glyphstream.runtime import ranked
 
 OPEN, SHUT, END = "[turn ", "]", "[/turn]"
 BUDGET, HISTORY, BLOCK = 2048, 256, 256
 MARK_TOKENS = 2
+#: Control strings and how texts write them, the backslash first.
+_CODES = [("\\", "\\b"), ("[", "\\o"), ("]", "\\c")]
 _TURN = "struct<turn:bigint,role:string,text:string,tokens:bigint>"
 
 
 def escaped(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\b")), F.lit("["), F.lit("\\o"))
+    for plain, code in _CODES:
+        text = F.replace(text, F.lit(plain), F.lit(code))
+    return text
 
 
 def unescaped(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\o"), F.lit("[")), F.lit("\\b"), F.lit("\\"))
+    for plain, code in reversed(_CODES):
+        text = F.replace(text, F.lit(code), F.lit(plain))
+    return text
 
 
 def word_tokens(text: Column) -> Column:
@@ -66,12 +76,12 @@ def _windows(turns: Column, room: Column) -> Column:
     return F.aggregate(turns, start, step, last)
 
 
-def _tail(turns: Column, history: int) -> Column:
-    """The longest run of last turns whose tokens fit the history."""
+def _tail(turns: Column, room: Column) -> Column:
+    """The longest run of last turns whose tokens fit the room."""
     none = F.array().cast(f"array<{_TURN}>")
 
     def step(s: Column, t: Column) -> Column:
-        fits = s["go"] & (s["used"] + t["tokens"] <= history)
+        fits = s["go"] & (s["used"] + t["tokens"] <= room)
         more = F.struct(F.lit(True).alias("go"), (s["used"] + t["tokens"]).alias("used"), F.concat(F.array(t), s["out"]).alias("out"))
         stop = F.struct(F.lit(False).alias("go"), s["used"].alias("used"), s["out"].alias("out"))
         return F.when(fits, more).otherwise(stop)
@@ -80,6 +90,10 @@ def _tail(turns: Column, history: int) -> Column:
     return F.aggregate(F.reverse(turns), start, step, lambda s: s["out"])
 
 
+def _tokens(turns: Column) -> Column:
+    return F.aggregate(F.transform(turns, lambda t: t["tokens"]), F.lit(0).cast("long"), lambda a, b: a + b)
+
+
 def _formatted(turn: Column) -> Column:
     return F.concat(F.lit(OPEN), escaped(turn["role"]), F.lit(SHUT), escaped(turn["text"]), F.lit(END))
 
@@ -95,32 +109,30 @@ def windows(
     code points of the window's text.
     """
     text, role = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(role_col), F.lit(""))
-    own = F.struct(F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"), (tokens(text) + MARK_TOKENS).cast("long").alias("tokens"))
-    rows = df.select(
-        F.col(conv_col).alias("conv"),
-        F.coalesce(F.floor(F.col(turn_col) / block), F.lit(-(1 << 40))).cast("long").alias("block"),
-        own.alias("own"),
-    )
+    rows = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"), (tokens(text) + MARK_TOKENS).cast("long").alias("tokens"))
+    rows = ranked(rows, ["turn", "role", "text"], ["conv"])
+    own = F.struct(F.col("rank").alias("turn"), "role", "text", "tokens")
+    rows = rows.select("conv", F.floor(F.col("rank") / block).cast("long").alias("block"), own.alias("own"))
     blocks = rows.groupBy("conv", "block").agg(F.array_sort(F.collect_list("own")).alias("turns"))
-    heads = rows.groupBy("conv").agg(F.min("own").alias("head"), F.min("block").alias("first"))
-    heads = heads.select(F.col("conv").alias("c"), "first", F.when(F.col("head.role") == "system", F.col("head")).alias("head"))
-    tails = blocks.select(F.col("conv").alias("tc"), (F.col("block") + 1).alias("tb"), _tail(F.col("turns"), history).alias("tail"))
-    joined = blocks.join(heads, F.col("conv").eqNullSafe(F.col("c"))).join(
+    heads = rows.where("own.turn = 0 and own.role = 'system'").select(F.col("conv").alias("c"), F.col("own").alias("head"))
+    tails = blocks.select(F.col("conv").alias("tc"), (F.col("block") + 1).alias("tb"), _tail(F.col("turns"), F.lit(history)).alias("tail"))
+    joined = blocks.join(heads, F.col("conv").eqNullSafe(F.col("c")), "left").join(
         tails, F.col("conv").eqNullSafe(F.col("tc")) & (F.col("block") == F.col("tb")), "left"
     )
     none = F.array().cast(f"array<{_TURN}>")
-    room = F.lit(budget - history) - F.coalesce(F.col("head.tokens"), F.lit(0))
-    joined = joined.select("conv", "block", "first", "head", "turns", F.coalesce("tail", none).alias("tail"), _windows(F.col("turns"), room).alias("spans"))
-    each = joined.select("conv", "block", "first", "head", "turns", "tail", F.posexplode("spans").alias("window", "span"))
+    room = F.greatest(F.lit(budget - history) - F.coalesce(F.col("head.tokens"), F.lit(0)), F.lit(0))
+    joined = joined.select("conv", "block", "head", "turns", F.coalesce("tail", none).alias("tail"), _windows(F.col("turns"), room).alias("spans"))
+    each = joined.select("conv", "block", "head", "turns", "tail", F.posexplode("spans").alias("window", "span"))
     fresh = F.slice("turns", F.col("span.first") + 1, F.col("span.last") - F.col("span.first"))
-    past = F.when(F.col("window") == 0, F.col("tail")).otherwise(_tail(F.slice("turns", F.lit(1), F.col("span.first")), history))
-    starts = (F.col("block") == F.col("first")) & (F.col("window") == 0)
-    system = F.when(F.col("head").isNull() | starts, none).otherwise(F.array("head"))
-    repeated = let(past, lambda p: F.when(F.exists(p, lambda t: t == F.col("head")), p).otherwise(F.concat(system, p)))
-    laid = each.select("conv", "block", "window", repeated.alias("old"), fresh.alias("new"))
+    before = F.when(F.col("window") == 0, F.col("tail")).otherwise(F.slice("turns", F.lit(1), F.col("span.first")))
+    each = each.select("conv", "block", "window", "head", fresh.alias("new"), before.alias("before"), (F.lit(budget) - _tokens(fresh)).alias("left"))
+    starts = (F.col("block") == 0) & (F.col("window") == 0)
+    system = F.when(F.col("head").isNull() | starts | (F.col("head.tokens") > F.col("left")), none).otherwise(F.array("head"))
+    each = each.select("conv", "block", "window", "new", "before", system.alias("system"), (F.col("left") - _tokens(system)).alias("left"))
+    past = F.filter(_tail(F.col("before"), F.least(F.lit(history).cast("long"), F.col("left"))), lambda t: (t["turn"] != 0) | (F.size("system") == 0))
+    laid = each.select("conv", "block", "window", F.concat("system", past).alias("old"), "new")
     laid = laid.select(
-        "conv", "block", "window", F.size("old").alias("n_repeated"),
-        F.aggregate(F.transform(F.concat("old", "new"), lambda t: t["tokens"]), F.lit(0).cast("long"), lambda a, b: a + b).alias("n_tokens"),
+        "conv", "block", "window", F.size("old").alias("n_repeated"), _tokens(F.concat("old", "new")).alias("n_tokens"),
         F.transform("old", _formatted).alias("old"), F.transform("new", _formatted).alias("shown"), "new",
     )
     spans = let(

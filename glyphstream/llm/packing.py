@@ -2,20 +2,22 @@
 
 Hierarchical residual packing. Level 0 tokenises each partition once and packs
 its pieces best-fit, longest first; bins that are nearly full are emitted, with
-whole-length pieces as bins of their own. The pieces of underfull bins go up as
-items: they are dealt into groups of bounded size, packed best-fit again, and
-so on, until one group holds all that is left. (A bin over half full could
-never be joined with another such bin, so an underfull bin rises opened, as
-one item for each piece in it.) No task holds more than ``group`` pieces, and
+whole-length pieces as bins of their own. Underfull bins go up as
+items: they are dealt whole into groups of bounded size and packed best-fit again, a bin as one
+item. Bins that are nearly full by then are emitted as they are. A bin over half full
+can't be joined with another such bin, so what is still underfull is opened, and its pieces are packed best-fit once
+more within the group. What is nearly full now is emitted and the rest goes up as bins again,
+until one group holds all that is left. If a level has emitted less than a tenth of its pieces, further levels
+would not help and each group emits what it has. No task holds more than about ``group`` pieces, and
 only piece metadata moves between levels unless the ids are asked for.
 
 A document is its token ids and one closing id. Only documents longer than a
 sequence are cut: the first piece takes the remainder, the rest are full.
 
 Edge cases: null text is an empty text, which is a document of the closing id
-alone; very long texts stream in blocks; repeated rows are packed like any
+alone; very long texts stream in blocks; repeated rows and rows without id are packed like any
 others, each in its own place; extra columns are ignored; an empty table gives
-an empty table.
+an empty table. ``sequences`` gives no row for no pieces.
 """
 
 from __future__ import annotations
@@ -66,11 +68,21 @@ def best_fit(lengths: list[int], size: int) -> tuple[list[int], list[int], list[
     return bins, offsets, fill
 
 
-def _placed(lengths: list[int], size: int, least: float, new_id: Iterator[int]) -> tuple[list[int | None], list[int | None]]:
-    """Sequence id and offset of each item; None where its bin isn't emitted."""
-    bins, offsets, fill = best_fit(lengths, size)
-    ids = [next(new_id) if f >= least else None for f in fill]
-    return [ids[b] for b in bins], [o if ids[b] is not None else None for b, o in zip(bins, offsets)]
+def merge(bins: list[int], lengths: list[int], offsets: list[int], size: int, least: float) -> tuple[list[int], list[int], list[int]]:
+    """The bin and offset of each piece, and each bin's fill, after two rounds over pieces laid in underfull bins:
+    best-fit of the bins as items, then best-fit of the pieces of the bins that are still underfull."""
+    names = {b: i for i, b in enumerate(dict.fromkeys(bins))}
+    fills = [0] * len(names)
+    for b, n in zip(bins, lengths):
+        fills[names[b]] += n
+    of_bin, at_bin, fill = best_fit(fills, size)
+    placed = [of_bin[names[b]] for b in bins]
+    offsets = [at_bin[names[b]] + o for b, o in zip(bins, offsets)]
+    opened = [i for i, b in enumerate(placed) if fill[b] < least]
+    again, at, fill_again = best_fit([lengths[i] for i in opened], size)
+    for i, b, o in zip(opened, again, at):
+        placed[i], offsets[i] = len(fill) + b, o
+    return placed, offsets, fill + fill_again
 
 
 def _ids(level: int) -> Iterator[int]:
@@ -117,14 +129,14 @@ def pack(
         *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "sequence_id", "offset")),
         *([T.StructField("token_ids", T.BinaryType())] if keep_ids else []),
     ])
-    names, least = schema.names, NEARLY_FULL * size
-    kinds = [None, pa.int32(), *[pa.int64()] * 5, pa.binary()][: len(names)]
-
-    def out(rows: list[list], lengths: list[int], new_id: Iterator[int], emit: float, key: pa.DataType) -> Iterator[pa.RecordBatch]:
-        if rows:
-            sequences, offsets = _placed(lengths, size, emit, new_id)
-            for row, sequence, offset in zip(rows, sequences, offsets):
-                row[5:7] = sequence, offset
+    inner = T.StructType([*schema.fields, T.StructField("done", T.BooleanType())])
+    names, least = inner.names, NEARLY_FULL * size
+    kinds = [None, pa.int32(), *[pa.int64()] * 5, *([pa.binary()] if keep_ids else []), pa.bool_()]
+
+    def out(rows: list[list], bins: list[int], offsets: list[int], fill: list[int], new_id: Iterator[int], emit: float, key: pa.DataType) -> Iterator[pa.RecordBatch]:
+        ids = [next(new_id) for _ in fill]
+        for row, b, offset in zip(rows, bins, offsets):
+            row[5:7], row[-1] = (ids[b], offset), fill[b] >= emit
         for at in range(0, len(rows), 10_000):
             columns = zip(*rows[at : at + 10_000])
             yield pa.RecordBatch.from_arrays([pa.array(c, k or key) for c, k in zip(columns, kinds)], names=names)
@@ -141,11 +153,11 @@ def pack(
                     raw = packed(ids)
                     for piece, start, length in pieces_of(ids, size):
                         own_raw = raw[4 * start : 4 * (start + length)]
-                        rows.append([doc, piece, start, length, crc32(own_raw), None, None, *([own_raw] if keep_ids else [])])
+                        rows.append([doc, piece, start, length, crc32(own_raw), None, None, *([own_raw] if keep_ids else []), False])
                 if len(rows) >= group:
-                    yield from out(rows, [r[3] for r in rows], new_id, least, key)
+                    yield from out(rows, *best_fit([r[3] for r in rows], size), new_id, least, key)
                     rows = []
-        yield from out(rows, [r[3] for r in rows], new_id, least, key)
+        yield from out(rows, *best_fit([r[3] for r in rows], size), new_id, least, key)
 
     def again(level: int, emit: float):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,25 +165,30 @@ def pack(
             for batch in batches:
                 key = batch.schema.types[0]
                 rows += map(list, zip(*(c.to_pylist() for c in batch.columns)))
-            yield from out(rows, [r[3] for r in rows], new_id, emit, key)
+            yield from out(rows, *merge([r[5] for r in rows], [r[3] for r in rows], [r[6] for r in rows], size, least), new_id, emit, key)
 
         return run
 
-    done = materialize(narrow.mapInArrow(first, schema), "packed-0")
-    levels = [done.where("sequence_id is not null")]
-    rest = done.where("sequence_id is null")
+    def dealt(rest: DataFrame, pieces: int) -> DataFrame:
+        """Underfull bins, whole, in groups of about ``group`` pieces."""
+        groups = -(-pieces // group)
+        return rest.repartitionById(groups, F.pmod(F.xxhash64("sequence_id"), F.lit(groups)).cast("int"))
+
+    done = materialize(narrow.mapInArrow(first, inner), "packed-0")
+    levels = [done.where("done")]
+    rest = done.where("not done")
     left, level = rest.count(), 1
     while left:
-        groups = -(-left // group)
-        done = materialize(rest.repartition(groups).mapInArrow(again(level, least if groups > 1 else 0), schema), f"packed-{level}")
-        levels.append(done.where("sequence_id is not null"))
-        rest = done.where("sequence_id is null")
+        emit = least if left > group else 0
+        done = materialize(dealt(rest, left).mapInArrow(again(level, emit), inner), f"packed-{level}")
+        rest = done.where("not done")
         before, left = left, rest.count()
-        if left > 0.9 * before:  # more rounds would not help: each group emits what it has
-            done = rest.repartition(-(-left // group)).mapInArrow(again(level + 1, 0), schema)
+        if left > 0.9 * before:  # further levels would not help: each group emits what it has
             levels.append(done)
             break
+        levels.append(done.where("done"))
         level += 1
+    levels = [d.drop("done") for d in levels]
     packed_all = levels[0]
     for more in levels[1:]:
         packed_all = packed_all.unionByName(more)

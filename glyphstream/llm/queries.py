@@ -95,7 +95,7 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all ``conversations`` and one with control strings; digests read back from the output."""
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql(f"select * from values (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') as t(conv_id, turn, role, text)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     back = chat.read_back(chat.windows(rows))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

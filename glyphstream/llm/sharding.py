@@ -7,15 +7,19 @@ sums, in one map-side combined aggregation, the bytes in every bucket between
 candidate boundaries, keeps a boundary that meets the tolerance, and else
 lays new candidates inside the bucket that holds the target. A bucket with one
 text alone is refined by ids, then by row numbers, so a text that holds a third
-of all rows is split like anything else. Then the rows are exchanged once, by
-range, and slots come from exact row counts of the ranges before.
+of all rows is split like anything else. A shard is cut into ``cuts`` parts by
+splitters of the same kind; then every row, whole, is exchanged once, straight to
+the partition that the splitters name. Slots come from exact row counts of
+a shard's parts before.
 
 Only ``buckets`` sums for each splitter ever reach the driver.
 
 Edge cases: null text has no bytes (size 8, checksum 0) and hashes like the
 empty text; with fewer rows than shards some shards stay empty; repeated rows
-get slots of their own; extra columns are ignored; an empty table gives an
-empty table.
+and rows without id get slots of their own; extra columns are ignored, or kept
+where they are asked for (those named like a column of the result can't be);
+very long texts move only if they are kept; an empty table gives an empty
+table, and no files.
 """
 
 from __future__ import annotations
@@ -62,8 +66,8 @@ class Probe:
     target: int
 
 
-def keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, size, checksum and order key (h, d, r) of every row; 62 bits each, so differences fit a long."""
+def keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: list[str] | None = None) -> DataFrame:
+    """Id, size, checksum and order key (h, d, r) of every row; 62 bits each, so differences fit a long. And the columns to keep."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     high = lambda c: F.shiftrightunsigned(F.xxhash64(c), 2)
     return df.select(
@@ -73,6 +77,7 @@ def keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         high(text).alias("h"),
         high(F.col(id_col)).alias("d"),
         F.monotonically_increasing_id().alias("r"),
+        *(kept or []),
     )
 
 
@@ -129,35 +134,38 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = 0.001, buckets: i
 
 
 def shard_of(bounds: list[tuple[int, int, int]]) -> Column:
-    """The number of splitters at or below the row's key."""
-    key = F.struct("h", "d", "r")
-    shard = F.lit(0)
-    for bound in bounds:
-        at = F.struct(*(F.lit(v).cast("long").alias(n) for n, v in zip(_DIMENSIONS, bound)))
-        shard = shard + (key >= at).cast("int")
-    return shard
-
-
-def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001) -> DataFrame:
-    """One row per input row: id, ``size``, ``text_crc32``, ``shard`` and its gapless ``slot`` there."""
-    rows = materialize(keys(df, id_col, text_col), "shard-keys")
-    parts = max(shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """The number of splitters at or below the row's key, by one look into their sorted array."""
+    names = lambda values: F.struct(*(v.cast("long").alias(n) for n, v in zip(_DIMENSIONS, values)))
+    all_ = F.array(*(names(map(F.lit, b)) for b in sorted(bounds))) if bounds else F.array().cast("array<struct<h:bigint,d:bigint,r:bigint>>")
+    key = names(map(F.col, _DIMENSIONS))
+    return F.size(F.filter(all_, lambda b: b <= key))
+
+
+def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001, keep: list[str] | None = None) -> DataFrame:
+    """One row per input row: id, ``size``, ``text_crc32``, ``shard`` and its gapless ``slot`` there, and the columns to keep."""
+    kept = [c for c in keep or [] if c != id_col]
+    if clash := sorted({"id", "size", "text_crc32", "shard", "slot", "h", "d", "r"} & {*kept}):
+        raise ValueError(f"columns named like the result's: {clash}")
+    whole = keys(df, id_col, text_col, kept)
+    narrow = materialize(whole.select("h", "d", "r", "size"), "shard-keys")
+    cuts = -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    part = shard_of(splitters(narrow, shards * cuts, tolerance * cuts))
     sent = (
-        rows.withColumn("shard", shard_of(splitters(rows, shards, tolerance)))
-        .repartitionByRange(parts, "h", "d", "r")
+        whole.withColumn("part", part)
+        .repartitionById(shards * cuts, F.col("part"))
         .sortWithinPartitions("h", "d", "r")
-        .select("id", "size", "text_crc32", "shard", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+        .select("id", "size", "text_crc32", "part", F.monotonically_increasing_id().alias("at"), *kept)
     )
     sent = materialize(sent, "shard-rows")
-    runs = sent.groupBy("shard", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    runs = sent.groupBy("part").agg(F.min("at").alias("first"), F.count("*").alias("n"))  # one row a part
+    runs = runs.withColumn("shard", F.floor(F.col("part") / cuts).cast("int"))
     earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("shard", "part", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    return sent.join(runs, ["shard", "part"]).select(
-        F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("base") + F.col("at") - F.col("first")).alias("slot")
+    runs = runs.select("part", "shard", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    return sent.join(F.broadcast(runs), "part").select(
+        F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("base") + F.col("at") - F.col("first")).alias("slot"), *kept
     )
 
 
-def write_shards(df: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write whole rows into one folder per shard; ids must be unique here."""
-    placed = df.join(assigned.select(id_col, "shard", "slot"), id_col)
-    placed.repartitionByRange("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, shards: int, path: str, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001) -> None:
+    """Write whole rows into one folder per shard (``shard=0`` on), with their ``slot``; rows are exchanged once, in ``shard``."""
+    shard(df, shards, id_col, text_col, tolerance, df.columns).write.partitionBy("shard").parquet(path)

@@ -1,23 +1,25 @@
 """Exact top-k by inner product, pruned by multi-resolution segment statistics.
 
 Vectors become integers, floor(scale * x). Each is summarised at several
-resolutions: 1, 4 and 16 segments, each by its mean and deviation. With segment
+resolutions, coarse to fine: 1, 4, 16 and 32 segments, each by its mean and deviation. With segment
 length L, Cauchy-Schwarz gives q.x <= sum of L * (mean_q mean_x + dev_q dev_x),
-which bounds the distance |q|^2 + |x|^2 - 2 q.x from below. Coarse to fine, a
-candidate goes once its bound can't reach the query's k-th best so far;
-survivors get their exact product. Ties at the k-th score survive, so results
-are exact with ties to the smaller id.
+which bounds the distance |q|^2 + |x|^2 - 2 q.x from below. A block's candidates are taken in the order of their
+coarse bound, the most promising first, in tiles; a tile's pairs go as soon as a bound can't reach the query's k-th
+best so far, and the exact products are made for the queries and candidates of a tile that have
+pairs left. Ties at the k-th score survive, so results
+are exact with ties to the smaller id. ``search_block`` reports how many pairs each resolution left.
 
 The stated queries are searched against all vectors in blocks: vectors and
-queries are dealt into blocks of bounded size, each pair of blocks is one group
-of rows that a task streams, and only k rows a query and block leave it.
+queries are dealt into blocks bounded in rows and bytes, each pair of blocks is one group
+of rows that a task streams, and only k rows a query and block leave it. A copied vector that is a third of all
+rows is dealt by its rows' ids, so it fills no block.
 
 Edge cases: vectors that are null or empty or hold null or non-finite values, and rows
 without id, take no part; vectors of unequal lengths are not compared; a query
 id given more than once is searched once, by its least vector; repeated
 candidate rows each count; rows with the query's id are its own and left out;
-with fewer candidates than k all are returned; extra columns are ignored; an
-empty table gives an empty table.
+with fewer candidates than k all are returned; extra columns are ignored; very long vectors make
+blocks of fewer rows; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,13 +33,11 @@ from pyspark.sql import functions as F
 
 from glyphstream.runtime import materialize
 
-RESOLUTIONS = (1, 4, 16)
-#: Rows of a block: candidates at least and at most, queries at most; candidates compared at a time.
-LEAST, MOST, QUERIES, STEP = 4096, 65536, 8192, 2048
-#: The first candidates, which only set each query's limit.
-FIRST = 256
-#: Share of surviving pairs above which their products are made as one matrix product.
-DENSE = 0.02
+RESOLUTIONS = (1, 4, 16, 32)
+#: Rows of a block: candidates at least and at most, queries at most; numbers that a block's vectors hold at most.
+LEAST, MOST, QUERIES, NUMBERS = 4096, 65536, 8192, 1 << 23
+#: Queries and candidates of a tile; the resolution that orders candidates, and how many times k of them a query tries first.
+TILE, STEP, SEED, SEEDS = 128, 512, 1, 2
 
 
 def integers(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -67,10 +67,11 @@ def exact_in_floats(q: np.ndarray, x: np.ndarray) -> bool:
 
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Row by row integer products."""
+    """Integer products of all rows of ``q`` with all of ``x``."""
     if exact_in_floats(q, x):
-        return np.einsum("ij,ij->i", q, x).astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(r, s)) for r, s in zip(q, x)], np.int64)
+        return (q @ x.T).astype(np.int64)
+    whole = np.vectorize(int, otypes=[object])
+    return (whole(q) @ whole(x).T).astype(np.int64) if q.size and x.size else np.zeros((len(q), len(x)), np.int64)
 
 
 def best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -81,37 +82,55 @@ def best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.nd
     return order[rank < k]
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of each query's k best in the block."""
+def search_block(
+    q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int, left: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, score) of each query's k best in the block; ``left`` counts the pairs, and those each resolution leaves."""
+    left = np.zeros(len(RESOLUTIONS) + 1, np.int64) if left is None else left
+    parts = [_search_tile(at, q_ids, q, x_ids, x, k, left) for at in range(0, len(q), TILE)]
+    return tuple(np.concatenate(p) for p in zip(*parts)) if parts else tuple(np.zeros(0, np.int64) for _ in range(3))
+
+
+def _search_tile(at: int, q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int, left: np.ndarray) -> tuple[np.ndarray, ...]:
+    """As search_block, for the queries from ``at`` on."""
+    own_ids, own = q_ids[at : at + TILE], q[at : at + TILE]
     rows, ids, scores = (np.zeros(0, np.int64) for _ in range(3))
-    limit = np.full(len(q), -np.inf)
-    known = summaries(q)
-    for at in (0, *range(FIRST, len(x), STEP)):
-        size = STEP if at else FIRST
-        some, some_ids = x[at : at + size], x_ids[at : at + size]
-        alive = q_ids[:, None] != some_ids[None, :]
-        for own, theirs in zip(known, summaries(some)):
-            bound = own @ theirs.T
+    limit = np.full(len(own), -np.inf)
+    known, theirs = summaries(own), summaries(x)
+    coarse = known[SEED] @ theirs[SEED].T
+    order = np.argsort(-coarse.max(axis=0), kind="stable")  # by the best coarse bound of the tile
+    most = min(SEEDS * k, len(x))
+    seeds = np.zeros(len(x), bool)  # each query's most promising candidates come first and set its limit
+    seeds[np.argpartition(-coarse, most - 1, axis=1)[:, :most]] = True
+    order = np.concatenate([order[seeds[order]], order[~seeds[order]]])
+    for first, last in _steps(int(seeds.sum()), len(order)):
+        some = order[first:last]
+        alive = own_ids[:, None] != x_ids[some][None, :]
+        left[0] += alive.sum()
+        for i, (a, b) in enumerate(zip(known, theirs)):
+            bound = a @ b[some].T
             alive &= bound + (1e-9 * np.abs(bound) + 1e-6) >= limit[:, None]
+            left[i + 1] += alive.sum()
             if not alive.any():
                 break
-        if alive.mean() > DENSE and exact_in_floats(q, some):  # one matrix product costs less than picking pairs
-            product = q @ some.T
-            i, j = np.nonzero(alive & (product >= limit[:, None]))
-            parts = [(i, j, product[i, j].astype(np.int64))]
-        else:
-            i, j = np.nonzero(alive)
-            pieces = ((i[c : c + (1 << 17)], j[c : c + (1 << 17)]) for c in range(0, len(i), 1 << 17))
-            parts = ((a, b, exact(q[a], some[b])) for a, b in pieces)
-        for a, b, got in parts:
-            near = got >= limit[a]
-            rows, ids, scores = (np.concatenate(p) for p in ((rows, a[near]), (ids, some_ids[b[near]]), (scores, got[near])))
-            kept = best(rows, ids, scores, k)
-            rows, ids, scores = rows[kept], ids[kept], scores[kept]
-        full = np.bincount(rows, minlength=len(q)) >= k
-        last = np.searchsorted(rows, np.arange(len(q)), side="right") - 1
-        limit[full] = scores[last[full]]
-    return rows, ids, scores
+        i, j = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+        if not len(i):
+            continue
+        product = exact(own[i], x[some[j]])
+        r, c = np.nonzero(alive[np.ix_(i, j)] & (product >= limit[i][:, None]))
+        rows, ids, scores = (np.concatenate(p) for p in ((rows, i[r]), (ids, x_ids[some[j[c]]]), (scores, product[r, c])))
+        kept = best(rows, ids, scores, k)
+        rows, ids, scores = rows[kept], ids[kept], scores[kept]
+        full = np.bincount(rows, minlength=len(own)) >= k
+        end = np.searchsorted(rows, np.arange(len(own)), side="right") - 1
+        limit[full] = scores[end[full]]
+    return rows + at, ids, scores
+
+
+def _steps(seeds: int, n: int) -> list[tuple[int, int]]:
+    """[first, last) of the candidates compared at a time."""
+    edges = [0, *range(seeds, n, STEP), n]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if a < b]
 
 
 def top_k(
@@ -123,34 +142,39 @@ def top_k(
     spark = vectors.sparkSession
     all_ = materialize(integers(vectors, id_col, vector_col, scale).withColumn("dim", F.size("v")), "vectors")
     queries = all_.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    n, n_queries = all_.count(), queries.count()
+    n, n_queries, width = all_.count(), queries.count(), all_.agg(F.max("dim")).first()[0] or 1
     blocks = max(1, -(-n // least))
-    blocks = max(min(blocks, spark.sparkContext.defaultParallelism), -(-n // most))
-    query_blocks = max(1, -(-n_queries // QUERIES))
+    blocks = max(min(blocks, spark.sparkContext.defaultParallelism), -(-n // min(most, max(1, NUMBERS // width))))
+    query_blocks = max(1, -(-n_queries // min(QUERIES, max(1, NUMBERS // width))))
     block = lambda of, m: F.pmod(F.xxhash64(of), F.lit(m)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     right = all_.select("dim", block("id", blocks).alias("b"), each(query_blocks).alias("qb"), F.lit(1).alias("side"), "id", "v")
     left = queries.select("dim", each(blocks).alias("b"), block("id", query_blocks).alias("qb"), F.lit(0).alias("side"), "id", "v")
 
-    def search(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        side, ids = (np.array([r[c] for r in rows], np.int64) for c in (3, 4))
-        values = np.array([r[5] for r in rows], np.float64).reshape(len(rows), rows[0][0])
-        q, x = side == 0, side == 1
-        if q.any() and x.any():
-            q_ids, x_ids = ids[q], ids[x]
-            row, found, score = search_block(q_ids, values[q], x_ids, values[x], k)
+    def search(side: np.ndarray, ids: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        is_query = side == 0
+        if is_query.any() and not is_query.all():
+            q_ids = ids[is_query]
+            row, found, score = search_block(q_ids, values[is_query], ids[~is_query], values[~is_query], k)
             yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(found), pa.array(score)], names=["query_id", "id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple[np.ndarray, ...]] = []  # parts of the group that is being read, as arrays
+        group = None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][:3] != row[:3]:
-                    yield from search(held)
+            keys = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]], axis=1)
+            turn = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, z in zip(turn, turn[1:]):
+                if a == z:
+                    continue
+                if held and group != tuple(keys[a]):
+                    yield from search(*map(np.concatenate, zip(*held)))
                     held = []
-                held.append(row)
+                group, part = tuple(keys[a]), batch.slice(a, z - a)
+                values = part.column(5).flatten().to_numpy(zero_copy_only=False).reshape(z - a, -1)
+                held.append((part.column(3).to_numpy(), part.column(4).to_numpy(), values))
         if held:
-            yield from search(held)
+            yield from search(*map(np.concatenate, zip(*held)))
 
     groups = max(blocks * query_blocks, 1)
     dealt = right.unionByName(left).repartition(groups, "dim", "b", "qb").sortWithinPartitions("dim", "b", "qb", "side", "id")

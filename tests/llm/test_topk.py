@@ -40,4 +40,17 @@ def test_bounds_hold():
 
 def test_large_components_stay_exact():
     q, x = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 1.0]])
-    assert topk.exact(q, x).tolist() == [2**60 + 1]
+    assert topk.exact(q, x).tolist() == [[2**60 + 1]]
+
+
+def test_bounds_prune_where_vectors_have_structure():
+    """Most pairs of smooth vectors about few centres go by the bounds; the results stay those of all products."""
+    rng = np.random.default_rng(5)
+    centres = np.cumsum(rng.normal(0, 40, (20, 64)), axis=1)
+    x = np.floor(centres[rng.integers(0, 20, 3000)] + rng.normal(0, 4, (3000, 64)))
+    ids, q_ids, left = np.arange(3000), np.arange(0, 3000, 50), np.zeros(5, np.int64)
+    rows, found, scores = topk.search_block(q_ids, x[q_ids], ids, x, 5, left)
+    assert left[-1] < 0.1 * left[0] and all(a >= b for a, b in zip(left, left[1:]))
+    for i, query in enumerate(q_ids):
+        want = sorted((-int(x[query] @ x[j]), j) for j in ids if j != query)[:5]
+        assert [(-s, j) for s, j in zip(scores[rows == i].tolist(), found[rows == i].tolist())] == want
