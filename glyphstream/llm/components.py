@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphstream.runtime import materialize
+from glyphstream.runtime import materialize, skew_join
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,18 +13,20 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the least label among a node's neighbours, then jumps to the
     label's own label, so long chains shorten by halves. Labels are written to
-    the shared folder between rounds; hubs are combined before the shuffle.
-    Links of a node to itself are fine, repeated links too; no links give no rows.
+    the shared folder between rounds; hubs and labels that many nodes have are joined by broadcast.
+    Links of a node to itself are fine, repeated links too; links with a null end are skipped; no links give no rows.
     """
+    links = links.where("a is not null and b is not null")
     both = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct()
     both = materialize(both, "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"), F.count("*").alias("degree")), "labels")
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("n")).agg(F.min("component").alias("near"))
-        low = labels.join(near, F.col("node") == F.col("n")).select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
-        next_ = labels.select(F.col("node").alias("up"), F.col("component").alias("top"))
-        jumped = low.join(next_, F.col("low") == F.col("up")).select("node", F.least("low", "top").alias("component"), (F.least("low", "top") != F.col("old")).alias("moved"))
+        near = skew_join(both, labels.withColumnRenamed("node", "b"), ["b"], "degree").groupBy(F.col("a").alias("n")).agg(F.min("component").alias("near"))
+        low = labels.join(near, F.col("node") == F.col("n")).select("node", "degree", F.col("component").alias("old"), F.least("component", "near").alias("low"))
+        low = materialize(low, "low")
+        jumped = skew_join(low, labels.select(F.col("node").alias("low"), F.col("component").alias("top")), ["low"])
+        jumped = jumped.select("node", F.least("low", "top").alias("component"), "degree", (F.least("low", "top") != F.col("old")).alias("moved"))
         done = materialize(jumped, "labels")
-        labels = done.select("node", "component")
+        labels = done.select("node", "component", "degree")
         if not done.where("moved").limit(1).count():
-            return labels
+            return labels.drop("degree")

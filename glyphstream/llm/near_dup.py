@@ -12,10 +12,12 @@
 4. Buckets whose members are still in different components get the rest of
    their comparisons: members are dealt into chunks, and pairs of chunks are
    compared in the same batches inside a task, only pairs across components,
-   each in the first bucket it shares. Survivors are confirmed there and then,
-   by falling agreement, and join their components at once, so only links that
+   each in the first bucket it shares. Signatures alone move for that, and only members
+   with a surviving pair are named. Their texts are then joined, and survivors confirmed inside a task
+   by falling agreement; they join their components at once, so only links that
    join something leave the task. No link between components is lost to step
-   2, and no pairs of a group are ever written.
+   2, and no pairs of a group are ever written. A chunk has at most ``MEMBERS`` members and
+   about ``CHUNK_BYTES`` of text.
 5. Components of all confirmed links, by rounds of joins.
 
 Two documents at the threshold share no band with a chance below 1e-6 for the
@@ -42,8 +44,10 @@ from pyspark.sql import functions as F
 
 from glyphstream.llm.components import components
 from glyphstream.llm.hashing import chunks, shingle_sets
-from glyphstream.runtime import broadcast_if_small, materialize
+from glyphstream.runtime import broadcast_if_small, materialize, skew_join
 
+#: Bytes of text that the members of a chunk have together, about.
+CHUNK_BYTES = 64 << 20
 #: Signature values compared at a time, members of a chunk in step 4, pivots of a bucket.
 BATCH, MEMBERS, PIVOTS = 25, 2048, 4
 
@@ -86,7 +90,7 @@ def _bytes(texts: list[str | None]) -> list[bytes]:
 
 
 def signatures(df: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest of the shingle set, and signature (little-endian unsigned 32-bit)."""
+    """doc_id, n_shingles, digest of the shingle set, signature (little-endian unsigned 32-bit), and bytes of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = s.permutations()
@@ -103,10 +107,10 @@ def signatures(df: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str
                         for i in range(0, len(x), 1024):
                             np.minimum(least, ((x[i : i + 1024, None] * a + b) >> np.uint64(32)).min(axis=0), out=least)
                         signed.append(least.astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signed, pa.binary())], names=["doc_id", "n_shingles", "digest", "signature"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signed, pa.binary()), pa.array(map(len, texts), pa.int64())], names=["doc_id", "n_shingles", "digest", "signature", "bytes"])
 
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
+    return narrow.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary, bytes long")
 
 
 def _survive(left: np.ndarray, right: np.ndarray, steps: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -182,24 +186,43 @@ def _residual(bands: DataFrame, labels: DataFrame, signed: DataFrame, texts: Dat
     """Step 4: links (a, b) that join components within a bucket; ``bands`` has band, its number, and doc_id."""
     steps = s.least_matches()
     named = bands.join(labels, bands["doc_id"] == labels["node"], "left").select("band", "number", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    signed = signed.select("doc_id", "n_shingles", "signature", "bytes")
     open_ = named.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    open_ = open_.where("n > 2 and low < high").select("band", F.ceil(F.col("n") / MEMBERS).cast("int").alias("parts"))
-    members = named.join(open_, "band").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    members = materialize(members.select("band", "number", "doc_id", "component", "part", "parts"), "members")
+    open_ = materialize(open_.where("n > 2 and low < high").select("band", "n"), "open")
+    members = materialize(skew_join(named, open_, ["band"], "n").drop("n"), "open-members")
     ids = members.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
-    own = _of(signed.select("doc_id", "n_shingles", "signature"), ids)
-    own = materialize(own.join(_of(texts, ids), "doc_id"), "member-texts")
+    own = materialize(_of(signed, ids).drop("__id"), "member-signatures")
+    sizes = members.join(own.select("doc_id", "bytes"), "doc_id").groupBy("band").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = sizes.select("band", F.greatest(F.ceil(F.col("n") / MEMBERS), F.ceil(F.col("bytes") / CHUNK_BYTES), F.lit(1)).cast("int").alias("parts"))
+    members = skew_join(members, materialize(sizes, "parts"), ["band"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     each = members.select("band", "number", "doc_id", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     each = each.select("band", "number", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "component")
-    dealt = each.join(own, "doc_id").select("band", "i", "j", "number", "part", "doc_id", "component", "n_shingles", "signature", "text")
+    dealt = each.join(own.drop("bytes"), "doc_id").select("band", "i", "j", "number", "part", "doc_id", "component", "n_shingles", "signature")
 
-    def compare(rows: list[tuple]) -> tuple[list[int], list[int]]:
+    def survivors(rows: list[tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(p, q, matches): each member of chunk i with those of chunk j that it could be linked to, in the first bucket they share."""
         i, j, number = rows[0][1:4]
         part, ids, comp, n = (np.array([r[c] for r in rows], np.int64) for c in (4, 5, 6, 7))
         signs = np.frombuffer(b"".join(r[8] for r in rows), "<u4").reshape(-1, s.size)
         by_band = signs.reshape(len(rows), s.bands, s.rows)
-        names, comp = np.unique(comp, return_inverse=True)
-        root, sets = list(range(len(names))), {}
+        y = np.flatnonzero(part == j)
+        for p in np.flatnonzero(part == i):
+            q = y[(100 * np.minimum(n[y], n[p]) >= s.threshold * np.maximum(n[y], n[p])) & (comp[y] != comp[p]) & ((ids[y] > ids[p]) if i == j else True)]
+            if not len(q):
+                continue
+            alive, matches = _survive(np.broadcast_to(signs[p], (len(q), s.size)), signs[q], steps)
+            q = q[alive]
+            first = (by_band[q] == by_band[p]).all(axis=2).argmax(axis=1) == number
+            if first.any():
+                yield int(p), q[first], matches[first]
+
+    def named_members(rows: list[tuple]) -> pa.RecordBatch:
+        at = sorted({int(r) for p, q, _ in survivors(rows) for r in (p, *q)})
+        return pa.RecordBatch.from_arrays([pa.array([rows[r][c] for r in at], k) for c, k in enumerate(kinds)], names=names)
+
+    def confirmed(rows: list[tuple]) -> pa.RecordBatch:
+        comp = np.unique([r[6] for r in rows], return_inverse=True)[1]
+        root, sets, out = list(range(len(rows))), {}, ([], [])
 
         def top(c: int) -> int:
             while root[c] != c:
@@ -212,45 +235,39 @@ def _residual(bands: DataFrame, labels: DataFrame, signed: DataFrame, texts: Dat
                 if r not in sets:
                     sets[r] = next(shingle_sets(_bytes([rows[r][9]]), s.words))
             x, y = sets[p], sets[q]
-            if len(x) != n[p] or len(y) != n[q]:  # another text of a repeated id
+            if len(x) != rows[p][7] or len(y) != rows[q][7]:  # another text of a repeated id
                 return False
             common = _common(x, y)
             return common > 0 and 100 * common >= s.threshold * (len(x) + len(y) - common)
 
-        out = [], []
-        y = np.flatnonzero(part == j)
-        for p in np.flatnonzero(part == i):
-            q = y[(100 * np.minimum(n[y], n[p]) >= s.threshold * np.maximum(n[y], n[p])) & (comp[y] != comp[p]) & ((ids[y] > ids[p]) if i == j else True)]
-            if not len(q):
-                continue
-            alive, matches = _survive(np.broadcast_to(signs[p], (len(q), s.size)), signs[q], steps)
-            q = q[alive]
-            shared = (by_band[q] == by_band[p]).all(axis=2)
-            first = shared.argmax(axis=1) == number
-            for r in q[first][np.argsort(-matches[first], kind="stable")].tolist():
+        for p, q, matches in survivors(rows):
+            for r in q[np.argsort(-matches, kind="stable")].tolist():
                 if top(comp[p]) != top(comp[r]) and linked(p, r):
                     root[top(comp[r])] = top(comp[p])
-                    out[0].append(int(min(ids[p], ids[r])))
-                    out[1].append(int(max(ids[p], ids[r])))
-        return out
-
-    def record(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in compare(rows)], names=["a", "b"])
+                    out[0].append(min(rows[p][5], rows[r][5]))
+                    out[1].append(max(rows[p][5], rows[r][5]))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_group(use, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and held[0][:3] != row[:3]:
-                    yield record(held)
+                    yield use(held)
                     held = []
                 held.append(row)
         if held:
-            yield record(held)
+            yield use(held)
 
+    names = ["band", "i", "j", "number", "part", "doc_id", "component", "n_shingles", "signature"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    schema = "band long, i int, j int, number int, part int, doc_id long, component long, n_shingles long, signature binary"
     parts = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = dealt.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return sent.mapInArrow(run, "a long, b long").distinct()
+    sent = lambda rows: rows.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    alive = materialize(sent(dealt).mapInArrow(lambda batches: by_group(named_members, batches), schema), "alive")
+    ids = alive.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    whole = alive.join(_of(texts, ids).select("doc_id", "text"), "doc_id").select(*names, "text")
+    return sent(whole).mapInArrow(lambda batches: by_group(confirmed, batches), "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,9 +286,10 @@ def near_duplicates(df: DataFrame, settings: Settings, id_col: str = "doc_id", t
 
     band = lambda i: F.xxhash64(F.substring(F.col("signature"), i * (4 * s.rows) + 1, F.lit(4 * s.rows)), i)
     bands = firsts.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS)).alias("r"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(s.bands - 1)), band)).alias("number", "band"))
-    heads = bands.groupBy("band", "r").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("most"))
-    heads = heads.groupBy("band").agg(F.collect_list("pivot").alias("pivots"), F.min("pivot").alias("low"), F.max("most").alias("most")).where("low < most")
-    shared = materialize(bands.join(heads.select("band", "pivots"), "band").select("band", "number", "doc_id", "pivots"), "buckets")
+    heads = bands.groupBy("band", "r").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    heads = heads.groupBy("band").agg(F.collect_list("pivot").alias("pivots"), F.min("pivot").alias("low"), F.max("most").alias("most"), F.sum("n").alias("n")).where("low < most")
+    shared = skew_join(bands, materialize(heads.select("band", "pivots", "n"), "heads"), ["band"], "n")
+    shared = materialize(shared.select("band", "number", "doc_id", "pivots"), "buckets")
     pairs = shared.select(F.explode("pivots").alias("p"), "doc_id").where("p <> doc_id")
     pairs = materialize(pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct(), "pairs")
 
@@ -286,10 +304,13 @@ def near_duplicates(df: DataFrame, settings: Settings, id_col: str = "doc_id", t
 
 
 def drop_near_duplicates(df: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, without the later documents of each component."""
+    """The rows of ``df``, all columns, without the later documents of each component.
+
+    Rows that share a kept id all stay, rows without id and without words too; no column name clashes.
+    """
     found = near_duplicates(df, settings, id_col, text_col)
-    gone = found.where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
+    gone = found.where("not kept").select(id_col).distinct()
+    return df.join(gone, id_col, "left_anti").select(*df.columns)
 
 
 #: DuckDB's links and components for the contract's settings (3 words, 85).

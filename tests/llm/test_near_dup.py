@@ -83,3 +83,32 @@ def test_hashes_tell_words_apart():
     words, counts = hashing.word_hashes([b"a b a", b"", b" b\x0ba ", b"ab"])
     assert counts.tolist() == [3, 0, 2, 1] and words[0] == words[2] == words[4] and words[1] == words[3]
     assert len(np.unique(words)) == 3
+
+
+def test_chunks_of_open_buckets(spark, monkeypatch):
+    """Buckets whose members stay apart after the pivots, in chunks of few members and bytes; frequent keys by broadcast."""
+    from glyphstream import runtime
+
+    monkeypatch.setattr(near_dup, "MEMBERS", 4)
+    monkeypatch.setattr(near_dup, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(near_dup, "PIVOTS", 1)
+    monkeypatch.setattr(runtime, "HOT_KEYS", 3)
+    monkeypatch.setattr(runtime.skew_join, "__defaults__", (None, 5))
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(120)]
+    docs = []
+    for group in range(10):
+        own = base[:100] + [f"g{group}_{i}" for i in range(20)]  # groups share 100 words, too few to be linked
+        for _ in range(4):
+            words = list(own)
+            words[rng.randrange(100, 120)] = f"x{rng.random()}"
+            docs.append(" ".join(words))
+    rng.shuffle(docs)
+    docs = list(enumerate(docs)) + [(100 + i, " ".join(base[:40])) for i in range(30)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), S).collect()}
+    assert got == plain(docs, 3, 85)
+
+
+def test_a_column_named_like_ours(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 7), (2, "a b c d e f", 8), (None, None, 9)], "doc_id long, text string, __gone int")
+    assert sorted(r["__gone"] for r in near_dup.drop_near_duplicates(df, near_dup.Settings()).collect()) == [7, 9]
