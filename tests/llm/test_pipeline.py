@@ -1,7 +1,6 @@
-from collections import defaultdict
-
 import corpus_pipeline as p
-from glyphstream.llm import pii, toxicity
+from glyphstream.llm import line_dedup, pii, toxicity
+from test_line_dedup import plain as plain_lines
 from test_near_dup import plain as plain_groups
 from test_packing import hold
 
@@ -23,16 +22,16 @@ def test_stages_take_effect(spark):
     rows = {r.doc_id: r for r in clean.collect()}
     assert set(rows) == {i for i, s in scores.items() if s < p.TOXIC} and all(rows[i] == before[i] for i in rows)
 
-    seen, gone = set(), defaultdict(set)
-    for i, r in sorted(rows.items()):
-        words = (r.text or "").split()
-        grams = {j: tuple(words[j : j + 50]) for j in range(len(words) - 49)}
-        gone[i] = {k for j, g in grams.items() if g in seen for k in range(j, j + 50)}
-        seen |= set(grams.values())
+    gone = plain_lines([(i, r.text) for i, r in rows.items()], 50)
     lined_rows = {r.doc_id: r for r in lined.collect()}
-    assert set(lined_rows) <= set(rows)
-    assert all(rows[i].text and gone[i] for i in set(rows) - set(lined_rows))
-    assert all(lined_rows[i] == rows[i] for i in lined_rows if not gone[i] and len(set(rows[i].text.split())) > 60)
+    words = {i: (r.text or "").split() for i, r in rows.items()}
+    left = {i: [w for j, w in enumerate(words[i]) if j not in gone[i]] for i in rows}
+    runs = {r.doc_id: r.removed_runs for r in line_dedup.dedup_lines(clean).collect()}
+    held = {i: len({c for r in own if r.source != i for c in range(r.start, r.end)}) for i, own in runs.items()}
+    copies = {i for i in rows if gone[i] and (not left[i] or held[i] >= p.LOST and len(rows[i].text) - held[i] < p.STAYS * len(rows[i].text))}
+    assert set(lined_rows) == set(rows) - copies and copies
+    for i, r in lined_rows.items():
+        assert (r.text or "").split() == left[i] and (gone[i] or r == rows[i])
 
     groups = plain_groups([(i, r.text) for i, r in lined_rows.items()], 5, 80)
     apart_rows = {r.doc_id: r for r in apart.collect()}
