@@ -47,7 +47,7 @@ from glyphstream.runtime import broadcast_if_small, materialize
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of what is learnt on the driver: sample documents of each label, sentences.
-DOCUMENTS, SENTENCES = 1500, 20_000
+DOCUMENTS, SENTENCES = 1500, 8_000
 #: Letters of a training sentence's word at most: what is beyond can't be known by a prefix.
 LETTERS = 64
 #: Words of a training sentence, cells (tokens times documents) of a scoring batch, counters held by a task.
@@ -251,11 +251,14 @@ def learn(labelled: DataFrame) -> Model:
     odds = lambda t, c, nt, nc: F.log(((t + 0.5) / nt) / ((c + 0.5) / nc))
     counted = _counted(labelled).where(F.col("toxic") >= LEAST_DOCS)
     rated = materialize(counted.where(odds(F.col("toxic"), F.col("clean"), n_toxic + 1, n_clean + 1) > 1).select("word", F.col("toxic").alias("docs")), "candidates")
-    contexts = _contexts(labelled, [r.word for r in rated.select("word").collect()])
+    contexts = _contexts(labelled, rated.select("word").toArrow().column(0).to_pylist())
     by_context = odds(F.coalesce("toxic", F.lit(0)), F.coalesce("clean", F.lit(0)), n_toxic, n_clean)
-    found = rated.join(contexts, "word", "left").select("word", "docs", F.coalesce("toxic", F.lit(0)).alias("contexts"), by_context.alias("odds")).collect()  # every unit with evidence
-    odds_of = {r.word: float(r.odds) for r in found}
-    toxic_units = frozenset(r.word for r in found if r.odds >= LEAST_ODDS and r.contexts >= max(LEAST_CONTEXTS, min(SPREAD * r.docs, ENOUGH)))
+    found = rated.join(contexts, "word", "left").select("word", "docs", F.coalesce("toxic", F.lit(0)).alias("contexts"), by_context.alias("odds"))
+    spread = F.col("contexts") >= F.greatest(F.lit(LEAST_CONTEXTS), F.least(SPREAD * F.col("docs"), F.lit(ENOUGH)))
+    found = found.select("word", "odds", ((F.col("odds") >= LEAST_ODDS) & spread).alias("labels")).toArrow().to_pydict()  # every unit with evidence
+    odds_of = dict(zip(found["word"], found["odds"]))
+    toxic_units = frozenset(w for w, labels in zip(found["word"], found["labels"]) if labels)
+    del found
     kinds = []
     for kind in (1, 0):
         own = labelled.where(F.col("toxic") == kind)
@@ -280,13 +283,13 @@ def _sentences(sample: DataFrame, toxic_units: frozenset[str]) -> list[tuple[lis
                 words = [w[:LETTERS] for w in words_of(text)]
                 for at in range(0, len(words), SPAN):
                     span = words[at : at + SPAN]
-                    rows.append((doc, at, kind, bool(kind) and any(not units.isdisjoint(units_of(w)) for w in span), span))
+                    rows.append((doc, at, kind, bool(kind) and any(not units.isdisjoint(units_of(w)) for w in span), " ".join(span)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)], names=["doc", "at", "kind", "hit", "words"])
 
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string())]
-    spans = materialize(sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc long, at int, kind int, hit boolean, words array<string>"), "sentences")
-    some = lambda rows: rows.orderBy(F.xxhash64("doc", "at"), "doc", "at").limit(SENTENCES // 2).select("words", "kind").collect()
-    return [(list(r.words), r.kind) for hit in (True, False) for r in some(spans.where(F.col("hit") == hit))]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
+    spans = materialize(sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc long, at int, kind int, hit boolean, words string"), "sentences")
+    some = lambda rows: rows.orderBy(F.xxhash64("doc", "at"), "doc", "at").limit(SENTENCES // 2).select("words", "kind").toArrow().to_pylist()
+    return [(r["words"].split(" "), r["kind"]) for hit in (True, False) for r in some(spans.where(F.col("hit") == hit))]
 
 
 def _evidence(sample: DataFrame, model: Model) -> list[tuple[np.ndarray, int]]:
@@ -301,7 +304,7 @@ def _evidence(sample: DataFrame, model: Model) -> list[tuple[np.ndarray, int]]:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in rows.T), batch.column(1)], names=["a", "b", "c", "d", "toxic"])
 
     rows = sample.select("text", "toxic").mapInArrow(run, "a double, b double, c double, d double, toxic int")
-    return [(np.array(r[:4], float), r[4]) for r in rows.orderBy("toxic", "a", "b", "c", "d").collect()]
+    return [(np.array([r[c] for c in "abcd"]), r["toxic"]) for r in rows.orderBy("toxic", "a", "b", "c", "d").toArrow().to_pylist()]
 
 
 def evenly(rows: list, most: int) -> list:
@@ -312,7 +315,9 @@ def evenly(rows: list, most: int) -> list:
 def fit_chain(sample: list[tuple[list[str], int]], toxic_units: frozenset[str], odds_of: dict[str, float], rounds: int = 60, again: int = 25, rate: float = 0.3) -> Model:
     """Conditional likelihood of the token labels, with a small quadratic penalty, by Adam: first with the units'
     labels, then with those of the chain itself in toxic documents' sentences (a sentence that would lose all keeps its own)."""
-    distinct = {w for words, _ in sample for w in words}
+    one: dict[str, str] = {}
+    sample = [([one.setdefault(w, w) for w in words], kind) for words, kind in sample]
+    distinct = set(one)
     bad = {w for w in distinct if not toxic_units.isdisjoint(units_of(w))}
     hits, plain = [], []
     for words, kind in sample:
