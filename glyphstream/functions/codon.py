@@ -105,47 +105,45 @@ class Rescue:
     unknown: int = 0
 
 
-def rescue(s: Column, rules: Rescue = Rescue()) -> Column:
-    """Status of a coding sequence and the trim that mends it, as a struct.
+def rescued(df: DataFrame, seq_col: str = "s", rules: Rescue = Rescue()) -> DataFrame:
+    """``df`` without the sequence, and the status of a coding sequence and the trim that mends it.
 
     The gap-free sequence is ``empty``, ``ambiguous``, ``strict_pass`` if it is
     accepted as it is, else ``rescued`` by the acceptable trim of least score
     (1000 a stop, 100 an X, 1 without a closing stop), then shortest, then least
-    left trim; else ``unrescued``. All trims are tried inside the row.
+    left trim; else ``unrescued``. Of all trims only one right trim is in frame for each left one,
+    so there are as many translations as left trims, each a column that is made once.
     """
-    raw = q.cleaned(s)
-    bare = q.gapless(s)
-
-    def tried(l: int, r: int) -> Column:
-        cut = F.substr(bare, F.lit(l + 1), F.greatest(F.length(bare) - l - r, F.lit(0)))
-        return F.when(F.coalesce(valid_frame(cut), F.lit(False)) & (q.invalid_count(cut) == 0), rated(cut, l, r))
-
-    def rated(cut: Column, l: int, r: int) -> Column:
-        return q.let(translated(cut), lambda a: F.struct(
-            (1000 * internal_stops(a) + 100 * F.regexp_count(a, F.lit("X")) + F.when(F.endswith(a, F.lit("*")), 0).otherwise(1)).cast("long").alias("score"),
-            F.lit(l + r).alias("trimmed"), F.lit(l).alias("left"), F.lit(r).alias("right"), a.alias("amino"),
-            ((internal_stops(a) <= rules.stops) & (F.regexp_count(a, F.lit("X")) <= rules.unknown) & F.length(F.rtrim(a, F.lit("*"))).between(rules.least, rules.most)).alias("accepted"),
-        ))
-
-    grid = F.array(*(tried(l, r) for l in range(rules.left + 1) for r in range(rules.right + 1)))
-
-    def decide(ok: Column) -> Column:
-        strict = F.exists(ok, lambda c: c["trimmed"] == 0)
-        best = F.array_min(ok)
-        gaps = F.when(F.length(raw) > F.length(bare), F.lit("gap_normalized_")).otherwise(F.lit(""))
-        status = (
-            F.when(F.length(bare) == 0, F.lit("empty")).when(q.ambiguous_fraction(bare) > rules.ambiguous, F.lit("ambiguous"))
-            .when(strict, F.lit("strict_pass")).when(F.size(ok) > 0, F.lit("rescued")).otherwise(F.lit("unrescued"))
-        )
-        used = status.isin("strict_pass", "rescued")
-        chosen = lambda f: F.when(status == "strict_pass", F.lit(0)).when(used, best[f])
-        return F.struct(
-            status.alias("status"),
-            F.when(status == "rescued", F.concat(gaps, F.lit("trim"))).when(status == "strict_pass", F.concat(gaps, F.lit("none"))).alias("method"),
-            chosen("left").alias("trim_left"), chosen("right").alias("trim_right"),
-            F.when(used, F.length(bare) - chosen("left") - chosen("right")).alias("refined_length"),
-        )
-
-    return q.let(F.filter(grid, lambda c: c.isNotNull() & c["accepted"]), decide)
-
-
+    kept = [c for c in df.columns if c != seq_col]
+    rows = df.select(*kept, q.cleaned(F.col(seq_col)).alias("__raw"))
+    rows = rows.select(*kept, F.length("__raw").alias("__raw_size"), F.replace("__raw", F.lit("-"), F.lit("")).alias("__s"))
+    n = F.length("__s")
+    right = lambda l: F.pmod(n - l, F.lit(3))
+    fits = lambda l: (n - l - right(l) > 0) & (right(l) <= rules.right)
+    cut = lambda l: F.when(fits(l), F.substr("__s", F.lit(l + 1), n - l - right(l)))
+    lefts = range(rules.left + 1)
+    rows = rows.select("*", *(cut(l).alias(f"__cut{l}") for l in lefts))
+    rows = rows.select(*kept, "__raw_size", "__s", *(F.when(q.invalid_count(F.col(f"__cut{l}")) == 0, translated(F.col(f"__cut{l}"))).alias(f"__a{l}") for l in lefts))
+
+    def rated(l: int) -> Column:
+        a = F.col(f"__a{l}")
+        stops, unknown = internal_stops(a), F.length(a) - F.length(F.replace(a, F.lit("X"), F.lit("")))
+        accepted = (stops <= rules.stops) & (unknown <= rules.unknown) & F.length(F.rtrim(a, F.lit("*"))).between(rules.least, rules.most)
+        score = (1000 * stops + 100 * unknown + F.when(F.endswith(a, F.lit("*")), 0).otherwise(1)).cast("long")
+        return F.when(accepted, F.struct(score.alias("score"), (l + right(l)).cast("int").alias("trimmed"), F.lit(l).alias("left"), right(l).cast("int").alias("right")))
+
+    rows = rows.select(*kept, "__raw_size", n.alias("__n"), q.ambiguous_fraction(F.col("__s")).alias("__share"), F.array_compact(F.array(*map(rated, lefts))).alias("__ok"))
+    best, used = F.array_min("__ok"), F.col("status").isin("strict_pass", "rescued")
+    status = (
+        F.when(F.col("__n") == 0, F.lit("empty")).when(F.col("__share") > rules.ambiguous, F.lit("ambiguous"))
+        .when(F.exists("__ok", lambda c: c["trimmed"] == 0), F.lit("strict_pass")).when(F.size("__ok") > 0, F.lit("rescued")).otherwise(F.lit("unrescued"))
+    )
+    rows = rows.select(*kept, "__raw_size", "__n", status.alias("status"), best.alias("__best"))
+    gaps = F.when(F.col("__raw_size") > F.col("__n"), F.lit("gap_normalized_")).otherwise(F.lit(""))
+    trim = lambda side: F.when(F.col("status") == "strict_pass", F.lit(0)).when(used, F.col(f"__best.{side}"))
+    return rows.select(
+        *kept, "status",
+        F.when(F.col("status") == "rescued", F.concat(gaps, F.lit("trim"))).when(F.col("status") == "strict_pass", F.concat(gaps, F.lit("none"))).alias("method"),
+        trim("left").alias("trim_left"), trim("right").alias("trim_right"),
+        F.when(used, F.col("__n") - trim("left") - trim("right")).alias("refined_length"),
+    )

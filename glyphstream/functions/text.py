@@ -2,14 +2,59 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Segment synonyms, clade prefixes that stand for themselves, and words that carry no question.
+#: Segment synonyms, clade prefixes that stand for themselves, words that carry no question, words that
+#: stand for others in a question, words that a question of claims has, and topics by the words that tell them.
 SEGMENTS = {"HA": ["4", "HA", "SEG4", "4_HA", "HEMAGGLUTININ"], "NA": ["6", "NA", "SEG6", "6_NA", "NEURAMINIDASE"]}
 MAJOR = ["6B.1A", "3C.2a1b"]
-STOP_WORDS = ["the", "of", "and", "to", "in", "is", "for", "with", "on", "what", "how", "are", "this", "that", "it"]
-TOPICS = {"metric": ["gc", "entropy", "codon"], "token": ["token", "k-mer", "vocabulary"], "data": ["record", "panel", "table"]}
+STOP_WORDS = [
+    "a", "al", "and", "are", "como", "con", "de", "del", "does", "el", "en", "es", "este", "for", "is", "it", "la", "las", "lo", "los",
+    "me", "mean", "para", "por", "que", "se", "the", "this", "to", "un", "una", "what", "why", "y",
+]
+ALIASES = {
+    "ai": ["guide", "antigenlm", "learned", "model"],
+    "antigenlm": ["antigenlm", "latent", "embedding", "learned"],
+    "bpe": ["bpe", "tokenizer", "future"],
+    "cpg": ["cpg", "observed", "expected", "dinucleotide"],
+    "gc": ["gc", "composition", "sequence"],
+    "grover": ["grover", "tokenizer", "future"],
+    "js": ["jensen", "shannon", "distance", "token"],
+    "pca": ["pca", "projection", "representation", "coordinate"],
+    "rscu": ["rscu", "codon", "cds"],
+    "sne": ["tsne", "projection", "neighborhood", "latent"],
+    "structure": ["structure", "pdb", "rcsb", "mapping", "residue"],
+    "tsne": ["tsne", "t", "sne", "projection", "neighborhood", "latent"],
+    "t-sne": ["tsne", "projection", "neighborhood", "latent"],
+    "upa": ["upa", "ta", "observed", "expected"],
+}
+CLAIMS = [
+    "antigenic", "antigenicity", "escape", "fitness", "pathogenicity", "pathogenic", "transmissibility", "vaccine", "vacuna", "virulence",
+    "predict", "prediction", "predecir", "causal", "causality", "optimize", "optimizar",
+]
+TOPICS = {
+    "dataset": ["dataset", "panel", "metadata", "atlas", "country", "coverage"],
+    "sequence_context": ["gc", "cpg", "upa", "dinucleotide", "k-mer", "sequence-context"],
+    "cds": ["cds", "codon", "rscu", "translation", "frame", "rescue"],
+    "tokenization": ["token", "tokenizer", "entropy", "vocab", "jaccard", "bootstrap"],
+    "representation": ["representation", "pca", "umap", "projector", "centroid", "silhouette"],
+    "antigenlm": ["antigenlm", "latent", "embedding", "learned"],
+    "structure": ["structure", "pdb", "rcsb", "alignment", "residue", "3lzg", "3vun", "3nss", "6br6"],
+    "governance": ["governance", "safe", "hash", "raw sequence", "fasta", "restricted"],
+    "claims": ["claim", "predict", "vaccine", "escape", "fitness", "pathogenicity", "limitation"],
+    "future": ["grover", "bpe", "phase", "future", "recommendation"],
+}
+#: Letters with marks and the letters without, by Unicode's own decomposition.
+_MARKED = {c: d[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(d := unicodedata.normalize("NFD", c)) > 1 and all(unicodedata.combining(m) for m in d[1:])}
+
+
+def folded(text: Column) -> Column:
+    """Lower case without diacritics, precomposed or combining."""
+    bare = F.translate(text, "".join(_MARKED), "".join(_MARKED.values()))
+    return F.lower(F.regexp_replace(bare, "[\u0300-\u036f]", ""))
 
 
 def subtype(label: Column) -> Column:
@@ -20,8 +65,8 @@ def subtype(label: Column) -> Column:
 
 
 def segment(label: Column) -> Column:
-    """A segment's name from its synonyms, else the label in upper case."""
-    bare = F.upper(F.trim(label))
+    """A segment's name from its synonyms, else the label in upper case; UNKNOWN for none."""
+    bare = F.coalesce(F.nullif(F.upper(F.trim(label)), F.lit("")), F.lit("UNKNOWN"))
     out = F
     for name, known in SEGMENTS.items():
         out = out.when(bare.isin(known), F.lit(name))
@@ -29,8 +74,8 @@ def segment(label: Column) -> Column:
 
 
 def segment_in(text: Column) -> Column:
-    """A segment named by a whole word of a text, else null."""
-    return F.when(text.rlike("(?i)\\b(ha|hemagglutinin)\\b"), F.lit("HA")).when(text.rlike("(?i)\\b(na|neuraminidase)\\b"), F.lit("NA"))
+    """A segment named by its short name as a word, or by its full name anywhere in a text; else null."""
+    return F.when(text.rlike("(?i)hemagglutinin|\\bha\\b"), F.lit("HA")).when(text.rlike("(?i)neuraminidase|\\bna\\b"), F.lit("NA"))
 
 
 def subtype_in(text: Column) -> Column:
@@ -56,9 +101,14 @@ def leading_year(date: Column) -> Column:
     return F.nullif(F.regexp_extract(date, "^([0-9]{4})", 1), F.lit("")).cast("int")
 
 
-def present(label: Column) -> Column:
-    """Whether a label says something."""
-    return F.coalesce(~F.lower(F.trim(label)).isin("", "nan", "none", "missing", "unknown"), F.lit(False))
+def has_clade(label: Column) -> Column:
+    """Whether a clade label is more than a mark of nothing; \"unknown\" and the like are labels."""
+    return F.coalesce(~F.lower(label).isin("", "nan", "missing"), F.lit(False))
+
+
+def has_country(label: Column) -> Column:
+    """Whether a trimmed country label names one; \"missing\" would be a name."""
+    return F.coalesce(~F.lower(F.trim(label)).isin("", "nan", "none", "unknown"), F.lit(False))
 
 
 def guide_text(markdown: Column) -> Column:
@@ -67,9 +117,9 @@ def guide_text(markdown: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, "(?s)```.*?```", " "), "\\s+", " "))
 
 
-def topics(text: Column) -> Column:
-    """Topics one of whose words the text holds; ``project`` if none."""
-    low = F.lower(text)
+def topics(*texts: Column) -> Column:
+    """Topics one of whose words the texts (title, text, source) hold; ``project`` if none."""
+    low = F.lower(F.concat_ws(" ", *(F.coalesce(t, F.lit("")) for t in texts)))
     hit = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
     found = F.array_compact(F.array(*(F.when(hit(words), F.lit(name)) for name, words in TOPICS.items())))
     return F.when(F.size(found) == 0, F.array(F.lit("project"))).otherwise(found)
@@ -82,16 +132,18 @@ def sections(markdown: Column, least: int = 80, most: int = 8, size: int = 950)
 
 
 def terms(question: Column) -> Column:
-    """Distinct lower-case words of two letters or more that carry the question."""
-    words = F.split(F.lower(question), "[^a-z0-9]+")
+    """Distinct folded words of two letters or more that carry the question."""
+    words = F.split(folded(question), "[^a-z0-9]+")
     return F.array_except(F.filter(words, lambda w: F.length(w) > 1), F.array(*map(F.lit, STOP_WORDS)))
 
 
-def mentions(text: Column, banned: list[str]) -> Column:
-    low = F.lower(text)
+def mentions(text: Column, banned: list[str] = CLAIMS) -> Column:
+    """Whether a folded text holds one of the words, in any place."""
+    low = folded(text)
     return F.exists(F.array(*map(F.lit, banned)), lambda w: F.contains(low, w))
 
 
 def first_sentence(text: Column) -> Column:
-    """The first sentence of 80 to 360 characters, null if there is none."""
-    return F.nullif(F.regexp_extract(text, "([^.!?\\n]{79,359}[.!?])", 1), F.lit(""))
+    """The first 80 to 360 characters that end a sentence, else the first 360, white space collapsed."""
+    bare = F.trim(F.regexp_replace(text, "\\s+", " "))
+    return F.trim(F.coalesce(F.nullif(F.regexp_extract(bare, "^(.{80,360}?[.!?])\\s", 1), F.lit("")), F.left(bare, F.lit(360))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -52,6 +53,36 @@ def top_features(means: DataFrame, group: str, top: int) -> DataFrame:
     return means.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
 
 
+def row_entropy(matrix: DataFrame, key: str) -> DataFrame:
+    """(key, entropy in bits) of each row's shares; rows without positive features are absent."""
+    shares = normalized_rows(matrix.where("value > 0"), key)
+    return shares.groupBy(key).agg(F.sum(-F.col("value") * F.log2("value")).alias("entropy"))
+
+
+def pairwise_distances(points: DataFrame, key: str, vector_col: str, blocks: int = 8) -> DataFrame:
+    """(a, b, distance) of all pairs a < b of a bounded set of points (an all-pairs result is the measure itself).
+
+    Points are dealt into blocks, each pair of blocks is one group, and squares that rounding left below 0 are 0.
+    """
+    part = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    rows = points.select(F.col(key).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), part.alias("p"))
+    each = rows.select("id", "v", "p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")).select("id", "v", "p", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"))
+
+    def distances(group: pd.DataFrame) -> pd.DataFrame:
+        x, y = group[group.p == group.i], group[group.p == group.j]
+        if x.empty or y.empty:
+            return pd.DataFrame({"a": [], "b": [], "distance": []})
+        a, b = np.stack(x.v.to_list()), np.stack(y.v.to_list())
+        d = np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1) - 2 * a @ b.T, 0))
+        one, two = x.id.to_numpy()[:, None], y.id.to_numpy()[None, :]
+        r, c = np.nonzero((one < two) if group.i.iloc[0] == group.j.iloc[0] else (one != two))
+        one, two = x.id.to_numpy()[r], y.id.to_numpy()[c]
+        return pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "distance": d[r, c]})
+
+    kind = dict(points.dtypes)[key]
+    return each.groupBy("i", "j").applyInPandas(distances, f"a {kind}, b {kind}, distance double")
+
+
 def matrix_summary(matrix: DataFrame, key: str, n_features: int) -> DataFrame:
     """Rows, non-zeros and sparsity of a matrix."""
     one = matrix.agg(F.countDistinct(key).alias("n_rows"), F.count_if(F.col("value") != 0).alias("nnz"))

@@ -18,22 +18,46 @@ def expanded(terms: Column, aliases: dict[str, list[str]]) -> Column:
     return F.array_distinct(F.concat(terms, *more)) if more else F.array_distinct(terms)
 
 
-def scored(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """Chunks (id, title, tags, text) with 1 for each term met in the text, 3 in the title, 4 among the tags."""
-    wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    hits = lambda words: F.size(F.array_intersect(wanted, words))
-    score = hits(t.terms(F.col("text"))) + 3 * hits(t.terms(F.col("title"))) + 4 * hits(F.col("tags"))
+def scored(chunks: DataFrame, question: str) -> DataFrame:
+    """Chunks (id, title, section, tags, text) with 1 for each of the question's terms, aliases included, met anywhere
+    in them, 3 more in title or section, 4 more among the tags."""
+    wanted = expanded(t.terms(F.lit(question)), t.ALIASES)
+    title, tags = F.concat_ws(" ", "title", "section"), F.array_join("tags", " ")
+    hits = lambda text: F.size(F.array_intersect(wanted, t.terms(text)))
+    score = hits(F.concat_ws(" ", title, tags, F.col("text"))) + 3 * hits(title) + 4 * hits(tags)
     return chunks.withColumn("score", score.cast("long"))
 
 
-def answer(chunks: DataFrame, terms: list[str], top: int = 4) -> DataFrame:
+def answer(chunks: DataFrame, question: str, top: int = 4) -> DataFrame:
     """The top chunks with a positive score, by score, ties by id; the first ones by id if none scores."""
-    rows = scored(chunks, terms)
+    rows = scored(chunks, question)
     found = rows.where("score > 0")
     chosen = found if found.limit(1).count() else rows
     return chosen.orderBy(F.desc("score"), "id").limit(top)
 
 
+#: The view that each tag, in this order, points to.
+VIEWS = [
+    (["structure"], "structure"), (["antigenlm"], "latent"), (["dataset"], "atlas"), (["tokenization", "sequence_context"], "tokens"),
+    (["representation"], "projector"),
+]
+
+
+def view_hint(tags: Column) -> Column:
+    """The view that the first of the tags, by their rank, points to; else the guide."""
+    out = F
+    for names, view in VIEWS:
+        out = out.when(F.arrays_overlap(tags, F.array(*map(F.lit, names))), F.lit(view))
+    return out.otherwise(F.lit("guide"))
+
+
+def require_short_tokens(df: DataFrame, column: str = "token", longest: int = 6) -> DataFrame:
+    """``df`` itself, or an error if it exports tokens longer than six symbols."""
+    if (most := df.agg(F.max(F.length(column))).first()[0] or 0) > longest:
+        raise ValueError(f"tokens of {most} symbols in an export")
+    return df
+
+
 def guard(df: DataFrame, forbidden: set[str], longest: int = 80) -> DataFrame:
     """(column, long_runs, fasta_like): strings of an export that hold a long symbol run or a FASTA header.
 

@@ -34,7 +34,7 @@ def bootstrap_rows(df: DataFrame, group: str, key: str, replicates: int, per_gro
 
 def interval(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Mean, deviation (0 for one value) and 95 % interval of finite values."""
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value))
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
     stats = rows.groupBy(*group).agg(
         F.count("*").alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"),
         F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"),
@@ -118,3 +118,23 @@ def ranking(df: DataFrame, key: str, better: dict[str, bool]) -> DataFrame:
     rated = df.select(key, *(s.alias(f"{c}_score") for s, c in zip(scores, better)))
     rated = rated.withColumn("robustness", sum((F.col(f"{c}_score") for c in better), F.lit(0.0)) / len(better))
     return rated.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round("robustness", 9)), key)))
+
+
+def tokenizer_ranking(js: DataFrame, jaccard: DataFrame, entropy: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Robustness of tokenizers, ranked: five scores from summaries of bootstraps and coverage, averaged.
+
+    ``js`` (tokenizer, mean, width) holds one row each and says which tokenizers are ranked; ``jaccard`` and ``entropy``
+    (tokenizer, mean, width) one row a group; ``coverage`` (tokenizer, n_sequences). A score that is missing is left out of the mean.
+    """
+    top = jaccard.groupBy("tokenizer").agg(F.avg("mean").alias("jaccard"))
+    spread = entropy.groupBy("tokenizer").agg(F.avg("width").alias("entropy_width"))
+    rows = js.select("tokenizer", F.col("mean").alias("js"), F.col("width").alias("js_width"))
+    for other in (top, spread, coverage.select("tokenizer", "n_sequences").distinct()):
+        rows = rows.join(other, "tokenizer", "left")
+    scores = [scaled(F.col("js")), scaled(F.col("js_width"), False), scaled(F.col("jaccard")), scaled(F.col("entropy_width"), False),
+              F.try_divide(F.col("n_sequences").cast("double"), F.max("n_sequences").over(Window.partitionBy(F.lit(1))))]
+    names = ["js_score", "js_stability_score", "jaccard_score", "entropy_stability_score", "coverage_score"]
+    rated = rows.select("tokenizer", *(x.alias(n) for x, n in zip(scores, names)))
+    known = F.filter(F.array(*names), lambda x: x.isNotNull())
+    rated = rated.withColumn("robustness", F.aggregate(known, F.lit(0.0), lambda a, b: a + b) / F.size(known))
+    return rated.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round("robustness", 9)), "tokenizer")))

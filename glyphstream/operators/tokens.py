@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphstream.functions import sequence as q
+from glyphstream.runtime import materialize
 
 
 @dataclass(frozen=True)
@@ -93,6 +94,31 @@ def per_sequence(df: DataFrame, by: Tokenizer, key: str, seq_col: str = "s") ->
     )
 
 
+def summary_rows(df: DataFrame, specs: list[Tokenizer], key: str, keep: list[str], seq_col: str = "s") -> DataFrame:
+    """One row for each sequence and tokenizer: what the tokenizer is, and number, vocabulary, entropy, density and
+    shares of its tokens (null without any); one pass over the sequences, counts alone are shuffled."""
+    named = lambda t: F.struct(F.lit(t.name).alias("tokenizer"), F.lit(t.k).alias("k"), F.lit(1 if t.kind == "overlap" else t.k).alias("step"), F.lit(t.offset).alias("offset"), t.tokens(F.col(seq_col)).alias("all"))
+    each = df.select(key, F.explode(F.array(*map(named, specs))).alias("x")).select(key, "x.tokenizer", "x.k", "x.step", "x.offset", F.posexplode("x.all").alias("i", "token"))
+    start = F.col("i") * F.col("step") + F.col("offset")
+    cross = q.crosses_boundary(start, start + F.col("k"))
+    part = each.groupBy(key, "tokenizer", "token").agg(F.count("*").alias("n"), F.sum(cross.cast("long")).alias("n_cross"))
+    p = F.col("n") / F.sum("n").over(Window.partitionBy(key, "tokenizer"))
+    of = lambda text: F.sum(F.when(F.col("token").contains(text), F.col("n")).otherwise(0))
+    own = part.withColumn("h", q.entropy_term(p)).groupBy(key, "tokenizer").agg(
+        F.sum("n").alias("n_tokens"), F.count("*").alias("vocabulary"), F.sum("h").alias("entropy"), F.sum("n_cross").alias("n_cross"), of("CG").alias("n_cg"), of("TA").alias("n_ta")
+    )
+    kinds = F.array(*(F.struct(F.lit(t.name).alias("tokenizer"), F.lit(t.kind).alias("mode"), F.lit(t.k).alias("k"), F.lit(t.offset).alias("offset")) for t in specs))
+    rows = df.select(key, *keep, F.length(seq_col).cast("long").alias("length"), F.inline(kinds)).join(own, [key, "tokenizer"], "left")
+    n = F.coalesce("n_tokens", F.lit(0))
+    share = lambda c: F.try_divide(F.col(c).cast("double"), F.nullif(n, F.lit(0)))
+    entropy = F.coalesce("entropy", F.lit(0.0))
+    return rows.select(
+        key, *keep, "tokenizer", "mode", "k", "offset", "length", n.alias("n_tokens"), F.coalesce("vocabulary", F.lit(0)).alias("vocabulary"), entropy.alias("entropy"),
+        F.pow(F.lit(2.0), entropy).alias("effective_vocabulary"), F.try_divide(n * 1000.0, F.col("length")).alias("tokens_per_kb"),
+        share("n_cg").alias("cg"), share("n_ta").alias("ta"), share("n_cross").alias("crossing"),
+    )
+
+
 def divergence(dist: DataFrame, group: str) -> DataFrame:
     """Jensen-Shannon distances (base 2) of all ordered pairs of groups.
 
@@ -138,20 +164,28 @@ def _merge(a: str, b: str) -> Callable[[Column, Column], Column]:
     return step
 
 
-def train_bpe(df: DataFrame, merges: int, word_col: str) -> list[tuple[str, str]]:
+def train_bpe(df: DataFrame, merges: int, word_col: str, every: int = 10) -> list[tuple[str, str]]:
     """Merges of a byte-pair vocabulary from words of a column: each round counts adjacent pairs with Spark.
 
-    Word counts are aggregated once; a round moves pair counts only, and brings one row to the driver.
+    Word counts are aggregated once; a round moves pair counts only, and brings one row to the driver. The words
+    are written again every few rounds, so that a round replays at most as many merges.
     """
     words = df.groupBy(F.col(word_col).alias("w")).agg(F.count("*").alias("n")).where(F.length("w") > 0)
-    rows = words.select(F.split(F.col("w"), "").alias("parts"), "n").cache()
+    rows = materialize(words.select(F.split(F.col("w"), "").alias("parts"), "n"), "words")
     found: list[tuple[str, str]] = []
-    for _ in range(merges):
+    for i in range(1, merges + 1):
         pairs = rows.select(F.explode(F.arrays_zip(F.slice("parts", F.lit(1), F.size("parts") - 1).alias("a"), F.slice("parts", F.lit(2), F.size("parts")).alias("b"))).alias("p"), "n")
         best = pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").first()
         if best is None or best.n < 2:
             break
         found.append((best.a, best.b))
-
         rows = rows.select(F.aggregate("parts", F.array().cast("array<string>"), _merge(best.a, best.b)).alias("parts"), "n")
+        if i % every == 0:
+            rows = materialize(rows, "words")
     return found
+
+
+def vocabulary(merges: list[tuple[str, str]], symbols: list[str], unknown: str = "[UNK]", size: int = 600) -> dict[str, int]:
+    """Ids of a byte-pair vocabulary: the unknown token, the symbols, then merged tokens, at most ``size`` of them."""
+    tokens = dict.fromkeys([unknown, *sorted(symbols), *(a + b for a, b in merges)])
+    return {token: i for i, token in enumerate(list(tokens)[:size])}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphstream.functions import codon, sequence as q, text as t
 from glyphstream.operators import align, features, panels, retrieval, stability, tokens
-from glyphstream.runtime import table
+from glyphstream.runtime import ranked, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,13 +146,14 @@ from (select doc_id, token, n, sum(n) over (partition by doc_id) as total from (
 
 @query(f"with {SEQ} {' union all '.join(map(_kmer_sql, (3, 4, 5)))}")
 def kmer_profiles(spark, sf_dir):
-    """Unambiguous k-mers of each sequence: number, distinct, entropy; k in 3, 4, 5, one expansion."""
-    rows = sequences(spark, sf_dir)
-    specs = F.array(*(F.struct(F.lit(k).alias("k"), tokens.tokenizer(f"overlap_k{k}").tokens(F.col("s")).alias("all")) for k in (3, 4, 5)))
-    each = rows.select("doc_id", F.explode(specs).alias("x")).select("doc_id", "x.k", F.explode("x.all").alias("token"))
-    n = each.where(F.col("token").rlike("^[ACGT]+$")).groupBy("doc_id", "k", "token").agg(F.count("*").alias("n"))
-    p = F.col("n") / F.sum("n").over(Window.partitionBy("doc_id", "k"))
-    return n.withColumn("h", q.entropy_term(p)).groupBy("doc_id", "k").agg(F.sum("n").alias("n_kmers"), F.count("*").alias("distinct_kmers"), F.round(F.sum("h"), 6).alias("entropy"))
+    """Unambiguous k-mers of each sequence: number, distinct, entropy; k in 3, 4, 5. Sequences are exchanged, their k-mers are not."""
+    rows = sequences(spark, sf_dir).select("doc_id", "s").repartition("doc_id")
+    clear = lambda k: F.regexp_extract_all("s", F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
+    each = [rows.select("doc_id", F.explode(clear(k)).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n")) for k in (3, 4, 5)]
+    size = F.sum("n")
+    entropy = F.log2(size) - F.sum(F.col("n") * F.log2("n")) / size
+    out = [n.groupBy("doc_id").agg(F.lit(k).alias("k"), size.alias("n_kmers"), F.count("*").alias("distinct_kmers"), F.round(entropy, 6).alias("entropy")) for k, n in zip((3, 4, 5), each)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query(f"""with {SEQ}, x as (select doc_id, s, upper(regexp_replace(s, '\\s+', '', 'g')) as c from seq)
@@ -219,8 +220,8 @@ select doc_id, status, case when status = 'rescued' then case when length(raw) >
 (case when status = 'strict_pass' then 0 when status = 'rescued' then l else -1 end)::int as trim_left, (case when status = 'strict_pass' then 0 when status = 'rescued' then r else -1 end)::int as trim_right,
 (case when status = 'strict_pass' then length(s) when status = 'rescued' then length(s) - l - r else -1 end)::int as refined_length from st""")
 def coding_rescue(spark, sf_dir):
-    rows = sequences(spark, sf_dir).select("doc_id", codon.rescue(F.col("s")).alias("x"))
-    return rows.select("doc_id", "x.status", "x.method", *(F.coalesce(f"x.{c}", F.lit(-1)).alias(c) for c in ("trim_left", "trim_right", "refined_length")))
+    rows = codon.rescued(sequences(spark, sf_dir).select("doc_id", "s"))
+    return rows.select("doc_id", "status", "method", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("trim_left", "trim_right", "refined_length")))
 
 
 @query(f"""with {SEQ}, c as (select lang, i, s[3 * i + 1 : 3 * i + 3] as codon from (select lang, s, unnest(range(0, length(s) // 3)) as i from seq)), {FULL_CODE},
@@ -248,8 +249,8 @@ def alignment_map(spark, sf_dir):
     """The languages' consensus strings aligned with English's, mapped to the signals at each position."""
     rows = sequences(spark, sf_dir).select("lang", "s")
     cons = align.consensus(rows.select("lang", codon.translated(F.col("s")).alias("amino")), "lang", "amino")
-    base = cons.where("lang = 'en'").select(F.col("consensus").alias("base"))
-    maps = align.aligned(cons.join(F.broadcast(base)), "lang", "base", "consensus")  # one row
+    base = cons.where("lang = 'en'").select(F.col("consensus").alias("base"), F.lit(1).alias("one"))  # one row
+    maps = align.aligned(cons.withColumn("one", F.lit(1)).join(F.broadcast(base), "one"), "lang", "base", "consensus")
     got = align.mapped_signals(maps.withColumn("g", F.col("lang")), align.residue_signals(rows, ["lang"], "s").withColumnRenamed("lang", "g"), "g", "lang")
     return got.select("lang", "structure_at", "at", "n", r6("entropy", "entropy"))
 
@@ -366,7 +367,8 @@ def metric_summary(spark, sf_dir):
 @query("""select case when lang is null then 'all' else 'all:' || lang end as panel, count(*) as n, count(distinct text) as distinct_texts, count(*) - count(distinct text) as copies, min(length(text))::bigint as shortest, max(length(text))::bigint as longest from documents group by rollup (lang)""")
 def panel_rollup(spark, sf_dir):
     """Total and per-language rows of one rollup."""
-    got = table(spark, sf_dir, "documents").rollup("lang").agg(F.count("*").alias("n"), F.countDistinct("text").alias("distinct_texts"), F.min(F.length("text")).cast("long").alias("shortest"), F.max(F.length("text")).cast("long").alias("longest"))
+    rows = table(spark, sf_dir, "documents").select("lang", F.sha2("text", 256).alias("h"), F.length("text").cast("long").alias("size"))  # no text is exchanged
+    got = rows.rollup("lang").agg(F.count("*").alias("n"), F.countDistinct("h").alias("distinct_texts"), F.min("size").alias("shortest"), F.max("size").alias("longest"))
     name = F.when(F.col("lang").isNull(), "all").otherwise(F.concat(F.lit("all:"), "lang"))
     return got.select(name.alias("panel"), "n", "distinct_texts", (F.col("n") - F.col("distinct_texts")).alias("copies"), "shortest", "longest")
 
@@ -525,34 +527,42 @@ def robustness_ranking(spark, sf_dir):
 
 @query("""with x as (select p_partkey, p_name, p_type, p_brand from part)
 select p_partkey, coalesce(nullif(upper(regexp_extract(p_brand, '(?i)(H[0-9]+N[0-9]+)', 1)), ''), nullif(upper(trim(p_brand)), ''), 'UNKNOWN') as subtype,
-case when upper(trim(p_type)) in ('4', 'HA', 'SEG4', '4_HA', 'HEMAGGLUTININ') then 'HA' when upper(trim(p_type)) in ('6', 'NA', 'SEG6', '6_NA', 'NEURAMINIDASE') then 'NA' else upper(trim(p_type)) end as segment,
+case when upper(trim(p_type)) in ('4', 'HA', 'SEG4', '4_HA', 'HEMAGGLUTININ') then 'HA' when upper(trim(p_type)) in ('6', 'NA', 'SEG6', '6_NA', 'NEURAMINIDASE') then 'NA' else coalesce(nullif(upper(trim(p_type)), ''), 'UNKNOWN') end as segment,
 array_to_string(string_split(p_brand, '.')[1:2], '.') as clade from x""")
 def part_labels(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", t.subtype(F.col("p_brand")).alias("subtype"), t.segment(F.col("p_type")).alias("segment"), t.major_clade(F.col("p_brand")).alias("clade"))
 
 
-CHUNKS = "c as (select doc_id as id, source as title, text, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda w: length(w) > 1) as w from documents)"
+TAGS = "list_filter([" + ", ".join("case when " + " or ".join(f"contains(low, '{w}')" for w in words) + f" then '{name}' end" for name, words in t.TOPICS.items()) + "], lambda x: x is not null)"
+TAGGED = f"tagged as (select doc_id, source, lang, text, case when len(tags) = 0 then ['project'] else tags end as tags from (select *, {TAGS} as tags from (select *, lower(source || ' ' || text || ' ' || lang) as low from documents)))"
 
 
-@query("""with s as (select doc_id, lower(text) as low from documents)
-select doc_id, array_to_string(case when len(tags) = 0 then ['project'] else tags end, ',') as topics from (select doc_id, list_filter([
-case when contains(low, 'gc') or contains(low, 'entropy') or contains(low, 'codon') then 'metric' end,
-case when contains(low, 'token') or contains(low, 'k-mer') or contains(low, 'vocabulary') then 'token' end,
-case when contains(low, 'record') or contains(low, 'panel') or contains(low, 'table') then 'data' end], lambda x: x is not null) as tags from s)""")
+@query(f"with {TAGGED} select doc_id, array_to_string(tags, ',') as topics from tagged")
 def topic_tags(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(t.topics(F.col("text")), ",").alias("topics"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(t.topics(F.col("source"), F.col("text"), F.col("lang")), ",").alias("topics"))
+
+
+ASKED = "Why does the GC licénse of a públic token mean general Entropy, and los erthe?"
+_STOP = ", ".join(f"'{w}'" for w in t.STOP_WORDS)
+
+
+def _terms_sql(text: str) -> str:
+    return f"list_distinct(list_filter(string_split_regex(lower(strip_accents({text})), '[^a-z0-9]+'), lambda w: length(w) > 1 and w not in ({_STOP})))"
 
 
-ASKED = ["the", "erthe", "token", "license", "public", "general"]
+_ALIASED = " union all ".join(f"select '{k}' as w, '{v}' as other" for k, values in t.ALIASES.items() for v in values)
 
 
-@query("""with c as (select doc_id as id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 1)) as w, list_distinct(regexp_extract_all(lower(source), '[a-z0-9]+')) as tw from documents),
-s as (select id, (len(list_intersect(['license', 'public', 'general', 'token', 'erthe'], w)) + 3 * len(list_intersect(['license', 'public', 'general', 'token', 'erthe'], tw)))::bigint as score from c)
+@query(f"""with {TAGGED}, aliases as ({_ALIASED}), base as (select unnest({_terms_sql(f"'{ASKED}'")}) as w),
+wanted as (select list(distinct w) as q from (select w from base union all select other from aliases where w in (select w from base))),
+c as (select doc_id as id, {_terms_sql("source || ' ' || lang || ' ' || array_to_string(tags, ' ') || ' ' || text")} as w, {_terms_sql("source || ' ' || lang")} as tw, {_terms_sql("array_to_string(tags, ' ')")} as gw from tagged),
+s as (select id, (len(list_intersect(q, w)) + 3 * len(list_intersect(q, tw)) + 4 * len(list_intersect(q, gw)))::bigint as score from c, wanted)
 select id, score from s where score > 0 order by score desc, id limit 4""")
 def lexical_answer(spark, sf_dir):
-    """The four chunks that best match a question's terms."""
-    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.array().cast("array<string>").alias("tags"), "text")
-    return retrieval.answer(chunks, [w for w in ASKED if w not in t.STOP_WORDS]).select("id", "score")
+    """The four chunks that best match a question's terms and their aliases."""
+    tags = t.topics(F.col("source"), F.col("text"), F.col("lang"))
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("lang").alias("section"), tags.alias("tags"), "text")
+    return retrieval.answer(chunks, ASKED).select("id", "score")
 
 
 @query("""with s as (select text, url from (select html as text, url from pages)) select 'html' as "column", count(*) filter (where regexp_matches(text, '[ACGTN]{80,}')) as long_runs, count(*) filter (where regexp_matches(text, '(?m)^>[^\\n]*\\n[ACGTUN]{4}')) as fasta_like from s
@@ -588,7 +598,7 @@ def even_sample(spark, sf_dir):
     """100 rows at even steps of the order: floor(j * n / 100)."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
     n = orders.count()
-    rows = orders.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("o_orderkey")) - 1)
+    rows = ranked(orders, ["o_orderkey"], name="i")
     return rows.where(F.col("i").isin([j * n // 100 for j in range(100)])).select("o_orderkey")
 
 

@@ -35,7 +35,7 @@ def failure_breakdown(spark, sf_dir):
 @query(f"""with r as ({ORACLE_SQL["coding_rescue"]}) select d.lang, count(*) as n, count(*) filter (where status = 'strict_pass') as strict_pass, count(*) filter (where status = 'rescued') as rescued,
 count(*) filter (where status = 'unrescued') as unrescued, count(*) filter (where status = 'ambiguous') as ambiguous from r join documents d using (doc_id) group by 1""")
 def rescue_summary(spark, sf_dir):
-    rows = sequences(spark, sf_dir).select("lang", codon.rescue(F.col("s"))["status"].alias("status"))
+    rows = codon.rescued(sequences(spark, sf_dir).select("lang", "s")).select("lang", "status")
     of = lambda x: F.count_if(F.col("status") == x).alias(x)
     return rows.groupBy("lang").agg(F.count("*").alias("n"), of("strict_pass"), of("rescued"), of("unrescued"), of("ambiguous"))
 
@@ -114,8 +114,11 @@ def metric_rows(spark, sf_dir):
     return own.join(h, "doc_id", "left")
 
 
-@query("""with x as (select item_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 1) as w from benchmark)
-select item_id, len(list_distinct(list_filter(w, lambda x: x not in ('the', 'of', 'and', 'to', 'in', 'is', 'for', 'with', 'on', 'what', 'how', 'are', 'this', 'that', 'it'))))::bigint as n_terms from x""")
+STOPS = ", ".join(f"'{w}'" for w in t.STOP_WORDS)
+
+
+@query(f"""with x as (select item_id, list_filter(string_split_regex(lower(strip_accents(text)), '[^a-z0-9]+'), lambda w: length(w) > 1) as w from benchmark)
+select item_id, len(list_distinct(list_filter(w, lambda x: x not in ({STOPS}))))::bigint as n_terms from x""")
 def question_terms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.size(t.terms(F.col("text"))).cast("long").alias("n_terms"))
 
@@ -175,14 +178,18 @@ def atlas_rollup(spark, sf_dir):
 def cards(spark: SparkSession, glossary: dict[str, str], section: str = "glossary") -> DataFrame:
     """Guide chunks (id, title, section, tags, text) of a dictionary of terms."""
     rows = [(i, k, section, v) for i, (k, v) in enumerate(sorted(glossary.items()))]
-    return spark.createDataFrame(rows, "id int, title string, section string, text string").withColumn("tags", t.topics(F.concat_ws(" ", "title", "text")))
-
-
-def composed(question: str, chunks: DataFrame, banned: list[str], top: int = 4) -> str:
-    """An answer of the best chunks' first sentences; questions out of scope are told so first."""
-    words = chunks.sparkSession.createDataFrame([(question,)], "q string").select(t.terms(F.col("q")).alias("w"), t.mentions(F.col("q"), banned).alias("banned")).first()
-    rows = retrieval.answer(chunks, list(words.w), top).select(F.coalesce(t.first_sentence(F.col("text")), F.left("text", F.lit(160))).alias("s")).collect()
-    return "\n".join((["Out of scope: this is a descriptive guide."] if words.banned else []) + [f"- {r.s}" for r in rows])
+    return spark.createDataFrame(rows, "id int, title string, section string, text string").withColumn("tags", t.topics(F.col("title"), F.col("text"), F.col("section")))
+
+
+def composed(question: str, chunks: DataFrame, top: int = 4) -> str:
+    """An answer of the best chunks' first sentences with their sources and the view that shows more; questions that ask
+    for claims are told first that the guide describes only."""
+    asked = chunks.sparkSession.range(1).select(t.mentions(F.lit(question)).alias("claims")).first()
+    rows = retrieval.answer(chunks, question, top).select(t.first_sentence(F.col("text")).alias("s"), "title", "section", "tags").collect()
+    opening = "Out of scope: this is a descriptive guide." if asked.claims else f"Short answer: {rows[0].s if rows else 'nothing is known.'}"
+    tags = {g for r in rows for g in r.tags}
+    hint = next((view for names, view in retrieval.VIEWS if tags & set(names)), "guide")
+    return "\n".join([opening, *(f"- {r.s} [{i}] {r.title} ({r.section})" for i, r in enumerate(rows, 1)), f"See: {hint}"])
 
 
 def bundle(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

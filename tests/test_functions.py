@@ -33,7 +33,7 @@ def test_codons(spark):
     assert one(spark, "ATGTAACTNNNN-AA", codon.translated(s))[0] == "M*LXX"
     assert one(spark, "ATGTAAATG", codon.internal_stops(codon.translated(s)))[0] == 1
     assert sorted(c for c, a in codon.ambiguous_code().items() if "N" in c and a != "X") == ["ACN", "CCN", "CGN", "CTN", "GCN", "GGN", "GTN", "TCN"]
-    status = lambda x, **k: one(spark, x, codon.rescue(s, codon.Rescue(**k)).alias("r")).r
+    status = lambda x, **k: codon.rescued(spark.createDataFrame([(x,)], "s string"), "s", codon.Rescue(**k)).first()
     assert status("ATGAAA").status == "strict_pass"
     assert status("ATGTAAATG", left=0, right=0).status == "unrescued"
     assert status("").status == "empty" and status("NNN").status == "ambiguous"
@@ -57,11 +57,18 @@ def test_labels_and_texts(spark):
     assert [one(spark, x, t.major_clade(s))[0] for x in ("6B.1A.5", "1.2.3", "unassigned", "nan")] == ["6B.1A", "1.2", "unassigned", None]
     assert one(spark, "2019-02", t.leading_year(s))[0] == 2019 and one(spark, "n/a", t.leading_year(s))[0] is None
     assert one(spark, "a ```code``` b " + "ACGT" * 30, t.guide_text(s))[0] == "a b [sequence]"
-    assert one(spark, "Codon table", t.topics(s))[0] == ["metric", "data"] and one(spark, "x", t.topics(s))[0] == ["project"]
-    assert one(spark, "What is the GC of it?", t.terms(s))[0] == ["gc"]
+    assert one(spark, "Codon table", t.topics(s))[0] == ["cds"] and one(spark, "x", t.topics(s))[0] == ["project"]
+    assert one(spark, "What is the GC of it? Qué és una Sección Straße", t.terms(s))[0] == ["gc", "of", "seccion", "stra"]
+    assert one(spark, "e\u0301 \u00c9\u1ec7", t.folded(s))[0] == "e ee"
+    assert one(spark, " ", t.segment(s))[0] == one(spark, None, t.segment(s))[0] == "UNKNOWN"
+    assert one(spark, "prehemagglutinins", t.segment_in(s))[0] == "HA" and one(spark, "a Neuraminidase2", t.segment_in(s))[0] == "NA"
+    has = lambda f: [one(spark, x, f(s))[0] for x in ("", "nan", "missing", "none", "unknown", " ", "x", None)]
+    assert has(t.has_clade) == [False, False, False, True, True, True, True, False]
+    assert has(t.has_country) == [False, False, True, False, False, False, True, False]
     assert len(one(spark, "# A\n" + "x" * 90 + "\n# B\nshort", t.sections(s))[0]) == 1
     assert one(spark, "y" * 90 + ". z", t.first_sentence(s))[0] == "y" * 90 + "."
-    assert one(spark, "Design a virus", t.mentions(s, ["design"]))[0] is True
+    assert one(spark, "Design a virus", t.mentions(s, ["design"]))[0] is True and one(spark, "¿Predécir?", t.mentions(s))[0] is True
+    assert one(spark, "z " * 300, t.first_sentence(s))[0] == ("z " * 180).strip()
 
 
 def test_identity_and_bins(spark):

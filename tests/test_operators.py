@@ -1,3 +1,4 @@
+import numpy as np
 import math
 
 import pytest
@@ -92,9 +93,16 @@ def test_alignment(spark):
 
 def test_retrieval_and_guard(spark):
     rows = [(1, "codon usage", ["metric"], "codon table"), (2, "other", ["data"], "a codon"), (3, "none", [], "nothing")]
-    chunks = spark.createDataFrame(rows, "id int, title string, tags array<string>, text string")
-    assert [r.id for r in retrieval.answer(chunks, ["codon", "metric"]).collect()] == [1, 2]
-    assert [r.id for r in retrieval.answer(chunks, ["zzz"], 2).collect()] == [1, 2]
+    chunks = spark.createDataFrame(rows, "id int, title string, tags array<string>, text string").withColumn("section", F.lit("cds"))
+    got = {r.id: r.score for r in retrieval.scored(chunks, "What codon metric?").collect()}
+    assert got == {1: 1 + 3 + 1 + 4, 2: 1, 3: 0}
+    assert {r.id: r.score for r in retrieval.scored(chunks, "rscu").collect()} == {1: 4 + 4, 2: 1 + 4, 3: 4}  # by its aliases codon and cds
+    assert [r.id for r in retrieval.answer(chunks, "codon metric").collect()] == [1, 2]
+    assert [r.id for r in retrieval.answer(chunks, "zzz", 2).collect()] == [1, 2]
+    hint = lambda *tags: spark.range(1).select(retrieval.view_hint(F.array(*map(F.lit, tags)))).first()[0]
+    assert (hint("dataset", "structure"), hint("sequence_context"), hint("claims")) == ("structure", "tokens", "guide")
+    with pytest.raises(ValueError):
+        retrieval.require_short_tokens(spark.createDataFrame([("ACGTACG",)], "token string"))
     with pytest.raises(ValueError):
         retrieval.guard(chunks.withColumn("sequence", F.lit("A")), {"sequence"})
     with pytest.raises(ValueError):
@@ -133,8 +141,64 @@ def test_guide_and_bundle(spark):
     from glyphstream.plans import summaries
 
     cards = summaries.cards(spark, {"GC content": "Share of G and C among valid symbols of a sequence; undefined when a sequence has none of them at all.", "Panel": "A table of records."})
-    assert {r.title: r.tags for r in cards.collect()} == {"GC content": ["metric"], "Panel": ["data"]}
-    said = summaries.composed("design with gc content?", cards, ["design"])
-    assert said.startswith("Out of scope") and "Share of G and C" in said
+    assert {r.title: r.tags for r in cards.collect()} == {"GC content": ["sequence_context"], "Panel": ["dataset"]}
+    said = summaries.composed("Does it predict gc content?", cards)
+    assert said.startswith("Out of scope") and "Share of G and C" in said and said.endswith("See: tokens")
+    assert summaries.composed("What is a panel?", cards).startswith("Short answer: A table of records.")
     views = summaries.bundle(spark, "/root/testdata/sf0.001")
     assert len(views) == 9 and views["distances"].count() == 16
+
+
+def test_finite_intervals(spark):
+    rows = spark.createDataFrame([("a", x) for x in (1.0, 2.0, 3.0, float("nan"), float("inf"), None)], "g string, v double")
+    got = stability.interval(rows, ["g"], "v").first()
+    assert (got.n, got["mean"]) == (3, 2.0) and abs(got.low - 1.05) < 1e-9
+
+
+def test_tokenizer_ranking(spark):
+    js = spark.createDataFrame([("a", 0.2, 0.1), ("b", 0.6, 0.3), ("c", 0.4, 0.1)], "tokenizer string, mean double, width double")
+    jaccard = spark.createDataFrame([("a", 0.5, 0.0), ("a", 0.7, 0.0), ("b", 0.2, 0.0)], "tokenizer string, mean double, width double")
+    entropy = spark.createDataFrame([("a", 1.0, 0.4), ("b", 1.0, 0.2), ("b", 1.0, 0.4), ("c", 1.0, 0.2)], "tokenizer string, mean double, width double")
+    coverage = spark.createDataFrame([("a", 10), ("b", 5), ("c", 10)], "tokenizer string, n_sequences long")
+    got = {r.tokenizer: r for r in stability.tokenizer_ranking(js, jaccard, entropy, coverage).collect()}
+    want = {"a": (0 + 1 + 1 + 0 + 1) / 5, "b": (1 + 0 + 0 + 0.5 + 0.5) / 5, "c": (0.5 + 1 + 1 + 1) / 4}  # c has no jaccard: four scores
+    assert all(abs(got[k].robustness - v) < 1e-9 for k, v in want.items())
+    assert sorted(got, key=lambda k: got[k]["rank"]) == ["c", "a", "b"]
+
+
+def test_records_panels_and_flags(spark):
+    rows = spark.createDataFrame([(1, "HA", "ACGT" * 3), (2, "HA", "AC"), (3, "NA", "ACGT" * 3), (4, None, "NNNN"), (5, None, "GG")], "id int, segment string, s string")
+    got = panels.filtered_records(rows, {"HA": 4}, 0.5, ["id"])
+    assert sorted(r.id for r in got.collect()) == [1, 5]
+    flags = rows.select("id", *(c.alias(n) for n, c in zip(panels.QC, panels.sequence_qc(F.col("s"), 3, None, 0.1))))
+    assert {r.id: (r.long_enough, r.short_enough, r.clear, r.passes) for r in flags.collect()}[4] == (True, True, False, False)
+    many = spark.range(10).withColumn("x", F.col("id") < 6)
+    assert panels.preferred(many, [F.col("x")], 6).count() == 6 and panels.preferred(many, [F.col("x")], 7).count() == 10
+    assert tokens.vocabulary([("a", "b"), ("ab", "c")], ["b", "a"], size=4) == {"[UNK]": 0, "a": 1, "b": 2, "ab": 3}
+
+
+def test_distances_of_all_pairs(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(25, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    got = {(r.a, r.b): r.distance for r in features.pairwise_distances(df, "k", "v", 3).collect()}
+    assert set(got) == {(i, j) for i in range(25) for j in range(i + 1, 25)}
+    assert all(abs(d - np.linalg.norm(x[a] - x[b])) < 1e-9 for (a, b), d in got.items())
+
+
+def test_ranks_and_joins_without_one_task(spark, monkeypatch):
+    from glyphstream import runtime
+
+    rows = spark.createDataFrame([(i % 3 if i % 7 else None, (i * 31) % 50) for i in range(200)], "g int, v int")
+    got = runtime.ranked(rows, ["v"], ["g"]).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.g, []).append((r["rank"], r.v))
+    for own in by.values():
+        own.sort()
+        assert [k for k, _ in own] == list(range(len(own))) and [v for _, v in own] == sorted(v for _, v in own)
+    assert sorted(r["rank"] for r in runtime.ranked(rows, ["v"]).collect()) == list(range(200))
+    monkeypatch.setattr(runtime, "HOT_KEYS", 2)
+    left = spark.createDataFrame([(i if i < 20 else 7, i) for i in range(100)] + [(None, 1)], "k int, x int")
+    right = spark.createDataFrame([(i, i * i) for i in range(12)], "k int, y int")
+    assert sorted(map(tuple, runtime.skew_join(left, right, ["k"], least=10).collect())) == sorted(map(tuple, left.join(right, "k").collect()))
