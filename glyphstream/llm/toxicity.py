@@ -304,7 +304,8 @@ def _evidence(sample: DataFrame, model: Model) -> list[tuple[np.ndarray, int]]:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in rows.T), batch.column(1)], names=["a", "b", "c", "d", "toxic"])
 
     rows = sample.select("text", "toxic").mapInArrow(run, "a double, b double, c double, d double, toxic int")
-    return [(np.array([r[c] for c in "abcd"]), r["toxic"]) for r in rows.orderBy("toxic", "a", "b", "c", "d").toArrow().to_pylist()]
+    found = sorted((r["toxic"], *(r[c] for c in "abcd")) for r in rows.toArrow().to_pylist())  # the same order in any layout
+    return [(np.array(r[1:]), r[0]) for r in found]
 
 
 def evenly(rows: list, most: int) -> list:
