@@ -9,8 +9,9 @@ names them.
 Only built-in functions. Positions come from one pattern used twice: ``split``
 gives the lengths between the matches that ``regexp_extract_all`` gives, and
 running sums of both are the offsets. Cheap guards keep the positions from
-being computed for texts without any candidate. Repetitions of groups are
-possessive, which matches the same (nothing follows them) without recursion.
+being computed for texts without any candidate. Unbounded repetitions of groups
+are possessive, which matches the same (nothing follows them) without recursion.
+Word ends are those of ASCII letters, digits and underscore.
 
 Edge cases: null text holds nothing; matches are leftmost and non-overlapping
 per kind, and spans of different kinds may overlap; a match that its validator
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from glyphstream.llm.quality import let
 
 KEEP, NEAR = 0.6, 40
+#: Before and after a word of ASCII letters, digits and underscore, whatever the Java version's own word ends.
+_FRONT, _BACK = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 
 
 def digits_of(value: Column) -> Column:
@@ -83,14 +86,15 @@ class Kind:
 
 #: The four base patterns, in the order that ranks kinds at one start.
 BASE = [
-    Kind("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)++", "[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\\.[A-Za-z0-9-]", 0.8, "(?i)\\b(e-?mail|contact|write|reply)"),
-    Kind("ip", "[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)", "[0-9]\\.[0-9]++\\.[0-9]++\\.[0-9]", 0.6, "(?i)\\b(ip|host|server|address)"),
-    Kind("card", "[0-9](?:[\\x20-]?[0-9])++", "[0-9](?:[\\x20-]?[0-9]){13,}+", 0.8, "(?i)\\b(card|visa|credit|payment)"),
-    Kind("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", "\\+[0-9][\\x20().0-9-]", 0.6, "(?i)\\b(phone|tel|call|mobile)"),
+    Kind("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)++", "[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\\.[A-Za-z0-9-]", 0.8, f"(?i){_FRONT}(e-?mail|contact|write|reply)"),
+    Kind("ip", "[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)", "[0-9]\\.[0-9]++\\.[0-9]++\\.[0-9]", 0.6, f"(?i){_FRONT}(ip|host|server|address)"),
+    Kind("card", "[0-9](?:[\\x20-]?[0-9])++", "[0-9](?:[\\x20-]?[0-9]){13,}+", 0.8, f"(?i){_FRONT}(card|visa|credit|payment)"),
+    Kind("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", "\\+[0-9][\\x20().0-9-]", 0.6, f"(?i){_FRONT}(phone|tel|call|mobile)"),
 ]
+_IBAN, _SSN = "[A-Z]{2}[0-9]{2}(?:[\\x20]?[A-Z0-9]{4}){2,7}(?:[\\x20]?[A-Z0-9]{1,3})?", "[0-9]{3}-[0-9]{2}-[0-9]{4}"
 MORE = [
-    Kind("iban", "\\b[A-Z]{2}[0-9]{2}(?:[\\x20]?[A-Z0-9]{4}){2,7}+(?:[\\x20]?[A-Z0-9]{1,3})?\\b", "\\b[A-Z]{2}[0-9]{2}[\\x20A-Z0-9]{11}", 0.8, "(?i)\\b(iban|account|konto|bank)"),
-    Kind("ssn", "\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b", "[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.4, "(?i)\\b(ssn|social security)"),
+    Kind("iban", _FRONT + _IBAN + _BACK, "[A-Z]{2}[0-9]{2}[\\x20A-Z0-9]{11}", 0.8, f"(?i){_FRONT}(iban|account|konto|bank)"),
+    Kind("ssn", _FRONT + _SSN + _BACK, _SSN, 0.4, f"(?i){_FRONT}(ssn|social security)"),
 ]
 KINDS = [*BASE, *MORE]
 _EMPTY = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
@@ -161,3 +165,42 @@ def redacted(text: Column) -> Column:
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Every column, the text redacted; null text stays null."""
     return df.withColumn(text_col, redacted(F.col(text_col)))
+
+
+_DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, i: case when i % 2 = 0 and c::int > 4 then 2 * c::int - 9
+  when i % 2 = 0 then 2 * c::int else c::int end)) % 10 = 0"""
+_BARE = "replace(value, ' ', '')"
+_MOD97 = f"""list_reduce(list_transform(string_split(substr({_BARE}, 5) || substr({_BARE}, 1, 4), ''),
+  lambda c: (case when c <= '9' then ascii(c) - 48 else ascii(c) - 55 end)::bigint), lambda r, v: (r * case when v > 9 then 100 else 10 end + v) % 97) % 97 = 1"""
+#: The kinds' patterns and validators in DuckDB's terms, where word ends are ASCII's.
+_SQL_KINDS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(value, '.'), lambda p: coalesce(try_cast(p as bigint) <= 255, false))) = 4"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) between 14 and 19 and {_LUHN}"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) between 10 and 15"),
+    ("iban", r"\b" + _IBAN + r"\b", f"length({_BARE}) between 15 and 34 and {_MOD97}"),
+    ("ssn", rf"\b{_SSN}\b", r"""regexp_matches(substr(text, greatest(start - 40, 0) + 1, start - greatest(start - 40, 0)) || ' ' || substr(text, stop + 1, 40), '(?i)\b(ssn|social security)')"""),
+]
+_SQL_FOUND = " union all ".join(
+    f"""select doc_id, {i} as rank, '{kind}' as kind, text, start, stop from (
+  select doc_id, text, v[i] as value, (list_sum(g[1:i]) + coalesce(list_sum(n[1:i - 1]), 0))::bigint as start, (list_sum(g[1:i]) + list_sum(n[1:i]))::bigint as stop from (
+    select *, unnest(range(1, len(v) + 1)) as i from (
+      select doc_id, text, v, list_transform(v, lambda x: length(x)) as n, list_transform(string_split_regex(text, '{pattern}'), lambda x: length(x)) as g from (
+        select doc_id, text, regexp_extract_all(text, '{pattern}') as v from d))))
+where {valid}"""
+    for i, (kind, pattern, valid) in enumerate(_SQL_KINDS)
+)
+#: The same rows by DuckDB, for ids that are unique.
+SQL = f"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+f as ({_SQL_FOUND}),
+s as (
+  select doc_id, {", ".join(f"count(*) filter (kind = '{k.name}') as n_{k.name}" for k in BASE)},
+    string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (rank < {len(BASE)}) as base,
+    string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) as spans
+  from f group by doc_id
+)
+select d.doc_id, {", ".join(f"coalesce(n_{k.name}, 0)::bigint as n_{k.name}" for k in BASE)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join s on d.doc_id = s.doc_id
+"""

@@ -131,5 +131,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_segment_topk": topk.SQL,
     "op2_near_duplicates": near_dup.SQL,
+    "op7_pii_spans": pii.SQL,
     "op8_quality_ledger": quality.SQL,
 }

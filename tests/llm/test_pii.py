@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import duckdb
+
 from glyphstream.llm import pii, queries
 
 PATTERNS = {
@@ -50,6 +52,18 @@ def test_base_spans_match_plain_search(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_sql_gives_the_same_rows(spark, tmp_path):
+    more = ["to GB82 WEST 1234 5698 7654 32, ABCDEF", "éDE89370400440532013000é", "_DE89370400440532013000", "DE89370400440532013001", "SSN: 123-45-6789, 1.2.3.4 123-45-67890"]
+    df = spark.createDataFrame(list(enumerate(TEXTS + more)), "doc_id long, text string").coalesce(1)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.sql(queries.ORACLE_SQL["op7_pii_spans"]).fetchall())
+    assert sorted(map(tuple, queries.op7_pii_spans(spark, str(tmp_path)).collect())) == want
+    found = {r[0] - len(TEXTS): r[-1] for r in want if r[0] >= len(TEXTS)}
+    assert found == {0: "iban:3:30", 1: "iban:1:23", 2: "", 3: "", 4: "ssn:5:16,ip:18:25"}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "to a@b.co, é 1.2.3.4!"), (2, None), (3, "clean")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.redact(df).collect()}
