@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphstream.llm import bpe, chat, line_dedup, near_dup, packing, pii, quality, sharding, topk, toxicity
+from glyphstream.llm import bpe, chat, line_dedup, near_dup, packing, pii, quality, sharding, topk, toxicity, trie
 from glyphstream.runtime import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -115,6 +115,11 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt ``conversations``."""
+    return trie.prefix_trie(trie.rebuilt(trie.paths(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_segment_topk": op1_segment_topk,
     "op2_near_duplicates": op2_near_duplicates,
@@ -126,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_ledger": op8_quality_ledger,
     "op9_chat_windows": op9_chat_windows,
     "op10_histogram_shards": op10_histogram_shards,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -133,4 +139,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_near_duplicates": near_dup.SQL,
     "op7_pii_spans": pii.SQL,
     "op8_quality_ledger": quality.SQL,
+    "op13_prefix_trie": trie.SQL,
 }
