@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphstream.llm import bpe, chat, line_dedup, near_dup, packing, pii, quality, sharding, topk, toxicity, trie
+from glyphstream.llm import bpe, chat, line_dedup, near_dup, packing, pii, quality, sharding, spelling, topk, toxicity, trees, trie
 from glyphstream.runtime import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -115,6 +115,22 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all ``documents``, damaged as stated, with their more frequent near forms."""
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+#: Documents at this score or above are of good quality.
+GOOD = 0.3
+
+
+def op12_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text of ``documents``, learnt from ``labels`` that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = trees.score(docs, trees.learn_from(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", trees.held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix trie of all rebuilt ``conversations``."""
     return trie.prefix_trie(trie.rebuilt(trie.paths(table(spark, sf_dir, "conversations"))))
@@ -131,6 +147,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_ledger": op8_quality_ledger,
     "op9_chat_windows": op9_chat_windows,
     "op10_histogram_shards": op10_histogram_shards,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_quality_trees": op12_quality_trees,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -139,5 +157,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_near_duplicates": near_dup.SQL,
     "op7_pii_spans": pii.SQL,
     "op8_quality_ledger": quality.SQL,
+    "op11_spelling_variants": spelling.SQL,
     "op13_prefix_trie": trie.SQL,
 }
