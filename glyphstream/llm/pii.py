@@ -9,10 +9,16 @@ names them.
 Only built-in functions. Positions come from one pattern used twice: ``split``
 gives the lengths between the matches that ``regexp_extract_all`` gives, and
 running sums of both are the offsets. Cheap guards keep the positions from
-being computed for texts without any candidate. Unbounded repetitions of groups
-are possessive, which matches the same (nothing follows them) without recursion.
+being computed for texts without any candidate. Unbounded repetitions are
+possessive, which matches the same (nothing that follows them could take less).
+A match of an address or a number can only begin where its run of characters
+does, or where the last match ended, so no run is tried from each of its places.
 Word ends are those of ASCII letters, digits and underscore.
 
+Very long texts take time linear in their length: patterns pass over runs once, offsets
+are gathered in blocks (``scan``), and pieces of the text are cut from chunks of
+``CHUNK`` code points, never counted from its beginning.
+
 Edge cases: null text holds nothing; matches are leftmost and non-overlapping
 per kind, and spans of different kinds may overlap; a match that its validator
 rejects is dropped and not tried again in part; repeated rows give repeated
@@ -21,6 +27,7 @@ results; extra columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +36,8 @@ from pyspark.sql import functions as F
 from glyphstream.llm.quality import let
 
 KEEP, NEAR = 0.6, 40
+#: Code points of a chunk, and items of a block.
+CHUNK, BLOCK = 1000, 64
 #: Before and after a word of ASCII letters, digits and underscore, whatever the Java version's own word ends.
 _FRONT, _BACK = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 
@@ -84,10 +93,12 @@ class Kind:
         return F.lit(True)
 
 
+#: Where a run may begin: at the end of the last match, or (what is added to this) where nothing of the run is before.
+_AFTER = "(?:\\G|"
 #: The four base patterns, in the order that ranks kinds at one start.
 BASE = [
-    Kind("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)++", "[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\\.[A-Za-z0-9-]", 0.8, f"(?i){_FRONT}(e-?mail|contact|write|reply)"),
-    Kind("ip", "[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)", "[0-9]\\.[0-9]++\\.[0-9]++\\.[0-9]", 0.6, f"(?i){_FRONT}(ip|host|server|address)"),
+    Kind("email", f"{_AFTER}(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++", "[A-Za-z0-9._%+-]@[A-Za-z0-9-]++\\.[A-Za-z0-9-]", 0.8, f"(?i){_FRONT}(e-?mail|contact|write|reply)"),
+    Kind("ip", f"{_AFTER}(?<![0-9]))[0-9]++(?:\\.[0-9]++)(?:\\.[0-9]++)(?:\\.[0-9]++)", "[0-9]\\.[0-9]++\\.[0-9]++\\.[0-9]", 0.6, f"(?i){_FRONT}(ip|host|server|address)"),
     Kind("card", "[0-9](?:[\\x20-]?[0-9])++", "[0-9](?:[\\x20-]?[0-9]){13,}+", 0.8, f"(?i){_FRONT}(card|visa|credit|payment)"),
     Kind("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", "\\+[0-9][\\x20().0-9-]", 0.6, f"(?i){_FRONT}(phone|tel|call|mobile)"),
 ]
@@ -100,29 +111,67 @@ KINDS = [*BASE, *MORE]
 _EMPTY = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
 
 
+def scan(items: Column, carry: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The outputs, of type ``kind``, of ``step(carry, item) -> (carry, output)`` over ``items``, from left to right.
+
+    What an aggregate holds is copied at each of its steps. So the carries at the beginnings of blocks are found first, without
+    outputs; then each block gathers its own.
+    """
+
+    def blocks(all_: Column) -> Column:
+        block = lambda i: F.slice(all_, i * BLOCK + 1, F.lit(BLOCK))
+        last = F.greatest(F.ceil(F.size(all_) / BLOCK).cast("int"), F.lit(1)) - 1
+
+        def begin(state: Column, i: Column) -> Column:
+            after = F.aggregate(block(i), state["carry"], lambda c, x: step(c, x)[0])
+            return F.struct(after.alias("carry"), F.concat(state["begins"], F.array(state["carry"])).alias("begins"))
+
+        begins = F.aggregate(F.sequence(F.lit(0), last), F.struct(carry.alias("carry"), F.array().cast("array<int>").alias("begins")), begin, lambda s: s["begins"])
+
+        def add(state: Column, x: Column) -> Column:
+            after, out = step(state["carry"], x)
+            return F.struct(after.alias("carry"), F.concat(state["out"], F.array(out)).alias("out"))
+
+        gathered = lambda c, i: F.aggregate(block(i), F.struct(c.alias("carry"), F.array().cast(f"array<{kind}>").alias("out")), add, lambda s: s["out"])
+        return F.flatten(F.transform(begins, gathered))
+
+    return let(items, blocks)
+
+
+def chunks(text: Column) -> Column:
+    """The text in pieces of ``CHUNK`` code points; empty text has none."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def piece(cut: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` (exclusive, perhaps beyond the last) of a text in :func:`chunks`."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.least(F.floor((end - 1) / CHUNK).cast("int"), F.size(cut) - 1)
+    part = lambda i: F.substr(F.get(cut, i), F.greatest(start - i * CHUNK, F.lit(0)) + 1, F.least(end - i * CHUNK, F.lit(CHUNK)) - F.greatest(start - i * CHUNK, F.lit(0)))
+    return F.when((end > start) & (last >= first), F.array_join(F.transform(F.sequence(first, F.greatest(first, last)), part), "")).otherwise(F.lit(""))
+
+
 def _places(text: Column, pattern: str) -> Column:
     """(start, end, value) of every match, by running sums of lengths."""
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"), gaps.alias("gap"))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + F.length(x["value"])
-        more = F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))))
-        return F.when(x["value"].isNull(), state).otherwise(F.struct(end.alias("at"), more.alias("out")))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["gap"]
+        end = start + F.coalesce(F.length(x["value"]), F.lit(0))
+        return end, F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+    found = scan(pairs, F.lit(0), "struct<start:int,end:int,value:string>", step)
+    return F.filter(found, lambda m: m["value"].isNotNull())  # after the last match is a gap only
 
 
 def _spans_of_kind(text: Column, rank: int, kind: Kind) -> Column:
-    def scored(m: Column) -> Column:
-        before = F.greatest(m["start"] - NEAR, F.lit(0))
-        around = F.concat(F.substr(text, before + 1, m["start"] - before), F.lit(" "), F.substr(text, m["end"] + 1, F.lit(NEAR)))
+    def scored(cut: Column, m: Column) -> Column:
+        around = F.concat(piece(cut, F.greatest(m["start"] - NEAR, F.lit(0)), m["start"]), F.lit(" "), piece(cut, m["end"], m["end"] + NEAR))
         score = F.when(around.rlike(kind.context), F.lit(round(kind.score + 0.2, 2))).otherwise(F.lit(kind.score))
         return F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
 
-    kept = F.transform(F.filter(_places(text, kind.pattern), lambda m: kind.valid(m["value"])), scored)
+    found = F.filter(_places(text, kind.pattern), lambda m: kind.valid(m["value"]))
+    kept = let(chunks(text), lambda cut: F.transform(found, lambda m: scored(cut, m)))
     if kind.score < KEEP:
         kept = F.filter(kept, lambda s: s["score"] >= KEEP)
     return F.when(text.rlike(kind.guard), kept.cast(_EMPTY)).otherwise(F.array().cast(_EMPTY))
@@ -149,17 +198,15 @@ def listed(found: Column, kinds: list[Kind]) -> Column:
 def redacted(text: Column) -> Column:
     """The text with ``[KIND]`` for every span; overlapping spans become one, named by the first."""
 
-    def rebuild(found: Column) -> Column:
-        def step(state: Column, s: Column) -> Column:
-            gap = F.substr(text, state["at"] + 1, s["start"] - state["at"])
-            new = F.struct(s["end"].alias("at"), F.concat(state["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))
-            longer = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))
-            return F.when(s["start"] >= state["at"], new).otherwise(longer)
+    def rebuild(cut: Column, found: Column) -> Column:
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            new = F.concat(piece(cut, at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.greatest(at, s["end"]), F.when(s["start"] >= at, new).otherwise(F.lit(""))
 
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-        return F.aggregate(found, start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
+        last = F.array_max(F.transform(found, lambda s: s["end"]))
+        return F.concat(F.array_join(scan(found, F.lit(0), "string", step), ""), piece(cut, last, F.length(text)))
 
-    return let(spans(text), lambda found: F.when(F.size(found) == 0, text).otherwise(rebuild(found)))
+    return let(spans(text), lambda found: F.when(F.size(found) == 0, text).otherwise(let(chunks(text), lambda cut: rebuild(cut, found))))
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -1,7 +1,11 @@
 import hashlib
+import random
 import re
+import time
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from glyphstream.llm import pii, queries
 
@@ -64,6 +68,39 @@ def test_sql_gives_the_same_rows(spark, tmp_path):
     assert found == {0: "iban:3:30", 1: "iban:1:23", 2: "", 3: "", 4: "ssn:5:16,ip:18:25"}
 
 
+def test_random_texts_match_plain_search(spark):
+    draw = random.Random(7)
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 4000))) for letters in ("ab@.-é ", "a@.b_%+", "01.", "12 -.", "+1 (0)-.2", "1@.a+ -漢") for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find(df).collect():
+        assert [(s.start, s["rank"], s.end, s.kind) for s in r.spans if s["rank"] < 4] == plain(texts[r.doc_id]), r.doc_id
+
+
+LONG = 1_000_000
+
+
+@pytest.mark.parametrize("text, n, last", [
+    ("a" * LONG + " x@y.co", 1, "x@y.co"), ("a" * LONG + "@b.co", 1, None), ("é" + "9" * LONG + " 1.2.3.4", 1, "1.2.3.4"), ("x@y.com " * (LONG // 8), LONG // 8, "x@y.com"),
+    ("+1 " * (LONG // 3), 0, None), ("+12345678901 " * (LONG // 13), LONG // 13, "+12345678901"), ("a@" * (LONG // 2), 0, None), ("1." * (LONG // 2), LONG // 8, "1.1.1.1"), ("x@" + "a" * LONG, 0, None),
+])
+def test_very_long_texts_take_linear_time(spark, text, n, last):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    (row,) = pii.find(df).select(F.size("spans").alias("n"), F.try_element_at("spans", F.lit(-1)).alias("last")).collect()
+    assert row.n == n
+    if last:
+        assert text[row.last.start : row.last.end] == last
+    (clean,) = pii.redact(df).select(F.sha2("text", 256).alias("sha")).collect()
+    assert (clean.sha == hashlib.sha256(text.encode()).hexdigest()) == (n == 0)
+    assert time.time() - began < 60
+
+
+def test_redaction_of_a_long_text_joins_its_pieces(spark):
+    text = "".join(f"é{i} a{i}@b.co " for i in range(3000))
+    (row,) = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.text == re.sub(r"a[0-9]+@b\.co", "[EMAIL]", text)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "to a@b.co, é 1.2.3.4!"), (2, None), (3, "clean")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.redact(df).collect()}
