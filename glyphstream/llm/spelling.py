@@ -89,8 +89,9 @@ def links(words: DataFrame) -> DataFrame:
     # the edit distance is part of the join: what isn't near never becomes a row
     apart = F.bit_count(F.col("mask").bitwiseXOR(F.col("near_mask")))
     near = (F.col("shorter") | (F.col("word") < F.col("near"))) & (apart <= 4) & (F.levenshtein("word", "near", 1) == 1)
-    one_way = seek.alias("s").join(found.alias("f"), [*same, near]).select("word", "n", "near", "near_n")
-    return one_way.unionByName(one_way.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))).distinct()
+    pair = lambda a, an, b, bn: F.struct(F.col(a).alias("word"), F.col(an).alias("n"), F.col(b).alias("near"), F.col(bn).alias("near_n"))
+    both = F.array(pair("word", "n", "near", "near_n"), pair("near", "near_n", "word", "n"))
+    return seek.alias("s").join(found.alias("f"), [*same, near]).select(F.inline(both)).distinct()
 
 
 def variants(words: DataFrame) -> DataFrame:
