@@ -59,6 +59,11 @@ def gc_content(s: Column) -> Column:
     return F.try_divide(count_of(s, "GC"), count_of(s, SYMBOLS))
 
 
+def every_window(s: Column, k: int) -> Column:
+    """What begins at each place of a sequence: ``k`` symbols, fewer at its end. All shorter k-mers are beginnings of these."""
+    return F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{1,{k}}}))."), F.lit(1))
+
+
 def overlapping(s: Column, k: int) -> Column:
     """All k-symbol tokens at step 1, as an array. A look-ahead keeps this linear in the length."""
     return F.regexp_extract_all(s, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))

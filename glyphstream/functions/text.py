@@ -131,10 +131,19 @@ def sections(markdown: Column, least: int = 80, most: int = 8, size: int = 950)
     return F.transform(F.slice(F.filter(parts, lambda x: F.length(x) >= least), 1, most), lambda x: F.left(x, F.lit(size)))
 
 
+#: What folding can't make part of a word: neither plain letters and digits nor marks and marked letters.
+BETWEEN = "[^A-Za-z0-9\\x{300}-\\x{36F}\\x{C0}-\\x{24F}\\x{1E00}-\\x{1EFF}\\x{212A}]+"
+
+
 def terms(question: Column) -> Column:
-    """Distinct folded words of two letters or more that carry the question."""
-    words = F.split(folded(question), "[^a-z0-9]+")
-    return F.array_except(F.filter(words, lambda w: F.length(w) > 1), F.array(*map(F.lit, STOP_WORDS)))
+    """Distinct folded words of two letters or more that carry the question.
+
+    A text is split before it is folded, and only its distinct words with other than plain letters are looked up letter by letter.
+    """
+    words = F.array_distinct(F.split(question, BETWEEN))
+    plain = lambda w: F.length(w) == F.octet_length(w)
+    told = F.transform(words, lambda w: F.when(plain(w), F.array(F.lower(w))).otherwise(F.split(folded(w), "[^a-z0-9]+")))
+    return F.array_except(F.filter(F.flatten(told), lambda w: F.length(w) > 1), F.array(*map(F.lit, STOP_WORDS)))
 
 
 def mentions(text: Column, banned: list[str] = CLAIMS) -> Column:

@@ -17,14 +17,15 @@ def residue_signals(df: DataFrame, group: list[str], seq_col: str) -> DataFrame:
     each = df.select(*group, F.posexplode(q.stepped(F.col(seq_col), 3)).alias("at", "codon"))
     c = F.col("codon")
     each = each.select(
-        *group, "at", codon.translated(c).alias("amino"), (q.count_of(c, "GC") / 3).alias("gc"), c.contains("CG").cast("int").alias("cg"),
+        *group, "at", codon.translated(c).alias("amino"), q.count_of(c, "GC").alias("gc"), c.contains("CG").cast("int").alias("cg"),
         c.contains("TA").cast("int").alias("ta"), (q.count_of(c, "ACGT") < 3).cast("int").alias("unclear"),
     )
     part = each.groupBy(*group, "at", "amino").agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in ("gc", "cg", "ta", "unclear")))
     total = F.sum("n").over(Window.partitionBy(*group, "at"))
     part = part.withColumn("p", F.col("n") / total)
     mean = lambda x: (F.sum(x) / F.sum("n")).alias(x)
-    return part.groupBy(*group, "at").agg(F.sum("n").alias("n"), mean("gc"), mean("cg"), mean("ta"), mean("unclear"), F.sum(q.entropy_term(F.col("p"))).alias("entropy"), F.max("p").alias("dominant"))
+    gc = (F.sum("gc") / (3 * F.sum("n"))).alias("gc")  # whole numbers until the last step, whatever the order
+    return part.groupBy(*group, "at").agg(F.sum("n").alias("n"), gc, mean("cg"), mean("ta"), mean("unclear"), F.sum(q.entropy_term(F.col("p"))).alias("entropy"), F.max("p").alias("dominant"))
 
 
 def consensus(df: DataFrame, group: str, amino_col: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphstream.operators.panels import stratified_sample
+from glyphstream.runtime import broadcast_if_small, materialize
 
 
 def normalized_rows(matrix: DataFrame, key: str, norm: int = 1) -> DataFrame:
@@ -21,10 +22,11 @@ def normalized_rows(matrix: DataFrame, key: str, norm: int = 1) -> DataFrame:
 
 
 def tfidf(matrix: DataFrame, key: str, n_rows: int) -> DataFrame:
-    """Counts times ln((1 + n) / (1 + df)) + 1, rows of unit L2 norm. Document frequencies are joined, not windowed, so a common feature stays spread."""
+    """Counts times ln((1 + n) / (1 + df)) + 1, rows of unit L2 norm. Document frequencies are joined, not windowed,
+    and sent to all tasks where they are few, so a common feature stays spread."""
     df_ = matrix.groupBy("feature").agg(F.count("*").alias("df"))
     idf = F.log((1 + n_rows) / (1 + F.col("df"))) + 1
-    weighted = matrix.join(df_, "feature").select(key, "feature", (F.col("value") * idf).alias("value"))
+    weighted = matrix.join(broadcast_if_small(df_), "feature").select(key, "feature", (F.col("value") * idf).alias("value"))
     return normalized_rows(weighted, key, 2)
 
 
@@ -71,7 +73,7 @@ def pairwise_distances(points: DataFrame, key: str, vector_col: str, blocks: int
     def distances(group: pd.DataFrame) -> pd.DataFrame:
         x, y = group[group.p == group.i], group[group.p == group.j]
         if x.empty or y.empty:
-            return pd.DataFrame({"a": [], "b": [], "distance": []})
+            return pd.DataFrame()
         a, b = np.stack(x.v.to_list()), np.stack(y.v.to_list())
         d = np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1) - 2 * a @ b.T, 0))
         one, two = x.id.to_numpy()[:, None], y.id.to_numpy()[None, :]
@@ -106,23 +108,50 @@ def pca(df: DataFrame, vector_col: str, k: int) -> tuple[DataFrame, list[float]]
     return out.drop("__v", "__p", "__a"), [float(x) for x in model.explainedVariance]
 
 
+def silhouette_scores(points: DataFrame, key: str, label: str, vector_col: str, within: list[str] | None = None, blocks: int = 6) -> DataFrame:
+    """(*``within``, key, label, ``silhouette``) of every point by Euclidean distance, in each group of ``within`` by itself.
+
+    Points are dealt into blocks; a task takes one pair of blocks and gives each of its first block's points the sums of distances to every
+    label of the second, which are added up. A point alone with its label scores 0, a group with one label has no rows. All-pairs work: for bounded samples.
+    """
+    within, part = within or [], F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    rows = points.select(*within, F.col(key).alias("id"), F.col(label).cast("string").alias("label"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), part.alias("p"))
+    sides = F.array(*(F.struct(F.lit(side).alias("side"), F.lit(o).alias("o")) for side in (0, 1) for o in range(blocks)))
+    each = rows.select("*", F.explode(sides).alias("x")).select(*within, "id", "label", "v", F.col("x.side").alias("side"), F.when(F.col("x.side") == 0, F.col("p")).otherwise(F.col("x.o")).alias("i"), F.when(F.col("x.side") == 0, F.col("x.o")).otherwise(F.col("p")).alias("j"))
+
+    def sums(group: pd.DataFrame) -> pd.DataFrame:
+        x, y = group[group.side == 0], group[group.side == 1]
+        if x.empty or y.empty:
+            return pd.DataFrame()
+        names, at = np.unique(y.label.to_numpy(dtype=object), return_inverse=True)
+        a, b = np.stack(x.v.to_list()), np.stack(y.v.to_list())
+        d = np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1) - 2 * a @ b.T, 0))
+        d[x.id.to_numpy()[:, None] == y.id.to_numpy()[None, :]] = 0
+        total = np.stack([d[:, at == g].sum(1) for g in range(len(names))], 1)
+        out = {c: group[c].iloc[0] for c in within} | {"id": np.repeat(x.id.to_numpy(), len(names)), "label": np.repeat(x.label.to_numpy(dtype=object), len(names))}
+        return pd.DataFrame(out | {"other": np.tile(names, len(x)), "total": total.ravel(), "n": np.tile(np.bincount(at), len(x))})
+
+    kinds = dict(points.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in within), f"id {kinds[key]}", "label string, other string, total double, n long"])
+    met = each.groupBy(*within, "i", "j").applyInPandas(sums, schema).groupBy(*within, "id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    own = F.col("label") == F.col("other")
+    one = met.groupBy(*within, "id", "label").agg(F.max(F.when(own, F.col("n"))).alias("size"), F.max(F.when(own, F.try_divide("total", F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
+    score = F.when(F.col("size") > 1, F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).otherwise(F.lit(0.0))
+    return one.where(F.col("b").isNotNull()).select(*within, F.col("id").alias(key), F.col("label").alias(label), score.alias("silhouette"))
+
+
+def silhouettes(points: DataFrame, key: str, label: str, vector_col: str, within: list[str] | None = None) -> DataFrame:
+    """(*``within``, ``silhouette``, ``n``): means of the points; null where the labels are fewer than two or as many as points."""
+    within = within or []
+    scores = silhouette_scores(points, key, label, vector_col, within)
+    means = scores.groupBy(*within).agg(F.avg("silhouette").alias("silhouette"), F.count("*").alias("n"), F.countDistinct(label).alias("__labels"))
+    return means.select(*within, F.when(F.col("__labels").between(2, F.col("n") - 1), F.col("silhouette")).alias("silhouette"), "n")
+
+
 def silhouette(df: DataFrame, vector_col: str, label: str, key: str, cap: int = 2000, seed: int = 42) -> float | None:
     """Mean Euclidean silhouette of at most ``cap`` rows, sampled by label; null with fewer than two labels.
 
     The cap is the measure's definition: it keeps the all-pairs distances bounded.
     """
-    rows = stratified_sample(df, cap, [label], seed, key).select(vector_col, label).collect()
-    x, labels = np.array([r[0] for r in rows], float), np.array([str(r[1]) for r in rows])
-    names, at = np.unique(labels, return_inverse=True)
-    if not 2 <= len(names) < len(rows):
-        return None
-    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1) - 2 * x @ x.T, 0))
-    sums = np.stack([d[:, at == g].sum(1) for g in range(len(names))], 1)
-    sizes = np.bincount(at)
-    own = sizes[at]
-    a = sums[range(len(x)), at] / np.maximum(own - 1, 1)
-    others = sums / sizes
-    others[range(len(x)), at] = np.inf
-    b = others.min(1)
-    s = np.where(own > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-    return float(s.mean())
+    sample = materialize(stratified_sample(df, cap, [label], seed, key).select(key, label, vector_col), "sample")
+    return silhouettes(sample, key, label, vector_col).first()["silhouette"]

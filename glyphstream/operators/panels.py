@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphstream.functions import sequence as q
-from glyphstream.runtime import ranked
+from glyphstream.operators import quantiles
+from glyphstream.runtime import materialize, ranked
 
 
 def require_columns(df: DataFrame, needed: set[str], label: str) -> None:
@@ -130,12 +131,10 @@ def missingness(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def summary_stats(df: DataFrame, group: list[str], metrics: list[str]) -> DataFrame:
     """Long-form count, mean, median, deviation (ddof 1), 5 % and 95 % quantiles of each metric and group."""
-    long = df.unpivot(group, metrics, "metric", "value")
-    v = "value"
-    return long.groupBy(*group, "metric").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("std"),
-        F.percentile(v, F.lit(0.05)).alias("q05"), F.percentile(v, F.lit(0.95)).alias("q95"),
-    )
+    long, v = materialize(df.unpivot(group, metrics, "metric", "value"), "metrics"), "value"
+    stats = long.groupBy(*group, "metric").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
+    found = quantiles.exact(long, [*group, "metric"], v, {"median": 0.5, "q05": 0.05, "q95": 0.95})
+    return quantiles.beside(stats, found, [*group, "metric"]).select(*group, "metric", "n", "mean", "median", "std", "q05", "q95")
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

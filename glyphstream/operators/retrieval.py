@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphstream.functions import text as t
+from glyphstream.runtime import broadcast_if_small, many_join, materialize
 
 
 #: A header line and a line of symbols below it.
@@ -18,22 +19,84 @@ def expanded(terms: Column, aliases: dict[str, list[str]]) -> Column:
     return F.array_distinct(F.concat(terms, *more)) if more else F.array_distinct(terms)
 
 
-def scored(chunks: DataFrame, question: str) -> DataFrame:
-    """Chunks (id, title, section, tags, text) with 1 for each of the question's terms, aliases included, met anywhere
-    in them, 3 more in title or section, 4 more among the tags."""
-    wanted = expanded(t.terms(F.lit(question)), t.ALIASES)
+def postings(chunks: DataFrame) -> DataFrame:
+    """The inverted index of chunks (id, title, section, tags, text): (``term``, ``id``, ``weight``), one row a chunk and term.
+
+    A term met anywhere in a chunk weighs 1, in its title or section 3 more, among its tags 4 more. Each text is folded once;
+    no rows are exchanged. Null fields have no terms; rows that share an id have postings each.
+    """
     title, tags = F.concat_ws(" ", "title", "section"), F.array_join("tags", " ")
-    hits = lambda text: F.size(F.array_intersect(wanted, t.terms(text)))
-    score = hits(F.concat_ws(" ", title, tags, F.col("text"))) + 3 * hits(title) + 4 * hits(tags)
-    return chunks.withColumn("score", score.cast("long"))
+    told = chunks.select("id", t.terms(title).alias("in_title"), t.terms(tags).alias("in_tags"), t.terms(F.coalesce("text", F.lit(""))).alias("in_text"))
+    told = told.withColumn("in_tags", F.coalesce("in_tags", F.array().cast("array<string>")))
+    rows = told.select("id", "in_title", "in_tags", F.explode(F.array_distinct(F.concat("in_title", "in_tags", "in_text"))).alias("term"))
+    held = lambda field: F.array_contains(field, F.col("term")).cast("long")
+    return rows.select("term", "id", (1 + 3 * held("in_title") + 4 * held("in_tags")).alias("weight"))
+
+
+def index(chunks: DataFrame) -> DataFrame:
+    """The postings stored in order of their terms, for any number of questions; a term's rows lie together in few files."""
+    return materialize(postings(chunks).repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings")
+
+
+def asked(questions: DataFrame) -> DataFrame:
+    """(``question``, ``term``) of questions (question, text): terms and their aliases. Texts under four characters ask nothing; null neither."""
+    real = questions.where(F.length(F.trim("text")) >= 4)
+    told = real.select("question", t.terms(F.col("text")).alias("own"))
+    return told.select("question", F.explode(expanded(F.col("own"), t.ALIASES)).alias("term"))
+
+
+def answers(held: DataFrame, chunks: DataFrame, questions: DataFrame, top: int = 4) -> DataFrame:
+    """(``question``, ``rank``, ``id``, ``score``): the top chunks of each question with a positive score, by score, ties by id.
+
+    A question that no chunk meets gets the first chunks by id, with score 0; one under four characters gets none. Questions and
+    postings are joined by term, a frequent term in parts; weights are added up before the exchange, and no task ranks more than
+    ``top`` chunks of a part.
+    """
+    wanted = materialize(asked(questions), "asked")
+    met = many_join(held, wanted, ["term"]).groupBy("question", "id").agg(F.sum("weight").alias("score"))
+    place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "id"))
+    best = materialize(met.withColumn("rank", place).where(F.col("rank") <= top).select("question", "rank", "id", "score"), "best")
+    first = [r["id"] for r in chunks.select("id").orderBy("id").limit(top).collect()]
+    none = questions.where(F.length(F.trim("text")) >= 4).select("question").distinct().join(best.select("question").distinct(), "question", "left_anti")
+    if not first:
+        return best
+    listed = F.posexplode(F.array(*(F.lit(i) for i in first))).alias("rank", "id")
+    rest = none.select("question", listed).select("question", (F.col("rank") + 1).alias("rank"), F.col("id").cast(best.schema["id"].dataType), F.lit(0).cast("long").alias("score"))
+    return best.unionByName(rest)
+
+
+def scored(chunks: DataFrame, question: str) -> DataFrame:
+    """Chunks with their ``score`` for one question, 0 where no term meets; postings of other terms go no further than their task."""
+    one = chunks.sparkSession.range(1).select(F.lit(0).alias("question"), F.lit(question).alias("text"))
+    wanted = [r["term"] for r in asked(one).collect()]  # one question's terms
+    met = postings(chunks).where(F.col("term").isin(wanted)).groupBy("id").agg(F.sum("weight").alias("score"))
+    return chunks.join(met, "id", "left").withColumn("score", F.coalesce("score", F.lit(0)))
 
 
 def answer(chunks: DataFrame, question: str, top: int = 4) -> DataFrame:
     """The top chunks with a positive score, by score, ties by id; the first ones by id if none scores."""
-    rows = scored(chunks, question)
-    found = rows.where("score > 0")
-    chosen = found if found.limit(1).count() else rows
-    return chosen.orderBy(F.desc("score"), "id").limit(top)
+    best = scored(chunks, question).orderBy(F.desc("score"), "id").limit(top)
+    best = best.withColumn("__most", F.max("score").over(Window.partitionBy(F.lit(1))))  # over ``top`` rows
+    return best.where("score > 0 or __most = 0").drop("__most").orderBy(F.desc("score"), "id")
+
+
+def replies(chunks: DataFrame, questions: DataFrame, found: DataFrame) -> DataFrame:
+    """(``question``, ``in_scope``, ``opening``, ``citations``, ``topics``, ``view``) for each answered question of ``found`` (as of :func:`answers`).
+
+    A question that asks for claims is out of scope and has no opening, others open with the first sentence of their best chunk; citations name
+    the chunks in order, topics are the first eight of their tags, the view is the one they point to.
+    """
+    named = chunks.select("id", "title", "section", "tags", "text").join(broadcast_if_small(found.select("id").distinct()), "id", "left_semi")
+    named = named.select("id", "title", "section", "tags", t.first_sentence(F.col("text")).alias("says"))
+    rows = found.join(named, "id").groupBy("question").agg(F.sort_array(F.collect_list(F.struct("rank", "title", "section", "tags", "says"))).alias("top"))
+    claims = questions.select("question", t.mentions(F.col("text")).alias("claims"))
+    topics = F.array_distinct(F.flatten(F.col("top.tags")))
+    cite = F.transform("top", lambda r: F.format_string("[%d] %s (%s)", r["rank"], r["title"], r["section"]))
+    told = rows.join(claims, "question")
+    return told.select(
+        "question", (~F.col("claims")).alias("in_scope"), F.when(~F.col("claims"), F.get("top.says", F.lit(0))).alias("opening"),
+        F.array_join(cite, "; ").alias("citations"), F.array_join(F.slice(topics, 1, 8), ",").alias("topics"), view_hint(topics).alias("view"),
+    )
 
 
 #: The view that each tag, in this order, points to.

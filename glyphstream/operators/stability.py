@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphstream.functions import sequence as q
-from glyphstream.operators import tokens
+from glyphstream.operators import quantiles, tokens
+from glyphstream.runtime import ranked
 
 
 def drawn(size: Column, *keys: Column) -> Column:
@@ -22,24 +23,23 @@ def drawn(size: Column, *keys: Column) -> Column:
 def bootstrap_rows(df: DataFrame, group: str, key: str, replicates: int, per_group: int, seed: int) -> DataFrame:
     """(replicate, draw, row): per group and replicate min(per_group, size) draws with replacement.
 
-    Draws are made from group sizes alone, then joined to ranked rows by number.
+    Draws are made from group sizes alone, then joined to ranked rows by number. Ranks come from range partitions
+    and their counts, so no task sorts a group.
     """
-    ranked = df.withColumn("at", F.row_number().over(Window.partitionBy(group).orderBy(key)).cast("long"))
+    places = ranked(df, [key], [group], "at").withColumn("at", F.col("at") + 1)
     sizes = df.groupBy(group).agg(F.count("*").alias("size"))
     draws = sizes.select(group, "size", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     draws = draws.select(group, "size", "replicate", F.explode(F.sequence(F.lit(1).cast("long"), F.least("size", F.lit(per_group).cast("long")))).alias("draw"))
     draws = draws.select(group, "replicate", "draw", drawn(F.col("size"), F.lit(seed), F.col(group), F.col("replicate"), F.col("draw")).alias("at"))
-    return draws.join(ranked, [group, "at"]).drop("at")
+    return draws.join(places, [group, "at"]).drop("at")
 
 
 def interval(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Mean, deviation (0 for one value) and 95 % interval of finite values."""
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
-    stats = rows.groupBy(*group).agg(
-        F.count("*").alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"),
-        F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"),
-    )
-    return stats.withColumn("width", F.col("high") - F.col("low"))
+    stats = rows.groupBy(*group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"))
+    ends = quantiles.exact(rows, group, value, {"low": 0.025, "high": 0.975})
+    return quantiles.beside(stats, ends, group).withColumn("width", F.col("high") - F.col("low"))
 
 
 def resampled_counts(dist: DataFrame, group: str, replicates: int, cap: int, seed: int) -> DataFrame:

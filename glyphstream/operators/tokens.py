@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +65,15 @@ def counts(df: DataFrame, by: Tokenizer, keep: list[str], seq_col: str = "s") ->
     return df.select(*keep, F.explode(by.tokens(F.col(seq_col))).alias("token")).groupBy(*keep, "token").agg(F.count("*").alias("n"))
 
 
+def counts_of_all(df: DataFrame, ks: list[int], keep: list[str], seq_col: str = "s") -> DataFrame:
+    """(keep, ``k``, token, n) of the k-mers of A, C, G, T for all of ``ks`` from one pass: the longest windows are counted,
+    then the counts of their beginnings added up, so a sequence is read once and its windows are exchanged once, as counts."""
+    each = df.select(*keep, F.explode(q.every_window(F.col(seq_col), max(ks))).alias("w")).groupBy(*keep, "w").agg(F.count("*").alias("n"))
+    begun = each.select(*keep, "n", "w", F.explode(F.array(*map(F.lit, ks))).alias("k")).where(F.length("w") >= F.col("k"))
+    token = F.substr("w", F.lit(1), F.col("k"))
+    return begun.select(*keep, "k", token.alias("token"), "n").where(F.col("token").rlike("^[ACGT]+$")).groupBy(*keep, "k", "token").agg(F.sum("n").alias("n"))
+
+
 def distribution(counted: DataFrame, group: list[str]) -> DataFrame:
     """Group token distribution: count and share of the group."""
     summed = counted.groupBy(*group, "token").agg(F.sum("n").alias("n"))
@@ -164,27 +177,120 @@ def _merge(a: str, b: str) -> Callable[[Column, Column], Column]:
     return step
 
 
-def train_bpe(df: DataFrame, merges: int, word_col: str, every: int = 10) -> list[tuple[str, str]]:
-    """Merges of a byte-pair vocabulary from words of a column: each round counts adjacent pairs with Spark.
+#: Symbols of sequences, the first tokens of a vocabulary.
+SYMBOLS = ["-", "A", "C", "G", "N", "T"]
+#: Different words up to which merges are found in one place, 20 MB of them; beyond, each merge is a job.
+WORDS = 200_000
+
+
+def train_bpe(df: DataFrame, merges: int, word_col: str, count_col: str | None = None, words_at_once: int = WORDS) -> list[tuple[str, str]]:
+    """Merges of a byte-pair vocabulary from words of a column (each ``count_col`` times, if given): most frequent pair first, ties by its tokens,
+    until there are ``merges`` new tokens (two merges may make one token).
 
-    Word counts are aggregated once; a round moves pair counts only, and brings one row to the driver. The words
-    are written again every few rounds, so that a round replays at most as many merges.
+    Words are counted with Spark. Pieces of a fixed length over few symbols are few whatever the input; then the counts alone are merged in
+    one place, where a merge touches only the words that hold the pair. With more different words than ``words_at_once`` every merge
+    is a Spark job over them. Null and empty words take no part; fewer merges come back where no pair is left that stands twice.
     """
-    words = df.groupBy(F.col(word_col).alias("w")).agg(F.count("*").alias("n")).where(F.length("w") > 0)
-    rows = materialize(words.select(F.split(F.col("w"), "").alias("parts"), "n"), "words")
+    times = F.count("*") if count_col is None else F.sum(count_col)
+    words = df.groupBy(F.col(word_col).alias("w")).agg(times.alias("n")).where(F.length("w") > 0)
+    words = materialize(words, "words")
+    if words.count() <= words_at_once:
+        return merged({r["w"]: r["n"] for r in words.collect()}, merges)
+    return _train_by_jobs(words, merges)
+
+
+def merged(counts: dict[str, int], merges: int) -> list[tuple[str, str]]:
+    """The merges of counted words. Pairs keep their counts and the words that hold them; a merge changes those of its words alone,
+    and the most frequent pair comes from a heap whose outdated entries are passed over."""
+    parts, times = [list(w) for w in counts], list(counts.values())
+    total: dict[tuple[str, str], int] = defaultdict(int)
+    holds: dict[tuple[str, str], set[int]] = defaultdict(set)
+    for i, word in enumerate(parts):
+        for pair in pairwise(word):
+            total[pair] += times[i]
+            holds[pair].add(i)
+    heap = [(-n, pair) for pair, n in total.items()]
+    heapify(heap)
     found: list[tuple[str, str]] = []
-    for i in range(1, merges + 1):
+    made: set[str] = set()
+    while heap and len(made) < merges:
+        n, pair = heappop(heap)
+        if -n != total[pair]:
+            continue
+        if -n < 2:
+            break
+        found.append(pair)
+        made.add(pair[0] + pair[1])
+        changed: dict[tuple[str, str], int] = defaultdict(int)
+        for i in holds.pop(pair):
+            old, new = parts[i], _glued(parts[i], pair)
+            for p in pairwise(old):
+                changed[p] -= times[i]
+            for p in pairwise(new):
+                changed[p] += times[i]
+                holds[p].add(i)
+            for p in set(pairwise(old)) - set(pairwise(new)) - {pair}:
+                holds[p].discard(i)
+            parts[i] = new
+        for p, by in changed.items():
+            if by:
+                total[p] += by
+                heappush(heap, (-total[p], p))
+    return found
+
+
+def _glued(word: list[str], pair: tuple[str, str]) -> list[str]:
+    out: list[str] = []
+    for x in word:
+        if out and out[-1] == pair[0] and x == pair[1]:
+            out[-1] += x
+        else:
+            out.append(x)
+    return out
+
+
+def _train_by_jobs(words: DataFrame, merges: int, every: int = 10) -> list[tuple[str, str]]:
+    """Each round counts adjacent pairs of the words (w, n) with Spark and brings one row to the driver; words are written
+    again every few rounds, so that a round replays at most as many merges."""
+    rows = words.select(F.split(F.col("w"), "").alias("parts"), "n")
+    found: list[tuple[str, str]] = []
+    while len({a + b for a, b in found}) < merges:
         pairs = rows.select(F.explode(F.arrays_zip(F.slice("parts", F.lit(1), F.size("parts") - 1).alias("a"), F.slice("parts", F.lit(2), F.size("parts")).alias("b"))).alias("p"), "n")
         best = pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").first()
         if best is None or best.n < 2:
             break
         found.append((best.a, best.b))
         rows = rows.select(F.aggregate("parts", F.array().cast("array<string>"), _merge(best.a, best.b)).alias("parts"), "n")
-        if i % every == 0:
+        if len(found) % every == 0:
             rows = materialize(rows, "words")
     return found
 
 
+def token_uses(df: DataFrame, merges: list[tuple[str, str]], ids: dict[str, int], word_col: str, count_col: str) -> DataFrame:
+    """(``id``, ``token``, ``n``): every token of a vocabulary and its uses in counted words split by the merges; symbols without a token are the first, unknown one."""
+    rank = {pair: i for i, pair in enumerate(merges)}
+    unknown = next(iter(ids))
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            used: dict[str, int] = defaultdict(int)
+            for word, n in zip(frame["w"], frame["n"]):
+                parts = list(word)
+                while len(parts) > 1:
+                    best = min(pairwise(parts), key=lambda p: rank.get(p, len(rank)))
+                    if best not in rank:
+                        break
+                    parts = _glued(parts, best)
+                for p in parts:
+                    used[p if p in ids else unknown] += n
+            yield pd.DataFrame({"token": list(used), "n": list(used.values())})
+
+    counted = df.where(F.col(word_col).isNotNull()).select(F.col(word_col).alias("w"), F.col(count_col).alias("n")).mapInPandas(split, "token string, n long")
+    names = df.sparkSession.createDataFrame(list(ids.items()), "token string, id int")
+    uses = names.join(counted.groupBy("token").agg(F.sum("n").alias("n")), "token", "left")
+    return uses.select("id", "token", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def vocabulary(merges: list[tuple[str, str]], symbols: list[str], unknown: str = "[UNK]", size: int = 600) -> dict[str, int]:
     """Ids of a byte-pair vocabulary: the unknown token, the symbols, then merged tokens, at most ``size`` of them."""
     tokens = dict.fromkeys([unknown, *sorted(symbols), *(a + b for a, b in merges)])

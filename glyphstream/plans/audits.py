@@ -319,25 +319,33 @@ def metric_extremes(spark, sf_dir):
     return m.groupBy("metric").agg(F.min_by("lang", F.struct("mean", "lang")).alias("lowest"), F.round(F.min("mean"), 6).alias("low"), F.max_by("lang", F.struct("mean", -F.ascii("lang"))).alias("highest"), F.round(F.max("mean"), 6).alias("high"))
 
 
-#: A nested metrics document, as stored results of earlier runs have it.
-RUNS = """{"spearman": [{"metric": "a", "subtype": "x", "rho": 0.5, "valid": 10}, {"metric": "a", "subtype": "x", "rho": 0.7, "valid": 12}, {"metric": "b", "subtype": "y", "rho": -0.25, "valid": 4}], "pca": {"global": {"n": 9, "n95": 4, "explained": [0.5, 0.25]}, "x": {"n": 3, "n95": 2, "explained": []}}}"""
-
-
-@query(f"""with d as (select '{RUNS}'::json as j), r as (select unnest(from_json(j->'spearman', '[{{"metric":"VARCHAR","subtype":"VARCHAR","rho":"DOUBLE","valid":"DOUBLE"}}]')) as x from d)
-select x.metric as metric, x.subtype as subtype, round(avg(x.rho), 6) as rho_mean, round(stddev_samp(x.rho), 6) as rho_sd, round(avg(x.valid), 6) as valid_mean, count(*) as n_runs from r group by 1, 2""")
+def run_documents(spark, sf_dir):
+    """(run, doc): a day's events as a nested metrics document, as stored results of runs have it."""
+    k = F.get_json_object("props", "$.k").cast("double")
+    rows = table(spark, sf_dir, "events").select(F.to_date("ts").cast("string").alias("run"), F.col("event_type").alias("metric"), F.concat(F.lit("u"), F.col("user_id") % 2).alias("subtype"), "value", k.alias("k"))
+    rho = F.struct("metric", "subtype", "rho", "valid")
+    runs = rows.groupBy("run", "metric", "subtype").agg(F.corr("value", "k").alias("rho"), F.count("*").cast("double").alias("valid")).where("valid >= 10")
+    runs = runs.groupBy("run").agg(F.sort_array(F.collect_list(rho)).alias("spearman"))
+    part = F.struct(F.col("n"), F.col("n95"), F.array("low", "high").alias("explained"))
+    groups = rows.groupBy("run", "metric").agg(F.count("*").cast("int").alias("n"), F.count_if(F.col("value") > 20).cast("int").alias("n95"), F.min("value").alias("low"), F.max("value").alias("high"))
+    groups = groups.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("metric", part))).alias("pca"))
+    return groups.join(runs, "run", "left").select("run", F.to_json(F.struct("spearman", "pca")).alias("doc"))
+
+
+@query("""with r as (select event_type as metric, 'u' || user_id % 2 as subtype, ts::date as run, corr(value, (props::json->>'k')::double) as rho, count(*) as valid from events group by 1, 2, 3 having count(*) >= 10)
+select metric, subtype, round(avg(rho), 6) as rho_mean, round(stddev_samp(rho), 6) as rho_sd, round(avg(valid), 6) as valid_mean, count(*) as n_runs from r group by 1, 2""")
 def run_summary(spark, sf_dir):
-    """Repeated runs of a nested metrics document, summarised."""
-    one = spark.range(1).select(F.from_json(F.lit(RUNS), "spearman array<struct<metric:string,subtype:string,rho:double,valid:double>>").alias("j"))
-    rows = one.select(F.inline("j.spearman"))
+    """Repeated runs of nested metrics documents, summarised."""
+    runs = run_documents(spark, sf_dir).select(F.from_json("doc", "spearman array<struct<metric:string,subtype:string,rho:double,valid:double>>").alias("j"))
+    rows = runs.select(F.inline("j.spearman"))
     return rows.groupBy("metric", "subtype").agg(F.round(F.avg("rho"), 6).alias("rho_mean"), F.round(F.stddev_samp("rho"), 6).alias("rho_sd"), F.round(F.avg("valid"), 6).alias("valid_mean"), F.count("*").alias("n_runs"))
 
 
-@query(f"""with d as (select '{RUNS}'::json->'pca' as j), g as (select unnest(json_keys(j)) as grp, j from d)
-select grp as "group", (j->grp->>'n')::int as n, (j->grp->>'n95')::int as n95, (j->grp->'explained'->>0)::double as top1, (j->grp->'explained'->>1)::double as top2 from g""")
+@query("""select ts::date::varchar as run, event_type as "group", count(*)::int as n, count(*) filter (where value > 20)::int as n95, min(value) as top1, max(value) as top2 from events group by 1, 2""")
 def nested_metrics(spark, sf_dir):
-    """Groups of a nested metrics document as rows; what a group lacks is null."""
-    one = spark.range(1).select(F.from_json(F.lit(RUNS), "pca map<string,struct<n:int,n95:int,explained:array<double>>>").alias("j"))
-    return one.select(F.explode("j.pca").alias("group", "x")).select("group", "x.n", "x.n95", F.get("x.explained", F.lit(0)).alias("top1"), F.get("x.explained", F.lit(1)).alias("top2"))
+    """Groups of nested metrics documents as rows; what a group lacks is null."""
+    docs = run_documents(spark, sf_dir).select("run", F.from_json("doc", "pca map<string,struct<n:int,n95:int,explained:array<double>>>").alias("j"))
+    return docs.select("run", F.explode("j.pca").alias("group", "x")).select("run", "group", "x.n", "x.n95", F.get("x.explained", F.lit(0)).alias("top1"), F.get("x.explained", F.lit(1)).alias("top2"))
 
 
 @query(f"""with m as ({ORACLE_SQL["matrix_summary"]}), h as ({ORACLE_SQL["label_distances"]}) select 'baseline' as family, 'kmer3' as representation, n_rows, n_features, sparsity, null::double as mean_distance from m

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphstream.functions import codon, sequence as q, text as t
 from glyphstream.operators import align, features, panels, retrieval, stability, tokens
-from glyphstream.runtime import ranked, table
+from glyphstream.runtime import materialize, ranked, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -226,9 +226,9 @@ def coding_rescue(spark, sf_dir):
 
 @query(f"""with {SEQ}, c as (select lang, i, s[3 * i + 1 : 3 * i + 3] as codon from (select lang, s, unnest(range(0, length(s) // 3)) as i from seq)), {FULL_CODE},
 r as (select lang, i, c.codon, coalesce(amino, 'X') as amino from c left join full_code f on f.codon = c.codon),
-n as (select lang, i, amino, count(*) as n, sum((3 - length(translate(codon, 'GC', ''))) / 3.0) as gc, sum(contains(codon, 'CG')::int) as cg, sum(contains(codon, 'TA')::int) as ta, sum((length(translate(codon, 'ACGT', '')) > 0)::int) as unclear from r group by 1, 2, 3),
+n as (select lang, i, amino, count(*) as n, sum(3 - length(translate(codon, 'GC', ''))) as gc, sum(contains(codon, 'CG')::int) as cg, sum(contains(codon, 'TA')::int) as ta, sum((length(translate(codon, 'ACGT', '')) > 0)::int) as unclear from r group by 1, 2, 3),
 p as (select *, n / sum(n) over (partition by lang, i) as p from n)
-select lang, i::int as at, sum(n)::bigint as n, round(sum(gc) / sum(n), 6) as gc, round(sum(cg) / sum(n), 6) as cg, round(sum(ta) / sum(n), 6) as ta, round(sum(unclear) / sum(n), 6) as unclear, round(sum(-p * log2(p)), 6) as entropy, round(max(p), 6) as dominant from p group by 1, 2""")
+select lang, i::int as at, sum(n)::bigint as n, round(sum(gc) / (3 * sum(n)), 6) as gc, round(sum(cg) / sum(n), 6) as cg, round(sum(ta) / sum(n), 6) as ta, round(sum(unclear) / sum(n), 6) as unclear, round(sum(-p * log2(p)), 6) as entropy, round(max(p), 6) as dominant from p group by 1, 2""")
 def residue_signals(spark, sf_dir):
     rows = sequences(spark, sf_dir).select("lang", "s")
     got = align.residue_signals(rows, ["lang"], "s")
@@ -301,14 +301,30 @@ def tokenizer_audit(spark, sf_dir):
     return d.select("tokenizer", "lang", "n_tokens", "vocabulary", r6("entropy", "entropy"), r6("effective_vocabulary", "effective_vocabulary"))
 
 
+#: The reference's vocabulary, unknown token and symbols included.
+BPE_TOKENS = 600
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six-symbol pieces of the sequences: six symbols, so 46,656 different ones at most."""
+    return sequences(spark, sf_dir).select(F.explode(q.stepped(F.col("s"), 6)).alias("w"))
+
+
 @query()
 def bpe_merges(spark, sf_dir):
-    """Merges learnt from six-symbol pieces of the sequences."""
-    rows = sequences(spark, sf_dir).select(F.explode(q.stepped(F.col("s"), 6)).alias("w"))
-    found = tokens.train_bpe(rows, 20, "w")
+    """Merges learnt from six-symbol pieces of the sequences, up to the whole vocabulary."""
+    found = tokens.train_bpe(_pieces(spark, sf_dir), BPE_TOKENS - 1 - len(tokens.SYMBOLS), "w")
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(found)], "rank int, a string, b string")
 
 
+@query()
+def bpe_vocabulary(spark, sf_dir):
+    """The byte-pair vocabulary, and how often each token stands in the pieces once they are split by it."""
+    pieces = materialize(_pieces(spark, sf_dir).groupBy("w").agg(F.count("*").alias("n")), "pieces")
+    merges = tokens.train_bpe(pieces, BPE_TOKENS - 1 - len(tokens.SYMBOLS), "w", "n")
+    return tokens.token_uses(pieces, merges, tokens.vocabulary(merges, tokens.SYMBOLS, size=BPE_TOKENS), "w", "n")
+
+
 # Panels, joins, samples
 
 FLAGS = f"length(s) >= 200 as long_enough, length(s) <= 20000 as short_enough, {AMBIGUOUS} <= 0.02 as clear, length(translate(s, 'ACGTN', '')) = 0 as valid_alphabet"
@@ -452,10 +468,14 @@ def embedding_pca(spark, sf_dir):
     return rows.select("vec_id", "label", *(r6(F.col("projected")[i], f"pc{i + 1}") for i in range(3)), *(F.lit(round(x, 6)).alias(f"explained{i + 1}") for i, x in enumerate(ratios)))
 
 
-@query()
+@query("""with d as (select vec_id, label, embedding::double[] as v, sha256('42|' || vec_id) as r from embeddings), p as (select *, row_number() over (partition by label order by r, vec_id) as p, (select count(distinct label) from d) as n from d),
+s as (select vec_id, label, v from p order by (p > greatest(1, 2000 // n))::int, r, vec_id limit 2000),
+t as (select a.vec_id, a.label, b.label as other, sum(list_distance(a.v, b.v)) as total, count(*) as n from s a, s b group by 1, 2, 3),
+o as (select vec_id, label, max(n) filter (where label = other) as size, max(total / nullif(n - 1, 0)) filter (where label = other) as a, min(total / n) filter (where label <> other) as b from t group by 1, 2)
+select 'embedding' as representation, round(avg(case when size > 1 and greatest(a, b) > 0 then (b - a) / greatest(a, b) else 0 end), 6) as silhouette from o""")
 def embedding_silhouette(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    return spark.createDataFrame([("embedding", features.silhouette(rows, "embedding", "label", "vec_id"))], "representation string, silhouette double")
+    return spark.createDataFrame([("embedding", round(features.silhouette(rows, "embedding", "label", "vec_id"), 6))], "representation string, silhouette double")
 
 
 @query("""with v as (select label, unnest(embedding)::double as x, unnest(range(0, len(embedding))) as i from embeddings) select label, i::int as at, round(avg(x), 6) as mean from v group by 1, 2""")
@@ -560,9 +580,59 @@ s as (select id, (len(list_intersect(q, w)) + 3 * len(list_intersect(q, tw)) + 4
 select id, score from s where score > 0 order by score desc, id limit 4""")
 def lexical_answer(spark, sf_dir):
     """The four chunks that best match a question's terms and their aliases."""
+    return retrieval.answer(chunks(spark, sf_dir), ASKED).select("id", "score")
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as guide chunks: sources are titles, languages sections."""
     tags = t.topics(F.col("source"), F.col("text"), F.col("lang"))
-    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("lang").alias("section"), tags.alias("tags"), "text")
-    return retrieval.answer(chunks, ASKED).select("id", "score")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("lang").alias("section"), tags.alias("tags"), "text")
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), "text")
+
+
+POSTINGS = f"""{TAGGED}, aliases as ({_ALIASED}),
+c as (select doc_id as id, {_terms_sql("text")} as w, {_terms_sql("source || ' ' || lang")} as tw, {_terms_sql("array_to_string(tags, ' ')")} as gw from tagged),
+post as (select id, term, 1 + 3 * list_contains(tw, term)::int + 4 * list_contains(gw, term)::int as weight from (select id, tw, gw, unnest(list_distinct(list_concat(w, tw, gw))) as term from c))"""
+FOUND = f"""{POSTINGS}, items as (select item_id, text from benchmark where length(trim(text)) >= 4), base as (select item_id, unnest({_terms_sql("text")}) as w from items),
+want as (select item_id, w from base union select item_id, other from base join aliases using (w)),
+s as (select item_id, id, sum(weight)::bigint as score from want join post on term = w group by 1, 2),
+r as (select *, row_number() over (partition by item_id order by score desc, id) as rank from s),
+f as (select id, row_number() over (order by id) as rank from c),
+found as (select item_id as question, rank::int as rank, id, score from r where rank <= 4
+union all select item_id, rank::int, id, 0 from items, f where rank <= 4 and item_id not in (select item_id from s))"""
+
+
+@query(f"with {POSTINGS} select term, count(*) as n_chunks, count(*) filter (where weight in (4, 8)) as n_titles, count(*) filter (where weight in (5, 8)) as n_tags from post group by 1")
+def index_terms(spark, sf_dir):
+    """The inverted index by term: chunks that hold it, and of these those that do in title or tags."""
+    rows = retrieval.postings(chunks(spark, sf_dir)).groupBy("term")
+    return rows.agg(F.count("*").alias("n_chunks"), F.count_if(F.col("weight").isin(4, 8)).alias("n_titles"), F.count_if(F.col("weight").isin(5, 8)).alias("n_tags"))
+
+
+@query(f"with {FOUND} select * from found")
+def benchmark_answers(spark, sf_dir):
+    """The four best chunks of every item of ``benchmark``, all from one index."""
+    rows = chunks(spark, sf_dir)
+    return retrieval.answers(retrieval.index(rows), rows, _questions(spark, sf_dir))
+
+
+_CLAIMED = " or ".join(f"contains(low, '{w}')" for w in t.CLAIMS)
+_VIEW = "case " + " ".join("when " + " or ".join(f"list_contains(tags, '{n}')" for n in names) + f" then '{view}'" for names, view in retrieval.VIEWS) + " else 'guide' end"
+
+
+@query(f"""with {FOUND}, told as (select *, trim(regexp_replace(text, '\\s+', ' ', 'g')) as bare from tagged),
+says as (select *, trim(coalesce(nullif(regexp_extract(bare, '^(.{{80,360}}?[.!?])\\s', 1), ''), left(bare, 360))) as said from told),
+best as (select question, list(said order by rank) as said, string_agg('[' || rank || '] ' || source || ' (' || lang || ')', '; ' order by rank) as citations, flatten(list(tags order by rank)) as tags from found join says on doc_id = id group by 1),
+topics as (select question, list(tag order by place) as tags from (select question, tag, min(place) as place from (select question, unnest(tags) as tag, generate_subscripts(tags, 1) as place from best) group by 1, 2) group by 1),
+claims as (select item_id as question, {_CLAIMED} as claims from (select item_id, lower(strip_accents(text)) as low from items))
+select b.question, not claims as in_scope, case when not claims then said[1] end as opening, citations, array_to_string(t.tags[1:8], ',') as topics, {_VIEW.replace('list_contains(tags', 'list_contains(t.tags')} as view from best b join topics t using (question) join claims using (question)""")
+def benchmark_replies(spark, sf_dir):
+    """What is said to every item of ``benchmark``: opening, citations, topics and the view that shows more."""
+    rows, questions = chunks(spark, sf_dir), _questions(spark, sf_dir)
+    return retrieval.replies(rows, questions, retrieval.answers(retrieval.index(rows), rows, questions))
 
 
 @query("""with s as (select text, url from (select html as text, url from pages)) select 'html' as "column", count(*) filter (where regexp_matches(text, '[ACGTN]{80,}')) as long_runs, count(*) filter (where regexp_matches(text, '(?m)^>[^\\n]*\\n[ACGTUN]{4}')) as fasta_like from s

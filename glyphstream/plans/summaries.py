@@ -73,19 +73,28 @@ def bootstrap_enrichment(spark, sf_dir):
     return rows.withColumn("rank", F.row_number().over(place)).where("rank <= 5").select("replicate", "lang", "rank", "token", r6("ratio", "ratio"))
 
 
-LABELS = [(1, "Europe / France", "6B.1A.5a", "2019-03-01"), (2, " Asia/ ", "3C.2a1b.2", "2008"), (3, "", "unassigned", "n/a"), (4, None, None, None), (5, "Africa/Ghana/Accra", "1.2.3", "1999-12")]
-VALUES = ", ".join(f"({a}, {', '.join('null' if x is None else repr(x) for x in r)})" for a, *r in LABELS)
-
-
-@query(f"""with l(id, place, clade, day) as (values {VALUES}), p as (select *, list_filter(list_transform(string_split(place, '/'), lambda x: trim(x)), lambda x: x <> '') as parts from l)
-select id::int as id, parts[1] as continent, parts[2] as country,
+@query("""with o as (select o_custkey, min(o_orderdate)::date::varchar as day from orders group by 1),
+l as (select c_custkey as id, case when c_custkey % 9 > 0 then r_name || ' / ' || n_name || '/' || case when c_custkey % 4 > 0 then c_mktsegment else ' ' end end as place,
+case c_custkey % 6 when 1 then ' Unassigned' when 2 then '6B.1A.' || c_nationkey when 3 then '3C.2a1b.' || c_nationkey when 4 then c_nationkey || '.' || c_custkey % 10 || '.' || c_custkey when 5 then c_mktsegment end as clade, day
+from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey left join o on o_custkey = c_custkey),
+p as (select *, list_filter(list_transform(string_split(place, '/'), lambda x: trim(x)), lambda x: x <> '') as parts from l)
+select id, parts[1] as continent, parts[2] as country, parts[3] as place,
 case when clade is null or lower(trim(clade)) in ('', 'nan', 'none') then null when lower(trim(clade)) = 'unassigned' then 'unassigned' when starts_with(trim(clade), '6B.1A') then '6B.1A' when starts_with(trim(clade), '3C.2a1b') then '3C.2a1b' else array_to_string(string_split(trim(clade), '.')[1:2], '.') end as clade,
-coalesce(nullif(regexp_extract(day, '^([0-9]{{4}})', 1), '')::int, -1) as year from p""")
+coalesce(nullif(regexp_extract(day, '^([0-9]{4})', 1), '')::int, -1) as year from p""")
 def record_labels(spark, sf_dir):
-    """Places, clades and years of records, as a metadata scan derives them."""
-    rows = spark.createDataFrame(LABELS, "id int, place string, clade string, day string")
-    parts = t.location_parts(F.col("place"))
-    return rows.select("id", F.get(parts, F.lit(0)).alias("continent"), F.get(parts, F.lit(1)).alias("country"), t.major_clade(F.col("clade")).alias("clade"), F.coalesce(t.leading_year(F.col("day")), F.lit(-1)).alias("year"))
+    """Places, clades and years of records, as a metadata scan derives them, for customers: a path of region, nation and segment, a dotted label, the first order's date."""
+    c, n, r, o = (table(spark, sf_dir, x) for x in ("customer", "nation", "region", "orders"))
+    first = o.groupBy("o_custkey").agg(F.min("o_orderdate").cast("date").cast("string").alias("day"))
+    rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).join(first, F.col("o_custkey") == F.col("c_custkey"), "left")
+    i, nation = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    place = F.when(i % 9 > 0, F.concat("r_name", F.lit(" / "), "n_name", F.lit("/"), F.when(i % 4 > 0, F.col("c_mktsegment")).otherwise(F.lit(" "))))
+    labels = {1: F.lit(" Unassigned"), 2: F.concat(F.lit("6B.1A."), nation), 3: F.concat(F.lit("3C.2a1b."), nation), 4: F.concat_ws(".", nation, i % 10, i), 5: F.col("c_mktsegment")}
+    clade = F
+    for left, label in labels.items():
+        clade = clade.when(i % 6 == left, label)
+    parts = t.location_parts(place)
+    at = lambda k: F.get(parts, F.lit(k))
+    return rows.select(i.alias("id"), at(0).alias("continent"), at(1).alias("country"), at(2).alias("place"), t.major_clade(clade).alias("clade"), F.coalesce(t.leading_year(F.col("day")), F.lit(-1)).alias("year"))
 
 
 @query("""select o_orderstatus as status, case when year(o_orderdate) <= 1996 then '<=1996' when year(o_orderdate) <= 1998 then '<=1998' when year(o_orderdate) <= 2000 then '<=2000' when o_orderdate is not null then '>2000' else 'unknown' end as bin, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by 1, 2""")

@@ -88,6 +88,22 @@ def skew_join(left: DataFrame, right: DataFrame, key: list[str], size: str | Non
     return left.join(F.broadcast(right.join(hot, key, "left_semi")), key).unionByName(left.join(hot, key, "left_anti").join(right.join(hot, key, "left_anti"), key))
 
 
+def many_join(left: DataFrame, right: DataFrame, key: list[str], part: int = 50_000) -> DataFrame:
+    """Inner join of ``left`` with a narrower ``right``, both of which may hold a key often.
+
+    Rows of ``left`` whose key it holds more than ``part`` times are dealt out in parts of that size by a hash of the whole row, and the key's
+    rows of ``right`` go to each part, so no task joins more than ``part`` rows of one key. Null keys never match.
+    """
+    sizes = left.groupBy(*key).agg(F.count("*").alias("__n")).where(F.col("__n") > part)
+    large = materialize(sizes.select(*key, F.ceil(F.col("__n") / part).cast("int").alias("__parts")), "large")
+    if not large.limit(1).count():
+        return left.join(right, key)
+    large, parts = broadcast_if_small(large), F.coalesce("__parts", F.lit(1))
+    dealt = left.join(large, key, "left").withColumn("__part", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("__parts")
+    every = right.join(large, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt.join(every, [*key, "__part"]).drop("__part")
+
+
 def ranked(df: DataFrame, order: list[str], group: list[str] | None = None, name: str = "rank") -> DataFrame:
     """``df`` with the exact rank from 0 of each row by ``order`` (within ``group``), without one task for all rows.
 
