@@ -147,3 +147,25 @@ def rescued(df: DataFrame, seq_col: str = "s", rules: Rescue = Rescue()) -> Data
         trim("left").alias("trim_left"), trim("right").alias("trim_right"),
         F.when(used, F.col("__n") - trim("left") - trim("right")).alias("refined_length"),
     )
+
+
+def refined(df: DataFrame, key: str, seq_col: str = "s", rules: Rescue = Rescue()) -> DataFrame:
+    """(key, status, sequence) of the coding sequences that pass as they are or by a trim: without gaps and trimmed."""
+    kept = df.select(key, F.col(seq_col).alias("s"))
+    found = rescued(kept.withColumn("__s0", F.replace(q.cleaned(F.col("s")), F.lit("-"), F.lit(""))), "s", rules).where(F.col("status").isin("strict_pass", "rescued"))
+    return found.select(key, "status", F.substr("__s0", F.col("trim_left") + 1, F.col("refined_length").cast("int")).alias("sequence"))
+
+
+def reliable_counts(df: DataFrame, id_cols: list[str], seq_col: str = "s") -> DataFrame:
+    """(ids, ``reliable``, ``counts`` map of codon to number) of every row; sequences whose translation isn't reliable count nothing.
+
+    Counted in the row itself: codons are split, sorted and counted without an exchange. Null sequences aren't reliable.
+    """
+    s = F.coalesce(F.col(seq_col), F.lit(""))
+    ok = quality(s)[-1]
+    rows = df.select(*id_cols, F.coalesce(ok, F.lit(False)).alias("reliable"), s.alias("__s"))
+    each = F.when(F.col("reliable"), F.filter(q.stepped(F.col("__s"), 3), lambda c: c.rlike("^[ACGT]{3}$"))).otherwise(F.array().cast("array<string>"))
+    laid = rows.select(*id_cols, "reliable", F.array_sort(each).alias("__c"))
+    last = lambda c: F.size(F.filter("__c", lambda x: x == c))
+    counts = F.map_from_entries(F.transform(F.array_distinct("__c"), lambda c: F.struct(c, last(c))))  # 64 different codons at most
+    return laid.select(*id_cols, "reliable", counts.alias("counts"))

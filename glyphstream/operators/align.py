@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphstream.functions import codon, sequence as q
+from glyphstream.runtime import broadcast_if_small, materialize
 
 
 def residue_signals(df: DataFrame, group: list[str], seq_col: str) -> DataFrame:
@@ -157,3 +158,30 @@ def mapped_signals(maps: DataFrame, signals: DataFrame, group: str, key: str) ->
     """Aligned positions of each row joined to the signals of their group and position, misses kept."""
     each = maps.select(key, group, F.explode(F.arrays_zip("a_at", "b_at")).alias("p")).select(key, group, F.col("p.a_at").alias("structure_at"), F.col("p.b_at").alias("at"))
     return each.join(signals, [group, "at"], "left")
+
+
+ENTRY = ["structure", "entity", "chains", "subtype", "protein"]
+
+
+def structure_tables(entries: DataFrame, consensus_: DataFrame, signals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Quality rows and mapped positions of structure entries (``ENTRY`` and ``sequence``), each against its own group's consensus.
+
+    ``consensus_`` has (subtype, protein, consensus), ``signals`` (subtype, protein, group, at, ...) with positions from 1. Every entry has a quality row: lengths,
+    identity (null where nothing is mapped), mapped positions, both coverages, the first and last local position, and a status;
+    one without consensus or sequence is ``unmapped``. A mapped position has both indexes, from 1, and the signals that subtype, protein, group and
+    position name, null where there are none. Pairs of an entry and a consensus are aligned in tasks, a string of each at a time.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    pairs = entries.join(broadcast_if_small(consensus_), ["subtype", "protein"], "left").select(*ENTRY, text("sequence").alias("sequence"), text("consensus").alias("consensus"))
+    pairs = materialize(pairs.withColumn("pair", F.to_json(F.struct(*ENTRY), {"ignoreNullFields": "false"})), "pairs")
+    found = materialize(aligned(pairs, "pair", "consensus", "sequence"), "aligned")
+    both, n = pairs.join(found, "pair"), F.size("a_at").cast("long")
+    some = lambda c: F.when(n > 0, c)
+    qc = both.select(
+        *ENTRY, F.length("sequence").cast("long").alias("structure_length"), F.length("consensus").cast("long").alias("consensus_length"), some(F.col("identity")).alias("identity"), n.alias("n_mapped"),
+        F.coalesce(F.try_divide(n, F.length("sequence")), F.lit(0.0)).alias("coverage_structure"), F.coalesce(F.try_divide(n, F.length("consensus")), F.lit(0.0)).alias("coverage_local"),
+        some(F.array_min("a_at") + 1).cast("long").alias("local_start"), some(F.array_max("a_at") + 1).cast("long").alias("local_end"), F.when(n > 0, "alignment_qc_available").otherwise("unmapped").alias("status"),
+    )
+    each = both.select(*ENTRY, F.concat_ws("-", "protein", "subtype").alias("group"), F.explode(F.arrays_zip("a_at", "b_at")).alias("p"))
+    each = each.select(*ENTRY, "group", (F.col("p.a_at") + 1).alias("at"), (F.col("p.b_at") + 1).alias("structure_at"))
+    return qc, each.join(broadcast_if_small(signals), ["subtype", "protein", "group", "at"], "left")

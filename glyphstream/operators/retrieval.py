@@ -128,16 +128,23 @@ def guard(df: DataFrame, forbidden: set[str], longest: int = 80) -> DataFrame:
     """
     if leaked := sorted(forbidden & set(df.columns)):
         raise ValueError(f"forbidden columns in an export: {leaked}")
-    strings = [c for c, kind in df.dtypes if kind == "string" or "struct" in kind or "array" in kind or "map" in kind]
-    seen = [F.col(c) if dict(df.dtypes)[c] == "string" else F.to_json(F.col(c)) for c in strings]
-    sums = [F.count_if(s.rlike(f"[ACGTN]{{{longest},}}")).alias(f"{c}__run") for s, c in zip(seen, strings)] + [F.count_if(s.rlike(FASTA_LIKE)).alias(f"{c}__fasta") for s, c in zip(seen, strings)]
-    if not strings:
+    sums = guard_sums(df, longest)
+    if not sums:
         return df.sparkSession.createDataFrame([], "column string, long_runs long, fasta_like long")
-    one = df.agg(*sums)
+    one = df.agg(*(s.alias(label) for label, s in sums.items()))
+    strings = dict.fromkeys(label.rsplit("__", 1)[0] for label in sums)
     rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"{c}__run").alias("long_runs"), F.col(f"{c}__fasta").alias("fasta_like")) for c in strings))
     return one.select(F.inline(rows))
 
 
+def guard_sums(df: DataFrame, longest: int = 80) -> dict[str, Column]:
+    """Aggregates that count long symbol runs (``<column>__run``) and FASTA headers (``<column>__fasta``) in every column of text; nested values as their JSON."""
+    kinds = {c: kind for c, kind in df.dtypes if kind == "string" or "struct" in kind or "array" in kind or "map" in kind}
+    seen = {c: F.col(c) if kind == "string" else F.to_json(F.col(c)) for c, kind in kinds.items()}
+    runs = {f"{c}__run": F.count_if(x.rlike(f"[ACGTN]{{{longest},}}")) for c, x in seen.items()}
+    return runs | {f"{c}__fasta": F.count_if(x.rlike(FASTA_LIKE)) for c, x in seen.items()}
+
+
 def require_safe(df: DataFrame, forbidden: set[str], longest: int = 80) -> DataFrame:
     """``df`` itself, or an error if the guard finds anything."""
     if bad := guard(df, forbidden, longest).where("long_runs > 0 or fasta_like > 0").collect():

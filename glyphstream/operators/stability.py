@@ -14,6 +14,10 @@ from glyphstream.operators import quantiles, tokens
 from glyphstream.runtime import ranked
 
 
+#: Replicates that one task draws: so many times less is the distribution copied.
+TOGETHER = 20
+
+
 def drawn(size: Column, *keys: Column) -> Column:
     """A number from 1 to ``size``, from 12 hex digits of a SHA-256 of the keys."""
     digest = F.sha2(F.concat_ws("|", *(k.cast("string") for k in keys)), 256)
@@ -45,19 +49,23 @@ def interval(df: DataFrame, group: list[str], value: str) -> DataFrame:
 def resampled_counts(dist: DataFrame, group: str, replicates: int, cap: int, seed: int) -> DataFrame:
     """(replicate, group, token, n): multinomial redraws of each group's counts, min(total, cap) tokens each.
 
-    One task per group and replicate holds the group's vocabulary, which the
-    token length bounds; the seed is a hash of both.
+    A task holds one group's vocabulary, which the token length bounds, and draws ``TOGETHER`` replicates of it; the seed
+    of each is a hash of group and replicate.
     """
-    spread = dist.select(group, "token", "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    parts = -(-replicates // TOGETHER)
+    spread = dist.select(group, "token", "n", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
 
     def redraw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("token")
-        own = int.from_bytes(sha256(f"{seed}|{key[0]}|{key[1]}".encode()).digest()[:8], "little")
-        total = int(rows.n.sum())
-        n = np.random.default_rng(own).multinomial(min(total, cap), rows.n.to_numpy(float) / total)
-        return pd.DataFrame({"replicate": key[1], group: key[0], "token": rows.token.to_numpy(), "n": n})[lambda d: d.n > 0]
-
-    return spread.groupBy(group, "replicate").applyInPandas(redraw, f"replicate int, {group} string, token string, n long")
+        total, names, share = int(rows.n.sum()), rows.token.to_numpy(), rows.n.to_numpy(float)
+        out = []
+        for replicate in range(key[1] * TOGETHER + 1, min((key[1] + 1) * TOGETHER, replicates) + 1):
+            own = int.from_bytes(sha256(f"{seed}|{key[0]}|{replicate}".encode()).digest()[:8], "little")
+            n = np.random.default_rng(own).multinomial(min(total, cap), share / total)
+            out.append(pd.DataFrame({"replicate": replicate, group: key[0], "token": names[n > 0], "n": n[n > 0]}))
+        return pd.concat(out)
+
+    return spread.groupBy(group, "part").applyInPandas(redraw, f"replicate int, {group} string, token string, n long")
 
 
 def bootstrap_divergence(dist: DataFrame, group: str, replicates: int, cap: int, seed: int) -> DataFrame:

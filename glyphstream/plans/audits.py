@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphstream.functions import codon, sequence as q, text as t
-from glyphstream.operators import features, panels, stability, tokens
+from glyphstream.operators import features, panels, quantiles, stability, tokens
 from glyphstream.plans.queries import AMBIGUOUS, CODE, DRAWN_ROWS, DRAWN_TOKENS, ORACLE_SQL, REPLICATES, SEQ, _codons, kmer_matrix, query, r6, sequences
 from glyphstream.runtime import materialize, table
 
@@ -134,11 +134,13 @@ def length_quality(spark, sf_dir):
     frames = _named({"valid": rows.where("passes"), **phase_panels(rows)}, "panel")
     part = lambda p: F.struct(F.lit(p).alias("segment"), F.col(f"{p}_length").alias("size"), F.col(f"{p}_ambiguous").alias("unclear"), F.col(f"{p}_invalid").alias("invalid"), F.col(f"{p}_passes").alias("ok"))
     long = frames.select("panel", "subtype", F.inline(F.array(*map(part, BOUNDS))))
-    return long.groupBy("panel", "subtype", "segment").agg(
-        F.count("*").alias("n"), F.min("size").alias("shortest"), F.round(F.percentile("size", F.lit(0.05)), 6).alias("p05"), F.round(F.median("size"), 6).alias("median"), F.round(F.avg("size"), 6).alias("mean"),
-        F.round(F.percentile("size", F.lit(0.95)), 6).alias("p95"), F.max("size").alias("longest"), F.count_if(F.col("unclear") > 0).alias("n_unclear"), F.round(F.avg("unclear"), 6).alias("mean_unclear"),
-        F.count_if(F.col("invalid") > 0).alias("n_invalid"), F.count_if("ok").alias("n_pass"),
+    long, key = materialize(long, "lengths"), ["panel", "subtype", "segment"]
+    stats = long.groupBy(*key).agg(
+        F.count("*").alias("n"), F.min("size").alias("shortest"), F.round(F.avg("size"), 6).alias("mean"), F.max("size").alias("longest"), F.count_if(F.col("unclear") > 0).alias("n_unclear"),
+        F.round(F.avg("unclear"), 6).alias("mean_unclear"), F.count_if(F.col("invalid") > 0).alias("n_invalid"), F.count_if("ok").alias("n_pass"),
     )
+    ends = quantiles.exact(long, key, "size", {"p05": 0.05, "median": 0.5, "p95": 0.95})
+    return quantiles.beside(stats, ends, key).withColumns({c: F.round(c, 6) for c in ("p05", "median", "p95")})
 
 
 RECORDS = f"""{SEQ}, records as (select doc_id, s, case when doc_id % 5 = 0 then 'seg ha h1n1' when doc_id % 5 = 1 then 'Neuraminidases of H3N2' when doc_id % 5 = 2 then 'na h5n1x' when doc_id % 5 = 3 then 'than hay' else source end as description from seq),
@@ -219,11 +221,14 @@ def tokenizer_summary(spark, sf_dir):
 {', '.join(f'round(avg({c}), 6) as mean_{c}, round(median({c}), 6) as median_{c}' for c in ('cg', 'ta', 'crossing'))} from audit group by 1, 2""")
 def token_group_summary(spark, sf_dir):
     """Entropy, CG and TA shares and boundary crossings of each tokenizer and group."""
-    more = [f(c).alias(f"{n}_{c}") for c in ("cg", "ta", "crossing") for n, f in (("mean", lambda c: F.round(F.avg(c), 6)), ("median", lambda c: F.round(F.median(c), 6)))]
-    return audit(spark, sf_dir).groupBy("tokenizer", "lang").agg(
-        F.countDistinct("doc_id").alias("n_sequences"), F.round(F.avg("entropy"), 6).alias("mean_entropy"), F.round(F.median("entropy"), 6).alias("median_entropy"), F.round(F.stddev_samp("entropy"), 6).alias("sd_entropy"),
-        F.round(F.avg("effective_vocabulary"), 6).alias("mean_effective_vocabulary"), *more,
+    rows, key, measured = materialize(audit(spark, sf_dir), "audit"), ["tokenizer", "lang"], ["entropy", "cg", "ta", "crossing"]
+    stats = rows.groupBy(*key).agg(
+        F.countDistinct("doc_id").alias("n_sequences"), F.round(F.stddev_samp("entropy"), 6).alias("sd_entropy"),
+        *(F.round(F.avg(c), 6).alias(f"mean_{c}") for c in (*measured, "effective_vocabulary")),
     )
+    middle = quantiles.exact(rows.select(*key, *(F.col(c).cast("double").alias(c) for c in measured)).unpivot(key, measured, "metric", "value"), [*key, "metric"], "value", {"m": 0.5})
+    middle = middle.groupBy(*key).agg(*(F.max(F.when(F.col("metric") == c, F.round("m", 6))).alias(f"median_{c}") for c in measured))
+    return quantiles.beside(stats, middle, key)
 
 
 @query()
@@ -298,7 +303,9 @@ def feature_entropy(spark, sf_dir):
     """Entropy of the rows of a k-mer matrix, by group."""
     m = materialize(kmer_matrix(spark, sf_dir), "matrix")
     h = features.row_entropy(m.select("doc_id", "feature", "value"), "doc_id").join(m.select("doc_id", "lang").distinct(), "doc_id")
-    return h.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("entropy"), 6).alias("mean"), F.round(F.median("entropy"), 6).alias("median"))
+    h = materialize(h.select("lang", "entropy"), "entropies")
+    stats = h.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("entropy"), 6).alias("mean"))
+    return quantiles.beside(stats, quantiles.exact(h, ["lang"], "entropy", {"median": 0.5}), ["lang"]).withColumn("median", F.round("median", 6))
 
 
 @query("""with c as (select label, i, avg(x) as x from (select label, unnest(embedding)::double as x, unnest(range(0, len(embedding))) as i from embeddings) group by 1, 2)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from glyphstream.functions import codon, sequence as q
 from glyphstream.operators import features, quantiles, sparse, tokens
 from glyphstream.operators.panels import stratified_sample
-from glyphstream.plans.queries import AMBIGUOUS, CODE, SEQ, _codons, query, r6, sequences
+from glyphstream.plans.queries import AMBIGUOUS, CODE, FULL_CODE, ORACLE_SQL, SEQ, _codons, query, r6, sequences
 from glyphstream.runtime import materialize, shared_dir, table
 
 #: Axes of a map, points of a map and points of a silhouette: the reference's sizes.
@@ -155,6 +155,28 @@ def codon_matrix_dense(spark, sf_dir):
     return rows.select("doc_id", F.posexplode("vector").alias("at", "value")).select("doc_id", "at", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
+_GATE = "case when length(amino) <= 1 then 0 else length(amino[1 : length(amino) - 1]) - length(replace(amino[1 : length(amino) - 1], '*', '')) end"
+_COUNTED = ", ".join(f"coalesce(max(n) filter (where codon = '{c}'), 0)" for c in sparse.ALL_CODONS)
+
+
+@query(f"""with {SEQ}, r as ({ORACLE_SQL["coding_rescue"]}), b as (select doc_id, replace(s, '-', '') as s from seq),
+v as (select doc_id, 'raw' as variant, 'raw' as status, s from seq union all select doc_id, 'refined', status, substr(b.s, trim_left + 1, refined_length) from r join b using (doc_id) where status in ('strict_pass', 'rescued')),
+{FULL_CODE}, x as (select doc_id, variant, i, s[3 * i + 1 : 3 * i + 3] as codon from (select *, unnest(range(0, length(s) // 3)) as i from v)),
+aa as (select doc_id, variant, string_agg(coalesce(amino, 'X'), '' order by i) as amino from x left join full_code f on f.codon = x.codon group by 1, 2),
+g as (select v.*, length(s) % 3 = 0 and length(s) > 0 and length(translate(s, 'ACGT', '')) = 0 and {_GATE} = 0 as reliable from (select v.*, coalesce(amino, '') as amino from v left join aa on aa.doc_id = v.doc_id and aa.variant = v.variant) v),
+n as (select doc_id, variant, codon, count(*) as n from x where regexp_full_match(codon, '[ACGT]+') group by 1, 2, 3),
+c as (select g.doc_id, g.variant, status, reliable, sum(n) as n_codons, concat_ws(',', {_COUNTED}) as counts from g left join n on g.reliable and n.doc_id = g.doc_id and n.variant = g.variant group by 1, 2, 3, 4)
+select doc_id, variant, status, reliable, coalesce(n_codons, 0)::bigint as n_codons, counts from c""")
+def reliable_codon_metrics(spark, sf_dir):
+    """Counts of the 64 codons of whole sequences and of refined ones, none where the translation isn't reliable."""
+    rows = sequences(spark, sf_dir).select("doc_id", "s")
+    raw = rows.select("doc_id", F.lit("raw").alias("variant"), F.lit("raw").alias("status"), "s")
+    mended = codon.refined(rows, "doc_id").select("doc_id", F.lit("refined").alias("variant"), "status", F.col("sequence").alias("s"))
+    got = codon.reliable_counts(raw.unionByName(mended), ["doc_id", "variant", "status"])
+    of = [F.coalesce(F.try_element_at("counts", F.lit(c)), F.lit(0)) for c in sparse.ALL_CODONS]
+    return got.select("doc_id", "variant", "status", "reliable", reduce(lambda a, b: a + b, of).cast("long").alias("n_codons"), F.concat_ws(",", *of).alias("counts"))
+
+
 # Profiles of all lengths from one pass
 
 KS = [3, 4, 5, 6]

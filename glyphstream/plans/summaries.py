@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import partial, reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphstream.functions import codon, sequence as q, text as t
 from glyphstream.operators import panels, retrieval, stability, tokens
-from glyphstream.plans.queries import AMBIGUOUS, DIST, DRAWN_TOKENS, ORACLE_SQL, REPLICATES, SEQ, TRANSLATED, _codons, _dist, _overlap, query, r6, sequences
-from glyphstream.runtime import table
+from glyphstream.plans.queries import AMBIGUOUS, DIST, DRAWN_TOKENS, ORACLE_SQL, QUERIES, REPLICATES, SEQ, TRANSLATED, _codons, _dist, _overlap, query, r6, sequences
+from glyphstream.runtime import shared_dir, table
+from glyphstream.sources.catalogue import Catalogue
 
 WORST = "case when length(amino) <= 1 then 0 else length(amino[1 : length(amino) - 1]) - length(replace(amino[1 : length(amino) - 1], '*', '')) end"
 QUALITY = f"{TRANSLATED}, aa as (select doc_id, string_agg(amino, '' order by i) as amino from ct group by 1), v as (select lang, s, coalesce(amino, '') as amino from seq left join aa using (doc_id)), w as (select lang, length(s) as n, length(translate(s, 'ACGT', '')) > 0 as ambiguous, {WORST} as stops from v)"
@@ -201,12 +205,37 @@ def composed(question: str, chunks: DataFrame, top: int = 4) -> str:
     return "\n".join([opening, *(f"- {r.s} [{i}] {r.title} ({r.section})" for i, r in enumerate(rows, 1)), f"See: {hint}"])
 
 
+#: The exported views by the queries they come from.
+VIEWS = {
+    "overview": "panel_rollup", "metrics": "metric_summary", "tokenization": "tokenizer_audit", "stability": "bootstrap_interval", "latent": "latent_points",
+    "distances": "js_distance_k3", "catalog": "metadata_coverage", "atlas": "geographic_atlas", "temporal": "temporal_counts", "tokens": "top_tokens",
+}
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
+    """The allow-list of views over these tables."""
+    return Catalogue({name: partial(QUERIES[q_], spark, sf_dir) for name, q_ in VIEWS.items()}, frozenset({"s", "sequence", "text", "raw_sequence", "refined_sequence"}))
+
+
 def bundle(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The guarded export: named aggregate tables, each refused if it holds sequences or long symbol runs."""
-    from glyphstream.plans.queries import QUERIES
-
-    views = {
-        "overview": "panel_rollup", "metrics": "metric_summary", "tokenization": "tokenizer_audit", "stability": "bootstrap_interval", "latent": "latent_points",
-        "distances": "js_distance_k3", "catalog": "metadata_coverage", "atlas": "geographic_atlas", "temporal": "temporal_counts",
-    }
-    return {name: retrieval.require_safe(QUERIES[v](spark, sf_dir), {"s", "sequence", "text"}) for name, v in views.items()}
+    """The guarded export: named aggregate tables, each refused if it holds sequences, long symbol runs or long tokens."""
+    views = catalogue(spark, sf_dir)
+    return {name: retrieval.require_safe(_short(views.view(name)), set(views.forbidden)) for name in VIEWS}
+
+
+def _short(df: DataFrame) -> DataFrame:
+    return retrieval.require_short_tokens(df) if "token" in df.columns else df
+
+
+@query(" union all ".join(f"""select '{name}' as "view", count(*) as n_rows, {'max(length(token))' if name == 'tokens' else 'null::bigint'} as longest_token from ({ORACLE_SQL[q_]})""" for name, q_ in VIEWS.items()))
+def catalogue_contents(spark, sf_dir):
+    """Rows and longest tokens of every view of the catalogue, exported and read again."""
+    path = f"{shared_dir(spark)}/glyphstream/{spark.sparkContext.applicationId}/catalogue-{uuid.uuid4().hex}"
+    views = catalogue(spark, sf_dir)
+    views.export(path)
+    counts = []
+    for name in VIEWS:
+        rows = views.load(spark, path, name)
+        longest = F.max(F.length("token")) if "token" in rows.columns else F.lit(None)
+        counts.append(rows.agg(F.lit(name).alias("view"), F.count("*").alias("n_rows"), longest.cast("long").alias("longest_token")))
+    return reduce(DataFrame.unionByName, counts)
