@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphstream.functions import sequence as q
+from glyphstream.runtime import materialize
 
 #: Fixed value: the standard genetic code, codons in the order of bases T, C, A, G.
 AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -152,7 +153,8 @@ def rescued(df: DataFrame, seq_col: str = "s", rules: Rescue = Rescue()) -> Data
 def refined(df: DataFrame, key: str, seq_col: str = "s", rules: Rescue = Rescue()) -> DataFrame:
     """(key, status, sequence) of the coding sequences that pass as they are or by a trim: without gaps and trimmed."""
     kept = df.select(key, F.col(seq_col).alias("s"))
-    found = rescued(kept.withColumn("__s0", F.replace(q.cleaned(F.col("s")), F.lit("-"), F.lit(""))), "s", rules).where(F.col("status").isin("strict_pass", "rescued"))
+    found = rescued(kept.withColumn("__s0", F.replace(q.cleaned(F.col("s")), F.lit("-"), F.lit(""))), "s", rules)
+    found = materialize(found, "rescued").where(F.col("status").isin("strict_pass", "rescued"))  # a filter before would translate again
     return found.select(key, "status", F.substr("__s0", F.col("trim_left") + 1, F.col("refined_length").cast("int")).alias("sequence"))
 
 

@@ -172,9 +172,11 @@ def reliable_codon_metrics(spark, sf_dir):
     rows = sequences(spark, sf_dir).select("doc_id", "s")
     raw = rows.select("doc_id", F.lit("raw").alias("variant"), F.lit("raw").alias("status"), "s")
     mended = codon.refined(rows, "doc_id").select("doc_id", F.lit("refined").alias("variant"), "status", F.col("sequence").alias("s"))
-    got = codon.reliable_counts(raw.unionByName(mended), ["doc_id", "variant", "status"])
-    of = [F.coalesce(F.try_element_at("counts", F.lit(c)), F.lit(0)) for c in sparse.ALL_CODONS]
-    return got.select("doc_id", "variant", "status", "reliable", reduce(lambda a, b: a + b, of).cast("long").alias("n_codons"), F.concat_ws(",", *of).alias("counts"))
+    got = codon.reliable_counts(materialize(raw.unionByName(mended), "variants"), ["doc_id", "variant", "status"])
+    in_order = lambda m: F.transform(F.array(*map(F.lit, sparse.ALL_CODONS)), lambda c: F.coalesce(F.try_element_at(m, c), F.lit(0)))
+    listed = F.get(F.transform(F.array("counts"), in_order), F.lit(0))  # the map is made once a row
+    got = got.select("doc_id", "variant", "status", "reliable", F.struct(listed.alias("all")).alias("of"))
+    return got.select("doc_id", "variant", "status", "reliable", F.aggregate("of.all", F.lit(0).cast("long"), lambda a, b: a + b).alias("n_codons"), F.array_join(F.transform("of.all", lambda n: n.cast("string")), ",").alias("counts"))
 
 
 # Profiles of all lengths from one pass
