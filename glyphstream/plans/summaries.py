@@ -205,16 +205,17 @@ def composed(question: str, chunks: DataFrame, top: int = 4) -> str:
     return "\n".join([opening, *(f"- {r.s} [{i}] {r.title} ({r.section})" for i, r in enumerate(rows, 1)), f"See: {hint}"])
 
 
-#: The exported views by the queries they come from.
+#: The views of the bundle by the queries they come from, and those of the catalogue.
 VIEWS = {
     "overview": "panel_rollup", "metrics": "metric_summary", "tokenization": "tokenizer_audit", "stability": "bootstrap_interval", "latent": "latent_points",
-    "distances": "js_distance_k3", "catalog": "metadata_coverage", "atlas": "geographic_atlas", "temporal": "temporal_counts", "tokens": "top_tokens",
+    "distances": "js_distance_k3", "catalog": "metadata_coverage", "atlas": "geographic_atlas", "temporal": "temporal_counts",
 }
+LISTED = VIEWS | {"tokens": "top_tokens"}
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
     """The allow-list of views over these tables."""
-    return Catalogue({name: partial(QUERIES[q_], spark, sf_dir) for name, q_ in VIEWS.items()}, frozenset({"s", "sequence", "text", "raw_sequence", "refined_sequence"}))
+    return Catalogue({name: partial(QUERIES[q_], spark, sf_dir) for name, q_ in LISTED.items()}, frozenset({"s", "sequence", "text", "raw_sequence", "refined_sequence"}))
 
 
 def bundle(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -227,14 +228,14 @@ def _short(df: DataFrame) -> DataFrame:
     return retrieval.require_short_tokens(df) if "token" in df.columns else df
 
 
-@query(" union all ".join(f"""select '{name}' as "view", count(*) as n_rows, {'max(length(token))' if name == 'tokens' else 'null::bigint'} as longest_token from ({ORACLE_SQL[q_]})""" for name, q_ in VIEWS.items()))
+@query(" union all ".join(f"""select '{name}' as "view", count(*) as n_rows, {'max(length(token))' if name == 'tokens' else 'null::bigint'} as longest_token from ({ORACLE_SQL[q_]})""" for name, q_ in LISTED.items()))
 def catalogue_contents(spark, sf_dir):
     """Rows and longest tokens of every view of the catalogue, exported and read again."""
     path = f"{shared_dir(spark)}/glyphstream/{spark.sparkContext.applicationId}/catalogue-{uuid.uuid4().hex}"
     views = catalogue(spark, sf_dir)
     views.export(path)
     counts = []
-    for name in VIEWS:
+    for name in LISTED:
         rows = views.load(spark, path, name)
         longest = F.max(F.length("token")) if "token" in rows.columns else F.lit(None)
         counts.append(rows.agg(F.lit(name).alias("view"), F.count("*").alias("n_rows"), longest.cast("long").alias("longest_token")))
