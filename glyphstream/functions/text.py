@@ -120,9 +120,13 @@ def guide_text(markdown: Column) -> Column:
 def topics(*texts: Column) -> Column:
     """Topics one of whose words the texts (title, text, source) hold; ``project`` if none."""
     low = F.lower(F.concat_ws(" ", *(F.coalesce(t, F.lit("")) for t in texts)))
-    hit = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
-    found = F.array_compact(F.array(*(F.when(hit(words), F.lit(name)) for name, words in TOPICS.items())))
-    return F.when(F.size(found) == 0, F.array(F.lit("project"))).otherwise(found)
+
+    def told(low: Column) -> Column:
+        hit = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+        found = F.array_compact(F.array(*(F.when(hit(words), F.lit(name)) for name, words in TOPICS.items())))
+        return F.when(F.size(found) == 0, F.array(F.lit("project"))).otherwise(found)
+
+    return F.get(F.transform(F.array(low), told), F.lit(0))  # bound by a lambda, the text is lowered once and not for every word
 
 
 def sections(markdown: Column, least: int = 80, most: int = 8, size: int = 950) -> Column:
