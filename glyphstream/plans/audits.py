@@ -210,11 +210,10 @@ select audit.tokenizer, mode, k, "offset", observed_vocabulary, count(distinct d
 def tokenizer_summary(spark, sf_dir):
     """Means of each tokenizer, joined with the vocabulary seen in all sequences."""
     rows = audit(spark, sf_dir)
-    seqs = sequences(spark, sf_dir)
-    seen = [tokens.counts(seqs, tokens.CATALOG[n], []).agg(F.count("*").alias("observed_vocabulary")).withColumn("tokenizer", F.lit(n)) for n in SPECS]
+    seen = tokens.group_counts(sequences(spark, sf_dir), [tokens.CATALOG[n] for n in SPECS], []).groupBy("tokenizer").agg(F.count("*").alias("observed_vocabulary"))
     means = [F.round(F.avg(c), 6).alias(f"mean_{n}") for n, c in (("length", "length"), ("tokens", "n_tokens"), ("vocabulary", "vocabulary"), *((c, c) for c in REALS))]
     got = rows.groupBy("tokenizer", "mode", "k", "offset").agg(F.countDistinct("doc_id").alias("n_sequences"), F.sum("n_tokens").alias("total_tokens"), *means)
-    return got.join(reduce(DataFrame.unionByName, seen), "tokenizer", "left")
+    return got.join(seen, "tokenizer", "left")
 
 
 @query(f"""with {TOKENS} select tokenizer, lang, count(distinct doc_id) as n_sequences, round(avg(entropy), 6) as mean_entropy, round(median(entropy), 6) as median_entropy, round(stddev_samp(entropy), 6) as sd_entropy, round(avg(effective_vocabulary), 6) as mean_effective_vocabulary,
@@ -234,10 +233,11 @@ def token_group_summary(spark, sf_dir):
 @query()
 def tokenizer_ranking(spark, sf_dir):
     """Tokenizers by the robustness of their bootstraps: distance, its spread, top tokens, entropy, coverage."""
-    seqs = sequences(spark, sf_dir)
+    counted = tokens.group_counts(sequences(spark, sf_dir), [tokens.CATALOG[n] for n in SPECS], ["lang"])
+    dists = materialize(tokens.distribution(counted, ["tokenizer", "lang"]), "dist")
     parts: dict[str, list[DataFrame]] = {"js": [], "jaccard": []}
     for name in SPECS:
-        dist = materialize(tokens.distribution(tokens.counts(seqs, tokens.CATALOG[name], ["lang"]), ["lang"]), "dist")
+        dist = dists.where(F.col("tokenizer") == name).drop("tokenizer")
         js = stability.bootstrap_divergence(dist, "lang", REPLICATES, DRAWN_TOKENS, 7).groupBy("replicate").agg(F.avg("distance").alias("v"))
         parts["js"].append(stability.interval(js.withColumn("tokenizer", F.lit(name)), ["tokenizer"], "v"))
         top = stability.top_stability(dist, "lang", REPLICATES, DRAWN_TOKENS, 20, 7).withColumn("tokenizer", F.lit(name))
@@ -262,12 +262,19 @@ e as (select doc_id, {', '.join(f"max({c}) filter (where k = {i}) as k{i}_{c}" f
 select m.doc_id, length, ambiguous, gc, w.* exclude (doc_id), e.* exclude (doc_id) from m left join w on w.doc_id = m.doc_id left join e on e.doc_id = m.doc_id""")
 def sequence_metric_rows(spark, sf_dir):
     """One wide row for each sequence: composition, sixteen odds, and profiles of 3 to 5 symbols."""
-    from glyphstream.plans.queries import dinucleotide_odds, kmer_profiles, sequence_composition
-
-    odds = dinucleotide_odds(spark, sf_dir).groupBy("doc_id").agg(*(F.max(F.when(F.col("token") == x, F.col("odds"))).alias(f"odds_{x.lower()}") for x in PAIRS2))
-    profile = lambda i, c: F.max(F.when(F.col("k") == i, F.col(c))).alias(f"k{i}_{c}")
-    profiles = kmer_profiles(spark, sf_dir).groupBy("doc_id").agg(*(profile(i, c) for i in (3, 4, 5) for c in ("n_kmers", "distinct_kmers", "entropy")))
-    return sequence_composition(spark, sf_dir).select("doc_id", "length", "ambiguous", "gc").join(odds, "doc_id", "left").join(profiles, "doc_id", "left")
+    from glyphstream.plans.queries import pair_counts
+
+    s, specs = F.col("s"), [tokens.tokenizer(f"overlap_k{k}") for k in (3, 4, 5)]
+    own = ["doc_id", F.length(s).cast("long").alias("length"), r6(q.ambiguous_fraction(s), "ambiguous"), r6(q.gc_content(s), "gc")]
+    rows = tokens.row_measures(sequences(spark, sf_dir).select(*own, "s", s.alias("whole")), specs, ["doc_id", "length", "ambiguous", "gc", "whole"], letters=q.SYMBOLS)
+    kept = ["doc_id", "length", "ambiguous", "gc", "measures"]
+    rows = pair_counts(rows.withColumnRenamed("whole", "s"), kept)
+    n = F.map_from_arrays("at", "value")
+    rows = rows.select(*kept, "bases", *q.SYMBOLS, "valid_n", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.try_element_at(n, i)).alias("n"))
+    odds = lambda i, x: F.round(F.col("n")[i] * F.col("bases") * F.col("bases") / (F.col("valid_n") * F.col(x[0]) * F.col(x[1])), 9).alias(f"odds_{x.lower()}")
+    of = lambda i, c: F.when(F.col("measures")[i]["n_tokens"] > 0, F.col("measures")[i][c])
+    profile = lambda i, k: [of(i, "n_tokens").alias(f"k{k}_n_kmers"), of(i, "vocabulary").alias(f"k{k}_distinct_kmers"), F.round(of(i, "entropy"), 6).alias(f"k{k}_entropy")]
+    return rows.select("doc_id", "length", "ambiguous", "gc", *(odds(i, x) for i, x in enumerate(PAIRS2)), *(c for i, k in enumerate((3, 4, 5)) for c in profile(i, k)))
 
 
 SENSE = [c for c, a in sorted(codon.CODONS.items()) if a != "*"]

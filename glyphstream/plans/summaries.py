@@ -120,11 +120,11 @@ def latent_points(spark, sf_dir):
 select seq.doc_id, lang, length(s)::bigint as length, round({AMBIGUOUS}, 6) as ambiguous, round((length(s) - length(translate(s, 'GC', ''))) / nullif(length(s) - length(translate(s, 'ACGT', '')), 0)::double, 6) as gc, k3_entropy from seq left join h on h.doc_id = seq.doc_id""")
 def metric_rows(spark, sf_dir):
     """One wide row of metrics for each sequence."""
-    rows, s = sequences(spark, sf_dir), F.col("s")
-    n = tokens.counts(rows, tokens.tokenizer("overlap_k3"), ["doc_id"]).where(F.col("token").rlike("^[ACGT]+$"))
-    h = n.withColumn("h", q.entropy_term(F.col("n") / F.sum("n").over(Window.partitionBy("doc_id")))).groupBy("doc_id").agg(F.round(F.sum("h"), 6).alias("k3_entropy"))
-    own = rows.select("doc_id", "lang", F.length(s).cast("long").alias("length"), r6(q.ambiguous_fraction(s), "ambiguous"), r6(q.gc_content(s), "gc"))
-    return own.join(h, "doc_id", "left")
+    s = F.col("s")
+    own = ["doc_id", "lang", F.length(s).cast("long").alias("length"), r6(q.ambiguous_fraction(s), "ambiguous"), r6(q.gc_content(s), "gc")]
+    kept, m = ["doc_id", "lang", "length", "ambiguous", "gc"], F.col("measures")[0]
+    rows = tokens.row_measures(sequences(spark, sf_dir).select(*own, "s"), [tokens.tokenizer("overlap_k3")], kept, letters=q.SYMBOLS)
+    return rows.select(*kept, F.when(m["n_tokens"] > 0, F.round(m["entropy"], 6)).alias("k3_entropy"))
 
 
 STOPS = ", ".join(f"'{w}'" for w in t.STOP_WORDS)
