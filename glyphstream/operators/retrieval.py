@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphstream.functions import text as t
-from glyphstream.runtime import broadcast_if_small, many_join, materialize
+from glyphstream.runtime import BROADCAST_ROWS, broadcast_if_small, many_join, materialize
 
 
 #: A header line and a line of symbols below it.
@@ -48,12 +48,14 @@ def asked(questions: DataFrame) -> DataFrame:
 def answers(held: DataFrame, chunks: DataFrame, questions: DataFrame, top: int = 4) -> DataFrame:
     """(``question``, ``rank``, ``id``, ``score``): the top chunks of each question with a positive score, by score, ties by id.
 
-    A question that no chunk meets gets the first chunks by id, with score 0; one under four characters gets none. Questions and
-    postings are joined by term, a frequent term in parts; weights are added up before the exchange, and no task ranks more than
-    ``top`` chunks of a part.
+    A question that no chunk meets gets the first chunks by id, with score 0; one under four characters gets none. ``held`` are postings, stored
+    or as they are made: few terms are sent to where postings are, so those of other terms go no further than their task, and
+    many are joined by term, a frequent one in parts. Weights are added up before the exchange, and no task ranks more than ``top`` chunks of a part.
     """
     wanted = materialize(asked(questions), "asked")
-    met = many_join(held, wanted, ["term"]).groupBy("question", "id").agg(F.sum("weight").alias("score"))
+    few = wanted.count() <= BROADCAST_ROWS
+    each = held.join(F.broadcast(wanted), "term") if few else many_join(held, wanted, ["term"])
+    met = each.groupBy("question", "id").agg(F.sum("weight").alias("score"))
     place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "id"))
     best = materialize(met.withColumn("rank", place).where(F.col("rank") <= top).select("question", "rank", "id", "score"), "best")
     first = [r["id"] for r in chunks.select("id").orderBy("id").limit(top).collect()]
