@@ -10,18 +10,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphstream.functions import codon, sequence as q
+from glyphstream.operators import tokens
 from glyphstream.runtime import broadcast_if_small, materialize
 
 
+def codons_at(df: DataFrame, group: list[str], seq_col: str) -> DataFrame:
+    """(group, ``at``, ``codon``, ``n``): how often a codon is at an index of the group's sequences; what signals and consensus are made of."""
+    return tokens.position_counts(df, 3, group, seq_col).withColumnRenamed("token", "codon")
+
+
 def residue_signals(df: DataFrame, group: list[str], seq_col: str) -> DataFrame:
     """Per group and codon index: rows, means of GC, CG, TA and ambiguity, entropy and share of the dominant residue."""
-    each = df.select(*group, F.posexplode(q.stepped(F.col(seq_col), 3)).alias("at", "codon"))
-    c = F.col("codon")
-    each = each.select(
-        *group, "at", codon.translated(c).alias("amino"), q.count_of(c, "GC").alias("gc"), c.contains("CG").cast("int").alias("cg"),
-        c.contains("TA").cast("int").alias("ta"), (q.count_of(c, "ACGT") < 3).cast("int").alias("unclear"),
+    return signals_of(codons_at(df, group, seq_col), group)
+
+
+def signals_of(counted: DataFrame, group: list[str]) -> DataFrame:
+    """The signals of :func:`residue_signals` from counted codons."""
+    c, n = F.col("codon"), F.col("n")
+    each = counted.select(
+        *group, "at", "n", codon.translated(c).alias("amino"), (n * q.count_of(c, "GC")).alias("gc"), (n * c.contains("CG").cast("int")).alias("cg"),
+        (n * c.contains("TA").cast("int")).alias("ta"), (n * (q.count_of(c, "ACGT") < 3).cast("int")).alias("unclear"),
     )
-    part = each.groupBy(*group, "at", "amino").agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in ("gc", "cg", "ta", "unclear")))
+    part = each.groupBy(*group, "at", "amino").agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in ("gc", "cg", "ta", "unclear")))
     total = F.sum("n").over(Window.partitionBy(*group, "at"))
     part = part.withColumn("p", F.col("n") / total)
     mean = lambda x: (F.sum(x) / F.sum("n")).alias(x)
@@ -31,8 +41,16 @@ def residue_signals(df: DataFrame, group: list[str], seq_col: str) -> DataFrame:
 
 def consensus(df: DataFrame, group: str, amino_col: str) -> DataFrame:
     """The most frequent residue of every position, without stops and X, ties to the smaller; X where none is left."""
-    each = df.select(group, F.posexplode(F.split(F.col(amino_col), "")).alias("at", "residue")).where("residue <> ''")
-    n = each.groupBy(group, "at", "residue").agg(F.count("*").alias("n"))
+    return _most_frequent(tokens.position_counts(df, 1, [group], amino_col).withColumnRenamed("token", "residue"), group)
+
+
+def consensus_of(counted: DataFrame, group: str) -> DataFrame:
+    """The consensus of the translations of counted codons."""
+    residues = counted.select(group, "at", codon.translated(F.col("codon")).alias("residue"), "n")
+    return _most_frequent(residues.groupBy(group, "at", "residue").agg(F.sum("n").alias("n")), group)
+
+
+def _most_frequent(n: DataFrame, group: str) -> DataFrame:
     clear = ~F.col("residue").isin("*", "X")
     best = n.groupBy(group, "at").agg(F.coalesce(F.max_by(F.when(clear, F.col("residue")), F.when(clear, F.struct("n", -F.ascii("residue")))), F.lit("X")).alias("residue"))
     laid = F.array_sort(F.collect_list(F.struct("at", "residue")))
@@ -139,7 +157,9 @@ def _back(rows: _Rows, low: int, state: tuple[np.ndarray, np.ndarray], at: tuple
 
 
 def aligned(pairs: DataFrame, key: str, a_col: str, b_col: str) -> DataFrame:
-    """(key, score, identity, coverage, a_at, b_at): alignment of each row's two strings, as index arrays."""
+    """(key, score, identity, coverage, a_at, b_at): alignment of each row's two strings, as index arrays.
+
+    Rows are few and each is long work, so they are dealt out one by one before."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -151,7 +171,8 @@ def aligned(pairs: DataFrame, key: str, a_col: str, b_col: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=[key, "score", "identity", "coverage", "a_at", "b_at"])
 
     kind = dict(pairs.dtypes)[key]
-    return pairs.select(key, a_col, b_col).mapInPandas(run, f"{key} {kind}, score double, identity double, coverage double, a_at array<int>, b_at array<int>")
+    dealt = pairs.select(key, a_col, b_col).repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInPandas(run, f"{key} {kind}, score double, identity double, coverage double, a_at array<int>, b_at array<int>")
 
 
 def mapped_signals(maps: DataFrame, signals: DataFrame, group: str, key: str) -> DataFrame:

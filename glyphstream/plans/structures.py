@@ -34,10 +34,11 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     panel = sequences(spark, sf_dir).select(F.col("lang").alias("subtype"), _one_of(PROTEINS, "doc_id").alias("protein"), "s")
     panel = panel.withColumn("group", F.concat_ws("-", "protein", "subtype"))
-    cons = align.consensus(panel.select("group", codon.translated(F.col("s")).alias("amino")), "group", "amino")
+    counted = materialize(align.codons_at(panel, ["subtype", "protein", "group"], "s"), "codons")
+    cons = align.consensus_of(counted, "group")
     parts = F.split("group", "-")
     cons = cons.select(parts[1].alias("subtype"), parts[0].alias("protein"), "consensus")
-    signals = align.residue_signals(panel, ["subtype", "protein", "group"], "s").withColumn("at", F.col("at") + 1)
+    signals = align.signals_of(counted, ["subtype", "protein", "group"]).withColumn("at", F.col("at") + 1)
     return align.structure_tables(entries(spark, sf_dir), materialize(cons, "consensus"), materialize(signals, "signals"))
 
 
