@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from glyphstream.functions import codon, sequence as q, text as t
 from glyphstream.operators import features, panels, quantiles, stability, tokens
-from glyphstream.plans.queries import AMBIGUOUS, CODE, DRAWN_ROWS, DRAWN_TOKENS, ORACLE_SQL, REPLICATES, SEQ, _codons, kmer_matrix, query, r6, sequences
+from glyphstream.plans.queries import AMBIGUOUS, CODE, DRAWN_ROWS, DRAWN_TOKENS, ORACLE_SQL, REPLICATES, SEQ, _codons, kmer_matrix, query, r6, sequences, texts
 from glyphstream.runtime import materialize, table
 
 #: Bounds of the two segments' lengths, the share of unclear symbols, allowed subtypes, and sizes and seed of panels.
@@ -261,20 +261,16 @@ w as (select doc_id, {', '.join(f"max(odds) filter (where token = '{x}') as odds
 e as (select doc_id, {', '.join(f"max({c}) filter (where k = {i}) as k{i}_{c}" for i in (3, 4, 5) for c in ("n_kmers", "distinct_kmers", "entropy"))} from k group by 1)
 select m.doc_id, length, ambiguous, gc, w.* exclude (doc_id), e.* exclude (doc_id) from m left join w on w.doc_id = m.doc_id left join e on e.doc_id = m.doc_id""")
 def sequence_metric_rows(spark, sf_dir):
-    """One wide row for each sequence: composition, sixteen odds, and profiles of 3 to 5 symbols."""
-    from glyphstream.plans.queries import pair_counts
-
-    s, specs = F.col("s"), [tokens.tokenizer(f"overlap_k{k}") for k in (3, 4, 5)]
-    own = ["doc_id", F.length(s).cast("long").alias("length"), r6(q.ambiguous_fraction(s), "ambiguous"), r6(q.gc_content(s), "gc")]
-    rows = tokens.row_measures(sequences(spark, sf_dir).select(*own, "s", s.alias("whole")), specs, ["doc_id", "length", "ambiguous", "gc", "whole"], letters=q.SYMBOLS)
-    kept = ["doc_id", "length", "ambiguous", "gc", "measures"]
-    rows = pair_counts(rows.withColumnRenamed("whole", "s"), kept)
-    n = F.map_from_arrays("at", "value")
-    rows = rows.select(*kept, "bases", *q.SYMBOLS, "valid_n", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.try_element_at(n, i)).alias("n"))
+    """One wide row for each sequence: composition, sixteen odds, and profiles of 3 to 5 symbols, from one pass of a task over its text."""
+    specs = [tokens.tokenizer(f"overlap_k{k}") for k in (3, 4, 5)]
+    rows = tokens.row_measures(texts(spark, sf_dir), specs, ["doc_id"], letters=q.SYMBOLS, dense=tokens.tokenizer("overlap_k2"))
+    rows = rows.select("doc_id", "measures", F.transform("counts", lambda n: F.nullif(n, F.lit(0)).cast("double")).alias("n"), "symbols.*")
+    rows = rows.withColumn("bases", sum((F.col(x) for x in q.SYMBOLS[1:]), F.col("A"))).withColumn("valid_n", F.aggregate("n", F.lit(0.0), lambda a, b: a + F.coalesce(b, F.lit(0.0))))
+    own = ["length", r6(F.coalesce(F.try_divide(F.col("length") - F.col("bases"), "length"), F.lit(1.0)), "ambiguous"), r6(F.try_divide(F.col("G") + F.col("C"), "bases"), "gc")]
     odds = lambda i, x: F.round(F.col("n")[i] * F.col("bases") * F.col("bases") / (F.col("valid_n") * F.col(x[0]) * F.col(x[1])), 9).alias(f"odds_{x.lower()}")
     of = lambda i, c: F.when(F.col("measures")[i]["n_tokens"] > 0, F.col("measures")[i][c])
     profile = lambda i, k: [of(i, "n_tokens").alias(f"k{k}_n_kmers"), of(i, "vocabulary").alias(f"k{k}_distinct_kmers"), F.round(of(i, "entropy"), 6).alias(f"k{k}_entropy")]
-    return rows.select("doc_id", "length", "ambiguous", "gc", *(odds(i, x) for i, x in enumerate(PAIRS2)), *(c for i, k in enumerate((3, 4, 5)) for c in profile(i, k)))
+    return rows.select("doc_id", *own, *(odds(i, x) for i, x in enumerate(PAIRS2)), *(c for i, k in enumerate((3, 4, 5)) for c in profile(i, k)))
 
 
 SENSE = [c for c, a in sorted(codon.CODONS.items()) if a != "*"]
