@@ -1,5 +1,8 @@
 """Texts that counting tasks encode themselves against sequences encoded by Spark's functions, and passes of the queries."""
 
+import random
+
+import numpy as np
 import pytest
 
 from glyphstream.functions import sequence as q
@@ -43,3 +46,19 @@ def test_symbols_and_dense_counts(both):
 def test_wide_metric_rows_take_one_pass_of_tasks_over_the_text(spark):
     shown = plan("sequence_metric_rows", spark)
     assert shown.count("MapInArrow ") == 1 and "translate(" not in shown and "regexp_replace(" not in shown
+
+
+def test_tfidf_rows_are_encoded_in_tasks(spark):
+    shown = plan("tfidf_matrix", spark)
+    assert "translate(" not in shown and "regexp_replace(" not in shown
+
+
+def test_small_tables_and_sorting_count_alike():
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("ACGTN-\n") for _ in range(n)) for n in (3000, 0, 1, 2000, 7)]
+    specs = [tokens.tokenizer(n) for n in ("overlap_k2", "overlap_k3", "codon", "frame2_k3")]
+    few = tokens.counted(texts, np.arange(5), specs)
+    one = [tokens.counted(texts, np.arange(5), [t])[0] for t in specs]  # without longer tokens beside them
+    far = tokens.counted(texts, np.arange(5) * 100_000, specs)  # numbers too far apart for a table
+    for a, b, c in zip(few, one, far):
+        assert a[3] == b[3] == c[3] and all((a[i] == b[i]).all() for i in range(3)) and (a[0] * 100_000 == c[0]).all() and (a[2] == c[2]).all()
