@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from glyphstream.functions import sequence as q
-from glyphstream.operators import tokens
+from glyphstream.operators import sparse, tokens
 from glyphstream.plans import audits, queries, summaries  # noqa: F401
 from glyphstream.plans.queries import QUERIES, F
 
@@ -62,3 +62,10 @@ def test_small_tables_and_sorting_count_alike():
     far = tokens.counted(texts, np.arange(5) * 100_000, specs)  # numbers too far apart for a table
     for a, b, c in zip(few, one, far):
         assert a[3] == b[3] == c[3] and all((a[i] == b[i]).all() for i in range(3)) and (a[0] * 100_000 == c[0]).all() and (a[2] == c[2]).all()
+
+
+def test_centroids_take_one_pass_over_the_rows(spark):
+    rows = spark.createDataFrame([("a", [0, 1], [0.5, 0.5]), ("a", [1], [1.0]), ("a", [], []), (None, [0], [1.0])], "g string, at array<int>, value array<double>")
+    assert sorted(map(tuple, sparse.centroids(sparse.Matrix(rows, "id", ["x", "y"]), "g").collect())) == [("a", "x", 0.25), ("a", "y", 0.75)]
+    shown = plan("top_features", spark)
+    assert shown.count("MapInArrow ") == 1 and "translate(" not in shown
