@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from glyphstream.operators.retrieval import guard_sums
 from glyphstream.sources.sinks import FORBIDDEN, safe_records
@@ -30,6 +31,7 @@ class Catalogue:
     token_columns: frozenset[str] = field(default=frozenset({"token"}))
     longest_token: int = 6
     longest_run: int = 80
+    schemas: dict[str, StructType] = field(default_factory=dict, init=False, compare=False, repr=False)  # of the views made so far
 
     def view(self, name: str) -> DataFrame:
         """The view of this name; KeyError for one that isn't listed, UnsafeView for forbidden columns."""
@@ -38,6 +40,7 @@ class Catalogue:
         df = self.views[name]()
         if leaked := sorted(self.forbidden & set(df.columns)):
             raise UnsafeView(f"forbidden columns in {name}: {leaked}")
+        self.schemas[name] = df.schema
         return df
 
     def export(self, path: str, names: Iterable[str] | None = None) -> list[tuple[str, int, int | None]]:
@@ -74,8 +77,8 @@ class Catalogue:
         return name, rows, most
 
     def load(self, spark: SparkSession, path: str, name: str) -> DataFrame:
-        """An exported view, with the columns of the view; KeyError for a name that isn't listed, FileNotFoundError for one that wasn't exported."""
-        schema = self.view(name).schema
+        """An exported view, with the columns of the view, which isn't made again for them; KeyError for a name that isn't listed, FileNotFoundError for one that wasn't exported."""
+        schema = self.schemas[name] if name in self.schemas else self.view(name).schema
         fs, at = _file_system(spark, path)
         if not fs.exists(at(f"{path}/{name}")):
             raise FileNotFoundError(f"{name} isn't exported in {path}")

@@ -9,6 +9,7 @@ from glyphstream.functions import sequence as q
 from glyphstream.operators import sparse, tokens
 from glyphstream.plans import audits, queries, summaries  # noqa: F401
 from glyphstream.plans.queries import QUERIES, F
+from glyphstream.sources.catalogue import Catalogue
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", "-", "\x00a\x7fB\n", "é", "Kİab", "😀abc-12", "0123456789", "aAé" * 50, "--a--b", "The quick brown fox, 42 times.", "".join(map(chr, range(1, 300)))]
@@ -69,3 +70,17 @@ def test_centroids_take_one_pass_over_the_rows(spark):
     assert sorted(map(tuple, sparse.centroids(sparse.Matrix(rows, "id", ["x", "y"]), "g").collect())) == [("a", "x", 0.25), ("a", "y", 0.75)]
     shown = plan("top_features", spark)
     assert shown.count("MapInArrow ") == 1 and "translate(" not in shown
+
+
+def test_summaries_and_distances_encode_in_tasks_and_distances_count_once(spark):
+    got = {r.id: r.symbols for r in tokens.symbol_counts(spark.createDataFrame([(1, None), (2, ""), (3, "ACCT-N")], "id int, s string"), ["id"]).collect()}
+    assert got == {1: None, 2: (0, 0, 0, 0, 0), 3: (6, 1, 2, 0, 1)}
+    assert "MapInArrow" not in plan("js_distance_k3", spark)  # its sides read stored counts
+
+
+def test_loading_a_view_does_not_make_it_again(spark, tmp_path):
+    made = []
+    views = Catalogue({"v": lambda: made.append("v") or spark.range(3)})
+    views.export(str(tmp_path))
+    assert views.load(spark, str(tmp_path), "v").count() == 3 and made == ["v"]
+    assert Catalogue(views.views).load(spark, str(tmp_path), "v").columns == ["id"] and made == ["v", "v"]  # one that didn't export asks for the columns
